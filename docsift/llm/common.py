@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,7 +39,7 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20):
     """The batch in pieces of about limit bytes of the given string column, so that memory doesn't depend on row length."""
     sizes = batch.column(column)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(sizes), 0).to_pylist()
     first, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > limit:

@@ -24,3 +24,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsift.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docsift.llm.decontamination import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docsift.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
