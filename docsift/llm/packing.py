@@ -24,8 +24,6 @@ from docsift.llm.common import slices, written
 
 CAPACITY, END_ID = 4096, 1
 GROUPS, MOST_IN_PATTERN = 64, 4
-#: Rows of one length that are ranked in one group.
-RANKED = 20_000
 MOST_WORDS = 500_000
 
 
@@ -220,12 +218,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces, a written table of (doc_id, piece, start, length, ids_crc32), with sequence_id and offset.
 
     To the driver go the counts of each length, at most capacity rows; the plan has a few thousand rows. Ranks within a
-    length are taken in groups of about RANKED rows by a hash of the document, so that a frequent length is shared out.
+    length are taken in groups by a hash of the piece; their number grows with the root of the most frequent length's count,
+    so that neither a group nor the groups of a length are many rows.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     table = places(plan(histogram, capacity))
-    dealt = max(1, -(-max(histogram.values(), default=0) // RANKED))
+    dealt = max(1, round(max(histogram.values(), default=0) ** 0.5 / 4))
     table = spark.sparkContext.broadcast(table)
     rows = pieces.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(dealt)).cast("int"))
     counts = rows.groupBy("length", "deal").agg(F.count("*").alias("n"))

@@ -45,3 +45,38 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsift.llm.toxicity import score_toxicity
 
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest codes of every row whose id is divisible by 100, among all rows."""
+    from docsift.llm.topk_search import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+ORACLE_SQL["op1_exact_topk"] = """
+with codes as (
+  select vec_id, list_reduce(list_prepend(0::ubigint, [case when embedding[i] > 0 then (1::ubigint << (i - 1)::ubigint) else 0::ubigint end for i in range(1, 65)]), lambda a, b: a | b) as code
+  from embeddings where embedding is not null),
+pairs as (
+  select q.vec_id as query_id, v.vec_id, bit_count(xor(q.code, v.code))::int as distance
+  from codes q, codes v where q.vec_id % 100 = 0),
+ranked as (select *, row_number() over (partition by query_id order by distance, vec_id)::int as rank from pairs)
+select query_id, rank, vec_id, distance from ranked where rank <= 10
+"""
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docsift.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docsift.llm.html_extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
