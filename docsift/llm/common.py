@@ -24,9 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: later readers don't recompute it, and lost executors cost nothing."""
-    spark = df.sparkSession
+    spark, tidy = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path = f"{shared_dir(spark).rstrip('/')}/docsift-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(tidy, "false")
+    spark.conf.set(tidy, "true")  # once the table stands, its shuffle files are of no use
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(tidy, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

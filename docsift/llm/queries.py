@@ -80,3 +80,13 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsift.llm.html_extraction import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from docsift.llm.suffix_dedup import without_repeats
+
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
