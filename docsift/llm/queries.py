@@ -100,3 +100,10 @@ def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = without_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docsift.llm.jaccard_join import join
+
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
