@@ -115,9 +115,9 @@ class Patterns:
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pass_bytes: int = PASS_BYTES
+    docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pass_bytes: int = PASS_BYTES, carry: str | None = None
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs, and the column carry, if one is named.
 
     No shuffle: the windows of at most pass_bytes of items are broadcast at a time. More items are dealt into parts by id,
     and the documents pass each part in turn.
@@ -126,13 +126,14 @@ def find_contamination(
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     parts = max(1, -(-int(total) // pass_bytes))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<long>").alias("items"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<long>").alias("items"), *([F.col(carry).alias("carried")] if carry else []))
+    more = f", carried {rows.schema['carried'].dataType.simpleString()}" if carry else ""
     for part in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
         patterns = spark.sparkContext.broadcast(Patterns([(r["item_id"], r["text"].encode()) for r in own.collect()], width))  # at most about pass_bytes of text
         if part:
             rows = written(rows, "decontamination")
-        rows = rows.mapInArrow(scan(patterns, part == parts - 1), ROWS if part < parts - 1 else RESULT)
+        rows = rows.mapInArrow(scan(patterns, part == parts - 1), (ROWS if part < parts - 1 else RESULT) + more)
     return rows
 
 
@@ -155,11 +156,11 @@ def scan(patterns, last: bool):
                         hits[i] = hits[i] | np.unpackbits(np.frombuffer(packed, np.uint8), count=len(hits[i])).astype(bool)
                 if not last:
                     packed = pa.array([np.packbits(h).tobytes() for h in hits], pa.binary())
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed, pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], ["doc_id", "text", "hit", "items"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed, pa.array([sorted(x) for x in items], pa.list_(pa.int64())), *part.columns[4:]], part.schema.names)
                     continue
                 n = [int(h.sum()) for h in hits]
                 digests = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-                columns = [part.column(0), *(pa.array(x, pa.int64()) for x in (list(map(len, texts)), n, list(map(len, items)))), pa.array(digests, pa.string()), pa.array([x > 0 for x in n], pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                columns = [part.column(0), *(pa.array(x, pa.int64()) for x in (list(map(len, texts)), n, list(map(len, items)))), pa.array(digests, pa.string()), pa.array([x > 0 for x in n], pa.bool_()), *part.columns[4:]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *part.schema.names[4:]])
 
     return run

@@ -157,7 +157,10 @@ def links_within(sets: list[np.ndarray], percent: int, others: list[np.ndarray]
 
 
 def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row; component_id: the least id reachable by links."""
+    """(doc_id, n_shingles, component_id, n_links, version) of every row; component_id: the least id reachable by links.
+
+    version: a hash of the text, which tells rows of one id apart.
+    """
     scheme = Scheme(percent)
     rows = keyed(docs, id_col, text_col)
 
@@ -205,8 +208,8 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: s
     group = least.groupBy("g1", "g2").agg(F.min("least").alias("component"))
     least = least.join(group, ["g1", "g2"]).select("k1", "k2", "component", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     real = lambda c: F.when(F.col(c) != LARGEST, F.col(c))
-    out = every.where("n > 0").select("id", "n", "k1", "k2").join(least, ["k1", "k2"]).select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), "n_links")
-    alone = every.where("n = 0").select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    out = every.where("n > 0").select("id", "version", "n", "k1", "k2").join(least, ["k1", "k2"]).select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), "n_links", "version")
+    alone = every.where("n = 0").select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "version")
     return out.unionByName(alone)
 
 

@@ -160,18 +160,16 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
     return recurring_spans(keyed(docs, id_col, text_col), Kind("bytes", width, gram), False, resolver(width))
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that stay) instead of the text.
+def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, carry: str | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept) of every row, and the column carry, if one is named.
 
-    whole_characters: a character goes only if all its bytes do, so that kept is always text.
+    n_spans: maximal removed runs; kept: the bytes that stay. whole_characters: a character goes only if all its bytes do, so
+    that kept is always text.
     """
     spans = repeated_spans(docs, width, gram, id_col, text_col)
-    rows = with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c) for c in docs.columns if whole_characters and c not in (id_col, text_col, "doc_id", "text", "kept", "n_bytes", "n_removed", "n_spans", "gone"))), spans, "doc_id", "text", "gone")
-    others = [c for c in rows.columns if c not in ("doc_id", "text", "gone")]
-    rows = rows.select("doc_id", "text", "gone", *others)
-    schema = rows.drop("text", "gone").schema
-    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
-        schema = schema.add(name, kind)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.col(carry).alias("carried")] if carry else []))
+    rows = with_spans(rows, spans, "doc_id", "text", "gone").select("doc_id", "text", "gone", *(["carried"] if carry else []))
+    more = f", carried {rows.schema['carried'].dataType.simpleString()}" if carry else ""
 
     def cut(batches):
         for batch in batches:
@@ -192,12 +190,10 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
                     removed.append(len(text) - len(rest))
                     runs.append(len(own))
                     kept.append(rest)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(part.column(i + 3) for i in range(len(others))), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
-                    schema.names,
-                )
+                columns = [part.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(kept, pa.binary()), *part.columns[3:]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *part.schema.names[3:]])
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + more)
 
 
 def characters(text: bytes, a: int, b: int) -> tuple[int, int]:
