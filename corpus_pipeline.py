@@ -1,8 +1,80 @@
-"""The corpus pipeline: stages that read documents and hand them on."""
+"""The corpus pipeline: toxicity, near duplicates, repeated text, benchmark contamination, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns that they were given. A null text counts as empty throughout; extra
+columns are carried along, whatever their names.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docsift.llm import decontamination, jaccard_join, packing, suffix_dedup, toxicity
+from docsift.llm.common import table, written
+from docsift.llm.recurring import LARGEST
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches the threshold go."""
+    scored = toxicity.score_toxicity(carried(docs), table(spark, sf_dir, "labels"), carry="row")
+    return scored.where("predicted = 0").select("carried.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one of least id stays; of several rows with that id, the one with the least hash of its text."""
+    found = written(jaccard_join.join(docs), "groups")
+    found = found.withColumn("doc_id", F.coalesce("doc_id", F.lit(LARGEST))).withColumn("component_id", F.coalesce("component_id", F.lit(LARGEST)))
+    grouped = found.where("n_shingles > 0 and doc_id = component_id").groupBy("component_id").agg(F.min("version").alias("version")).withColumnRenamed("component_id", "doc_id")
+    kept = grouped.unionByName(found.where("n_shingles = 0").select("doc_id", "version"))
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("version").alias("kept_version")).distinct()
+    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LARGEST)) == F.col("kept_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("kept_version"))
+    out = docs.join(kept, key, "left_semi")
+    again = found.where("n_shingles > 0").groupBy("doc_id", "version").count().where("count > 1")
+    # rows that stand twice are one group each; without any there is nothing to look for
+    return out if again.isEmpty() else out.withColumn("kept_version", F.xxhash64("text")).dropDuplicates(["doc_id", "kept_version"]).drop("kept_version")
+
+
+def drop_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Characters all of whose bytes are covered by a string of 200 bytes that starts elsewhere too go; n_chars follows."""
+    cut = suffix_dedup.without_repeats(carried(docs), whole_characters=True, carry="row")
+    text = F.when(F.col("carried.text").isNotNull(), F.decode("kept", "UTF-8"))
+    new = {"text": text.alias("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length(text).cast(docs.schema["n_chars"].dataType), F.col("carried.n_chars")).alias("n_chars")
+    return cut.select(*(new.get(c, F.col("carried").getField(c).alias(c)) for c in docs.columns))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark window occurs go."""
+    found = decontamination.find_contamination(carried(docs), table(spark, sf_dir, "benchmark"), carry="row")
+    return found.where("not contaminated").select("carried.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, in sequences."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("suffix_array_dedup", drop_repeated_text),
+    ("benchmark_decontamination", drop_contaminated),
+    ("best_fit_packing", pack),
+]
+#: Learned scores, tokenizer ids and a packing plan are not to be had in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, name)
+    return docs
