@@ -13,7 +13,6 @@ distance go to the smaller id. Ids that occur twice are found once for each code
 
 import math
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +32,11 @@ def segments(code, m: int, bits: int):
     return F.array(*(F.struct(F.lit(i).alias("segment"), value(a, b).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
 
 
-def masks(size: int, r: int) -> list[int]:
-    return [reduce(lambda x, i: x | 1 << i, c, 0) for c in combinations(range(size), r)]
+def flips(bits: int, m: int, r: int):
+    """For each segment the values with r bits set, as constants that the optimizer folds: no expression for each."""
+    sizes = [round((i + 1) * bits / m) - round(i * bits / m) for i in range(m)]
+    set_ = lambda size: F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << size) - 1).cast("long")), lambda x: F.bit_count(x) == r)
+    return F.array(*map(set_, sizes))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -52,9 +54,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, i
     index = written(entries.select("code", "ids", F.inline(segments(F.col("code"), m, bits))), "segments")
     open_, done, best = asked.select("query").distinct(), [], None
     for r in range(widest + 1):
-        cuts = [round(i * bits / m) for i in range(m + 1)]
-        flips = F.create_map(*(x for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) for x in (F.lit(i), F.array(*map(lambda v: F.lit(v).cast("long"), masks(b - a, r))) if b - a >= r else F.array().cast("array<long>"))))
-        probes = open_.select("query", F.inline(segments(F.col("query"), m, bits))).select("query", "segment", "value", F.explode(flips[F.col("segment")]).alias("flip")).select("query", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+        flip = F.explode(F.element_at(flips(bits, m, r), F.col("segment") + 1))
+        probes = open_.select("query", F.inline(segments(F.col("query"), m, bits))).select("query", "segment", "value", flip.alias("flip")).select("query", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
         found = probes.join(index, ["segment", "value"]).select("query", "code", "ids", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
         if best is not None:
             found = found.unionByName(best)
