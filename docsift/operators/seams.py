@@ -58,13 +58,16 @@ def recognise(images: DataFrame, factory: Callable[[], Engine], id_col: str = "d
     """(doc_id, seq, text, confidence, bbox, error, seconds): a row for each box. With keep_errors an image that fails is a row with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = _made(factory)
+        try:
+            own, broken = _made(factory), None
+        except Exception as e:  # noqa: BLE001
+            own, broken = None, str(e)
         for batch in batches:
             out = []
             for doc, image in zip(batch.doc_id, batch.image, strict=True):
                 began = time.perf_counter()
                 try:
-                    boxes, error = own.recognise(bytes(image)), None
+                    boxes, error = ([], broken) if own is None else (own.recognise(bytes(image)), None)
                 except Exception as e:  # noqa: BLE001
                     boxes, error = [], str(e)
                 took = time.perf_counter() - began
