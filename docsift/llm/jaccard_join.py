@@ -174,9 +174,10 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: s
 
     every = written(rows.mapInArrow(sets, "id long, version long, n long, k1 long, k2 long, keys array<long>"), "sets")
     classes = written(every.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "version")).alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "classes")
+    # none of the sides that are joined below has a bounded size, so they are shuffled whatever their size (AQE splits skewed keys)
     postings = classes.select(F.col("k1").alias("node"), F.explode("keys").alias("key"))
     hubs = postings.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
-    edges = postings.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    edges = postings.join(hubs.hint("merge"), "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = components(edges)
 
     members = classes.drop("keys").join(clusters.select(F.col("node").alias("k1"), F.col("label").alias("cluster")), "k1")
@@ -191,7 +192,7 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: s
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, *range(2, part.num_columns))), pa.array(packed, pa.binary())], [*(part.schema.names[i] for i in (0, *range(2, part.num_columns))), "packed"])
 
     own = "cluster long, k1 long, k2 long, copies long, packed binary"
-    full = rows.join(members, ["id", "version"]).select("cluster", "text", "k1", "k2", "copies").mapInArrow(gathered, own)
+    full = rows.join(members.hint("merge"), ["id", "version"]).select("cluster", "text", "k1", "k2", "copies").mapInArrow(gathered, own)
     full = full.dropDuplicates(["k1", "k2"])  # a row may stand several times
     if not large.isEmpty():
         full = written(full, "large-sets")
@@ -208,7 +209,7 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: s
     group = least.groupBy("g1", "g2").agg(F.min("least").alias("component"))
     least = least.join(group, ["g1", "g2"]).select("k1", "k2", "component", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     real = lambda c: F.when(F.col(c) != LARGEST, F.col(c))
-    out = every.where("n > 0").select("id", "version", "n", "k1", "k2").join(least, ["k1", "k2"]).select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), "n_links", "version")
+    out = every.where("n > 0").select("id", "version", "n", "k1", "k2").join(least.hint("merge"), ["k1", "k2"]).select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), "n_links", "version")
     alone = every.where("n = 0").select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "version")
     return out.unionByName(alone)
 
