@@ -2,10 +2,11 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docsift.llm import oracles
 from docsift.llm.common import table
 
 QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": oracles.OP6, "op7_phrase_dedup": oracles.OP7, "op9_benchmark_decontamination": oracles.OP9}
 
 
 def query(f):
