@@ -151,31 +151,27 @@ def snippets(rows: DataFrame, kind: Kind, across: bool) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 2, 2 << 20):
                 found = kind.anchors([kind.cut(t) for t in as_bytes(part.column(2))])
-                sizes = [len(h) for h, _, _ in found]
-                at = np.repeat(np.arange(len(found)), sizes)
-                h = np.concatenate([h for h, _, _ in found]).view(np.int64)
-                if across:  # once for each document
-                    keep = np.unique(np.stack([at, h]), axis=1) if len(h) else np.empty((2, 0), np.int64)
-                    at, h = keep
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(h, pa.int64())], ["id", "version", "anchor"])
-
-    every = written(rows.mapInArrow(marks, f"{KEY}, anchor long"), "anchors")
+                at = pa.array(np.repeat(np.arange(len(found)), [len(h) for h, _, _ in found]))
+                h, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+                columns = [part.column(0).take(at), part.column(1).take(at), pa.array(h.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "version", "anchor", "first", "last"])
+
+    every = written(rows.mapInArrow(marks, f"{KEY}, anchor long, first int, last int"), "anchors")
     groups = every.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
     groups = groups.where(F.col("a") < F.col("b")) if across else groups.where(F.col("n") > 1)
-    lists = every.join(groups.select("anchor"), "anchor", "left_semi").groupBy("id", "version").agg(F.collect_set("anchor").alias("recurring"))
+    lists = every.join(groups.select("anchor"), "anchor", "left_semi").groupBy("id", "version").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("recurring"))
 
     def cut(batches):
         for batch in batches:
             for part in slices(batch, 2, 2 << 20):
                 ids, versions, units = part.column(0).to_pylist(), part.column(1).to_pylist(), [kind.cut(t) for t in as_bytes(part.column(2))]
-                known = part.column(3)
+                places = part.column(3)
+                places = zip(places.offsets.to_pylist(), places.offsets.to_pylist()[1:], strict=False), *(x.to_pylist() for x in places.values.flatten())
                 out = []
-                for i, (h, first, last) in enumerate(kind.anchors(units)):
-                    h = h.view(np.int64)
-                    keep = np.isin(h, known[i].values.to_numpy(zero_copy_only=False))
-                    for a, lo, hi in zip(h[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
+                for i, (a, b) in enumerate(places[0]):
+                    for anchor, lo, hi in zip(*(x[a:b] for x in places[1:]), strict=True):
                         text = kind.joined(units[i][lo : hi + kind.width])
-                        out.append((ids[i], versions[i], a, xxhash.xxh3_64_intdigest(text) - (1 << 63), lo, text))
+                        out.append((ids[i], versions[i], anchor, xxhash.xxh3_64_intdigest(text) - (1 << 63), lo, text))
                 if out:
                     kinds = (pa.int64(),) * 5 + (pa.binary(),)
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "version", "anchor", "same", "first", "snippet"])

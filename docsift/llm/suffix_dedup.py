@@ -1,7 +1,7 @@
 """Suffix-array dedup with a logarithmic family of indexes.
 
 Candidate text comes as snippets (see recurring), dealt so that all that can match meets in one task. There, each batch of
-snippets gets a suffix array of its windows, sorted by their full length by prefix doubling. The batch is scanned against
+snippets gets a suffix array of its windows, sorted by their full length, 8 bytes after 8 bytes. The batch is scanned against
 each level of the index: a vectorised search, one 8-byte word after another, narrows each window's range in the level's
 suffix array; a range that is left after the last word is a match. Then the batch becomes a level, and levels of about equal size
 merge: the places found by the search are where the entries are inserted, so nothing is sorted again.
@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm.common import as_bytes, slices
-from docsift.llm.recurring import Kind, as_runs, batches_by_size, keyed, merged, recurring_spans, with_spans
+from docsift.llm.recurring import Kind, as_runs, batches_by_size, keyed, merged, mixed, recurring_spans, with_spans
 
 WIDTH, GRAM = 200, 32
-BATCH = 1 << 20
+BATCH = 4 << 20
 
 
 def big_endian(text: bytes) -> np.ndarray:
@@ -32,13 +32,51 @@ def big_endian(text: bytes) -> np.ndarray:
     return out[: len(text)]
 
 
-def dense(keys: np.ndarray) -> np.ndarray:
-    """Ranks of equal keys are equal; ranks sort as keys do."""
-    order = np.argsort(keys)
-    s = keys[order]
-    rank = np.empty(len(keys), np.uint64)
-    rank[order] = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]])).astype(np.uint64)
-    return rank
+def fingerprints(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the width bytes from each place on, as far as there are so many."""
+    h, k = words, 8
+    while 2 * k <= width:
+        h = mixed(h[:-k], h[k:])
+        k *= 2
+    return mixed(h[: len(h) - (width - k)], h[width - k :]) if k < width else h
+
+
+def sorted_windows(words: np.ndarray, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows' places in order, that order, and for each the number of its group of equal windows.
+
+    Sorted by 8 bytes after 8 bytes: in each round only windows that tie so far. A group whose fingerprints agree is left out of further
+    rounds, and compared with its first window byte by byte.
+    """
+    order = np.argsort(words[places])
+    key = words[places[order]]
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(places) else np.empty(0, bool)
+    marks = fingerprints(words, width)
+    for off in [*range(8, width - 7, 8), *([width - 8] if width % 8 else [])]:
+        group = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        f = marks[places[order]]
+        mixed_ = np.bincount(group, f != f[first][group], len(first)) > 0
+        tied = np.flatnonzero(mixed_[group])
+        if not len(tied):
+            break
+        k, g = words[places[order[tied]] + off], group[tied]
+        by = np.lexsort((k, g))
+        order[tied] = order[tied[by]]
+        k = k[by]
+        new[tied[1:]] |= (k[1:] != k[:-1]) & (g[1:] == g[:-1])
+    group = np.cumsum(new) - 1
+    head = order[np.flatnonzero(new)][group]
+    same = np.ones(len(order), bool)
+    check = np.flatnonzero(~new)
+    for off in [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]:
+        same[check] &= words[places[order[check]] + off] == words[places[head[check]] + off]
+    if not same.all():  # two windows of one fingerprint: never seen, but told apart all the same
+        text = [words[p : p + width : 8].tobytes() + words[p + width - 8 : p + width - 7].tobytes() for p in places.tolist()]
+        number = {t: i for i, t in enumerate(sorted(set(text), key=lambda t: np.frombuffer(t, np.uint64).tolist()))}
+        rank = np.array([number[t] for t in text])
+        order = np.argsort(rank, kind="stable")
+        group = rank[order]
+    return places[order], order, group
 
 
 class Level:
@@ -46,40 +84,27 @@ class Level:
 
     def __init__(self, words: np.ndarray, places: np.ndarray, hit: np.ndarray):
         self.words, self.places, self.hit = words, places, hit
+        self.head = words[places]
 
     @classmethod
     def of(cls, text: bytes, places: np.ndarray, times: np.ndarray, width: int) -> "Level":
         words = big_endian(text)
-        rank, k = dense(words), 8
-        while 2 * k <= width:
-            rank = dense((rank[:-k] << np.uint64(32)) | rank[k:])
-            k *= 2
-        whole = rank[places]
-        if k < width:
-            whole = (whole << np.uint64(32)) | rank[places + width - k]
-        order = np.argsort(whole, kind="stable")
-        s = whole[order]
-        same = s[1:] == s[:-1]
-        hit = times[order] > 1
-        hit[1:] |= same
-        hit[:-1] |= same
-        # all windows of a group of equals recur if one does
-        group = np.cumsum(np.concatenate([[0], ~same]))
-        hit = (np.bincount(group, hit) > 0)[group] if len(group) == len(hit) and len(hit) else hit
-        return cls(words, places[order], hit)
+        places, order, group = sorted_windows(words, places, width)
+        counts = np.bincount(group, times[order]) if len(group) else np.empty(0)
+        return cls(words, places, counts[group] > 1)
 
     def ranges(self, other: "Level", width: int) -> tuple[np.ndarray, np.ndarray]:
         """For each of other's windows the range of equal windows here; an empty one is where it would be inserted."""
-        lo, hi = np.zeros(len(other.places), np.int64), np.full(len(other.places), len(self.places), np.int64)
-        alive = np.arange(len(lo))
-        for off in [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]:
+        lo, hi = np.searchsorted(self.head, other.head, "left"), np.searchsorted(self.head, other.head, "right")
+        alive = np.flatnonzero(lo < hi)
+        for off in [*range(8, width - 7, 8), *([width - 8] if width % 8 else [])]:
+            if not len(alive):
+                break
             want = other.words[other.places[alive] + off]
             a, b = lo[alive], hi[alive]
             lo[alive] = self.bound(want, a, b, off, False)
             hi[alive] = self.bound(want, lo[alive], b, off, True)
             alive = alive[lo[alive] < hi[alive]]
-            if not len(alive):
-                break
         return lo, hi
 
     def bound(self, want, lo, hi, off, right):
@@ -110,6 +135,7 @@ class Index:
 
     def add(self, text: bytes, places: np.ndarray, times: np.ndarray) -> None:
         new = Level.of(text, places, times, self.width)
+        lo = None
         for _, level in self.levels:
             lo, hi = level.ranges(new, self.width)
             found = lo < hi
@@ -122,7 +148,8 @@ class Index:
         self.size += len(text)
         while self.levels and len(self.levels[-1][1].words) <= 1.5 * len(new.words):
             base, level = self.levels.pop()
-            new = level.merged(new, level.ranges(new, self.width)[0])
+            new = level.merged(new, level.ranges(new, self.width)[0] if lo is None else lo)
+            lo = None  # known for the last level only
         self.levels.append((base, new))
 
     def recurring(self) -> np.ndarray:
