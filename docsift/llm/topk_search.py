@@ -1,6 +1,6 @@
 """Exact top-k by Hamming distance with incremental multi-index hashing, in DataFrame operations.
 
-Codes are the signs of an embedding. A code is cut into segments of about log2(number of distinct codes) bits. In round r
+Codes are the signs of an embedding. A code is cut into segments of about log2(number of distinct codes) bits, at most 20. In round r
 a query probes each segment's index at distance r exactly. Codes within distance m*(r+1)-1 are then all found, m being the
 number of segments; a query is done once its k-th verified distance is no more than that.
 
@@ -32,11 +32,10 @@ def segments(code, m: int, bits: int):
     return F.array(*(F.struct(F.lit(i).alias("segment"), value(a, b).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
 
 
-def flips(bits: int, m: int, r: int):
-    """For each segment the values with r bits set, as constants that the optimizer folds: no expression for each."""
-    sizes = [round((i + 1) * bits / m) - round(i * bits / m) for i in range(m)]
-    set_ = lambda size: F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << size) - 1).cast("long")), lambda x: F.bit_count(x) == r)
-    return F.array(*map(set_, sizes))
+def flips(spark, sizes: list[int], r: int) -> DataFrame:
+    """(size, flip): for each size of segment the values with r bits set. At most 2^20 rows, and far fewer in early rounds, however many codes there are."""
+    each = [spark.range(1 << size).where(F.bit_count("id") == r).select(F.lit(size).alias("size"), F.col("id").alias("flip")) for size in sorted(set(sizes))]
+    return reduce(DataFrame.unionByName, each)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -49,13 +48,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, i
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), sign_code(F.col(vector_col), bits).alias("query")).where("query_id is not null and query is not null").distinct()
     asked = written(asked, "queries")
     size = entries.count()
-    m = max(1, min(bits, math.ceil(bits / max(4, round(math.log2(max(size, 2)))))))
-    widest = max(round((i + 1) * bits / m) - round(i * bits / m) for i in range(m))
+    m = max(1, min(bits, math.ceil(bits / min(20, max(4, round(math.log2(max(size, 2))))))))
+    sizes = [round((i + 1) * bits / m) - round(i * bits / m) for i in range(m)]
+    widest = max(sizes)
     index = written(entries.select("code", "ids", F.inline(segments(F.col("code"), m, bits))), "segments")
     open_, done, best = asked.select("query").distinct(), [], None
     for r in range(widest + 1):
-        flip = F.explode(F.element_at(flips(bits, m, r), F.col("segment") + 1))
-        probes = open_.select("query", F.inline(segments(F.col("query"), m, bits))).select("query", "segment", "value", flip.alias("flip")).select("query", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+        own = open_.select("query", F.inline(segments(F.col("query"), m, bits))).withColumn("size", F.element_at(F.array(*map(F.lit, sizes)), F.col("segment") + 1))
+        probes = own.join(F.broadcast(flips(spark, sizes, r)), "size").select("query", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
         found = probes.join(index, ["segment", "value"]).select("query", "code", "ids", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
         if best is not None:
             found = found.unionByName(best)
