@@ -32,51 +32,74 @@ def big_endian(text: bytes) -> np.ndarray:
     return out[: len(text)]
 
 
-def fingerprints(words: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the width bytes from each place on, as far as there are so many."""
-    h, k = words, 8
+BLOCK = 8
+
+
+def hashes(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the BLOCK words and of the width bytes from each place on, as far as there are so many."""
+    h, k, block = words, 8, None
     while 2 * k <= width:
         h = mixed(h[:-k], h[k:])
         k *= 2
-    return mixed(h[: len(h) - (width - k)], h[width - k :]) if k < width else h
+        block = h if k == 8 * BLOCK else block
+    return block, mixed(h[: len(h) - (width - k)], h[width - k :]) if k < width else h
 
 
 def sorted_windows(words: np.ndarray, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The windows' places in order, that order, and for each the number of its group of equal windows.
 
-    Sorted by 8 bytes after 8 bytes: in each round only windows that tie so far. A group whose fingerprints agree is left out of further
-    rounds, and compared with its first window byte by byte.
+    Windows of one hash are compared byte by byte with the first of them, and only the first are sorted.
     """
+    block, whole = hashes(words, width)
+    _, first, own = np.unique(whole[places], return_index=True, return_inverse=True)
+    offsets = [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]
+    head = places[first][own]
+    twins = np.flatnonzero(head != places)
+    same = np.ones(len(twins), bool)
+    for off in offsets:
+        same &= words[places[twins] + off] == words[head[twins] + off]
+    if not same.all():  # windows of one hash that differ are sorted one by one
+        stands = first[own]
+        stands[twins[~same]] = twins[~same]
+        first, own = np.unique(stands, return_inverse=True)
+    order, group = sorted_distinct(words, places[first], block, whole, offsets)
+    number = np.empty(len(first), np.int64)
+    number[order] = group
+    every = number[own]
+    order = np.argsort(every, kind="stable")
+    return places[order], order, every[order]
+
+
+def sorted_distinct(words: np.ndarray, places: np.ndarray, block: np.ndarray, whole: np.ndarray, offsets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of windows and the number of each one's group of equals. Sorted by 8 bytes after 8 bytes: in each round only windows of
+    groups that tie so far and are known to differ, by their hashes, in the block of words at hand."""
     order = np.argsort(words[places])
     key = words[places[order]]
     new = np.concatenate([[True], key[1:] != key[:-1]]) if len(places) else np.empty(0, bool)
-    marks = fingerprints(words, width)
-    for off in [*range(8, width - 7, 8), *([width - 8] if width % 8 else [])]:
-        group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        f = marks[places[order]]
-        mixed_ = np.bincount(group, f != f[first][group], len(first)) > 0
-        tied = np.flatnonzero(mixed_[group])
-        if not len(tied):
-            break
-        k, g = words[places[order[tied]] + off], group[tied]
-        by = np.lexsort((k, g))
-        order[tied] = order[tied[by]]
-        k = k[by]
-        new[tied[1:]] |= (k[1:] != k[:-1]) & (g[1:] == g[:-1])
-    group = np.cumsum(new) - 1
-    head = order[np.flatnonzero(new)][group]
-    same = np.ones(len(order), bool)
-    check = np.flatnonzero(~new)
-    for off in [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]:
-        same[check] &= words[places[order[check]] + off] == words[places[head[check]] + off]
-    if not same.all():  # two windows of one fingerprint: never seen, but told apart all the same
-        text = [words[p : p + width : 8].tobytes() + words[p + width - 8 : p + width - 7].tobytes() for p in places.tolist()]
-        number = {t: i for i, t in enumerate(sorted(set(text), key=lambda t: np.frombuffer(t, np.uint64).tolist()))}
-        rank = np.array([number[t] for t in text])
-        order = np.argsort(rank, kind="stable")
-        group = rank[order]
-    return places[order], order, group
+    for i in range(1, len(offsets), BLOCK):
+        part = offsets[i : i + BLOCK]
+        own = block if len(part) == BLOCK and part[-1] - part[0] == 8 * (BLOCK - 1) else None
+        active = np.arange(len(order))
+        for n, off in enumerate(part):
+            if not n or own is None:
+                group = np.cumsum(new[active]) - 1
+                first = np.flatnonzero(new[active])
+                at = places[order[active]]
+                f = own[at + part[0]] if own is not None else whole[at]
+                differs = np.bincount(group, f != f[first][group], len(first)) > 0 if len(at) else np.empty(0, bool)
+                active = active[differs[group]]
+            else:  # groups that have come apart are done
+                alone = new[active] & np.append(new[active][1:], True)
+                active = active[~alone]
+            if not len(active):
+                break
+            g = np.cumsum(new[active])
+            k = words[places[order[active]] + off]
+            by = np.lexsort((k, g))
+            order[active] = order[active[by]]
+            k = k[by]
+            new[active[1:]] |= (k[1:] != k[:-1]) & (g[1:] == g[:-1])
+    return order, np.cumsum(new) - 1
 
 
 class Level:
