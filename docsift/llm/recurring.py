@@ -23,8 +23,8 @@ from docsift.llm.common import as_bytes, slices, written
 PLACE_BITS = 27
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
 LARGEST = (1 << 63) - 1
-#: Distinct snippets of one anchor beyond which they are compared window by window instead of together.
-HOT = 2000
+#: Bytes of one anchor's distinct snippets, as many as a task holds. Beyond, they are compared window by window instead of together.
+HOT_BYTES = 4 << 20
 MOST_WORDS = 400_000
 
 
@@ -179,7 +179,7 @@ def snippets(rows: DataFrame, kind: Kind, across: bool) -> DataFrame:
     return written(rows.join(lists, ["id", "version"]).mapInArrow(cut, f"{KEY}, anchor long, same long, first long, snippet binary"), "snippets")
 
 
-def recurring_spans(rows: DataFrame, kind: Kind, across: bool, resolve: Callable, bytes_in_task: int = 4 << 20) -> DataFrame:
+def recurring_spans(rows: DataFrame, kind: Kind, across: bool, resolve: Callable, bytes_in_task: int = HOT_BYTES) -> DataFrame:
     """(id, version, spans): the units of each row that recurring windows cover, as a list of [start, end) in order.
 
     resolve takes the distinct snippets of a task, in batches of (anchor, same, snippet, least id, largest id, times), and
@@ -189,12 +189,12 @@ def recurring_spans(rows: DataFrame, kind: Kind, across: bool, resolve: Callable
     every = snippets(rows, kind, across)
     distinct = every.groupBy("anchor", "same", "snippet").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
     distinct = written(distinct, "distinct")
-    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.min("a").alias("least"), F.max("b").alias("most"))
+    sizes = distinct.groupBy("anchor").agg(F.sum(F.octet_length("snippet")).alias("bytes"), F.sum("n").alias("all"), F.min("a").alias("least"), F.max("b").alias("most"))
     usable = F.col("least") < F.col("most") if across else F.col("all") > 1
-    hot = sizes.where(F.col("k") > HOT).select("anchor")
+    hot = sizes.where(F.col("bytes") > HOT_BYTES).select("anchor")
     total = distinct.agg(F.coalesce(F.sum(F.octet_length("snippet")), F.lit(0)).alias("n")).first()["n"]
     tasks = max(1, -(-int(total) // bytes_in_task))
-    cold = distinct.join(sizes.where((F.col("k") <= HOT) & usable).select("anchor"), "anchor", "left_semi").repartition(tasks, "anchor")
+    cold = distinct.join(sizes.where((F.col("bytes") <= HOT_BYTES) & usable).select("anchor"), "anchor", "left_semi").repartition(tasks, "anchor")
     runs = "anchor long, same long, runs array<struct<first:int,last:int,least:long>>"
     found = cold.select("anchor", "same", "snippet", "a", "b", "n").mapInArrow(resolve, runs)
     if not hot.isEmpty():

@@ -225,12 +225,12 @@ def brute_phrases(rows):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("hot", [2000, 0])
+@pytest.mark.parametrize("hot", [4 << 20, 0])
 def test_phrase_dedup(spark, docs, rows, hot, monkeypatch):
     """With hot = 0 every anchor is compared window by window, as frequent ones are."""
     from docsift.llm import phrase_dedup, recurring
 
-    monkeypatch.setattr(recurring, "HOT", hot)
+    monkeypatch.setattr(recurring, "HOT_BYTES", hot)
     assert sorted((tuple(r) for r in phrase_dedup.without_repeats(docs).collect()), key=key) == brute_phrases(rows)
     assert phrase_dedup.without_repeats(empty(spark)).count() == 0
 
