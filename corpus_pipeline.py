@@ -12,6 +12,9 @@ from docsift.llm import decontamination, jaccard_join, packing, suffix_dedup, to
 from docsift.llm.common import table, written
 from docsift.llm.recurring import LARGEST
 
+#: Near duplicates of the stage: Jaccard similarity of 0.8 or more of five-word shingles. The op6 query has its own contract (3 and 90).
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 
 def carried(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
@@ -24,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of least id stays; of several rows with that id, the one with the least hash of its text."""
-    found = written(jaccard_join.join(docs), "groups")
+    """Documents link by NEAR_SHINGLE and NEAR_PERCENT. Of each group of linked documents the one of least id stays; of several rows with that id, the one with the least hash of its text."""
+    found = written(jaccard_join.join(docs, percent=NEAR_PERCENT, size=NEAR_SHINGLE), "groups")
     found = found.withColumn("doc_id", F.coalesce("doc_id", F.lit(LARGEST))).withColumn("component_id", F.coalesce("component_id", F.lit(LARGEST)))
     grouped = found.where("n_shingles > 0 and doc_id = component_id").groupBy("component_id").agg(F.min("version").alias("version")).withColumnRenamed("component_id", "doc_id")
     kept = grouped.unionByName(found.where("n_shingles = 0").select("doc_id", "version"))

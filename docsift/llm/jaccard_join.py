@@ -13,13 +13,17 @@ The boundary is the size up to which subsets cost no more than scanning the list
 with one above it have both kinds of keys. If all blocks in which two sets agree are empty, then one of them is followed by
 a block with one difference at most, and keys for that are emitted too (see block_keys).
 
+At 0.87 and below, blocks would be so small that many hold one shingle or none, and tie unlike sets together. There the keys are runs of
+neighbours in the order of hashes, taken as a circle: D elements that differ leave D gaps for c common ones, so some gap holds c / D or
+more, and c / D is at least t / (1 - t) for a threshold t (four at 0.8). Those neighbours are neighbours in both sets.
+
 The lists' sets form clusters; in a cluster, intersections are counted exactly, with bit matrices. No pairs are emitted.
 
 Null or empty texts have the empty set and link with nothing. With fewer words than a shingle has, the sequence is one shingle. A
 null id counts as the largest. Rows of one id are separate documents. Empty table: no rows.
 """
 
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 from math import comb
 
@@ -36,6 +40,9 @@ SHINGLE, PERCENT = 3, 90
 #: What scanning a posting of an inverted list costs, against emitting a key.
 SCAN = 8
 STEP = 1.25
+#: Under this run of common neighbours, runs are keys instead of blocks.
+RUN = 8
+PASSES = 4
 #: Sets of a cluster that one task holds; larger clusters are compared chunk by chunk.
 CHUNK = 8000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -60,6 +67,7 @@ class Scheme:
 
     def __init__(self, percent: int = PERCENT, scan: int = SCAN):
         self.percent = percent
+        self.run = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
         n = 1
         while self.subset_cost(n) <= scan * (self.most_different(n, self.largest(n)) + 1) and n < 60:
             n += 1
@@ -108,12 +116,20 @@ class Scheme:
                 for c in self.subset_sizes(n):
                     sums = np.array([(whole - sum(x)) & 0xFFFFFFFFFFFFFFFF for x in combinations(values, n - c)], np.uint64)
                     out.append(mixed(sums, np.full(len(sums), c, np.uint64)))
-        if n >= self.starts[0]:
+        if n >= self.starts[0] and self.run < RUN:
+            out.append(run_keys(weights, self.run))
+        elif n >= self.starts[0]:
             for bucket, blocks in self.buckets(n):
                 out.append(block_keys(s, weights, bucket, blocks))
         return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
+def run_keys(weights: np.ndarray, run: int) -> np.ndarray:
+    """A key for each run of so many neighbours in the order of hashes, the last and the first being neighbours."""
+    sums = sum((np.roll(weights, -i) for i in range(1, run)), weights.copy())
+    return mixed(sums, np.full(len(sums), run, np.uint64))
+
+
 def block_keys(s: np.ndarray, weights: np.ndarray, bucket: int, blocks: int) -> np.ndarray:
     """A key for each block that isn't empty. For an empty one, keys of the next block: whole, and less each of its elements."""
     block = (mixed(s, np.full(len(s), bucket, np.uint64)) % np.uint64(blocks)).astype(np.int64)
@@ -175,9 +191,15 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: s
     every = written(rows.mapInArrow(sets, "id long, version long, n long, k1 long, k2 long, keys array<long>"), "sets")
     classes = written(every.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "version")).alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "classes")
     # none of the sides that are joined below has a bounded size, so they are shuffled whatever their size (AQE splits skewed keys)
+    def edges_of(postings):
+        hubs = postings.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
+        return postings.join(hubs.hint("merge"), "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+
     postings = classes.select(F.col("k1").alias("node"), F.explode("keys").alias("key"))
-    hubs = postings.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
-    edges = postings.join(hubs.hint("merge"), "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    if scheme.run < RUN:  # a key for each shingle: a share of the keys at a time, so that the shuffle files of one pass at most are on disk
+        edges = reduce(DataFrame.union, [written(edges_of(postings.where(F.pmod("key", F.lit(PASSES)) == i)), "pass") for i in range(PASSES)])
+    else:
+        edges = edges_of(postings)
     clusters = components(edges)
 
     members = classes.drop("keys").join(clusters.select(F.col("node").alias("k1"), F.col("label").alias("cluster")), "k1")

@@ -410,3 +410,69 @@ def test_pipeline_stages(spark, docs, rows):
     cut = p.drop_repeated_text(spark, docs, "")
     assert cut.columns == docs.columns and cut.count() == len(rows)
     assert sorted(r["kept"] for r in cut.collect()) == sorted(x[3] for x in rows)  # an extra column of a clashing name is carried
+
+
+def brute_groups(texts, size, percent):
+    """For each text the number of its group, None without shingles."""
+    split = [[x for x in re.split(r"[\x20\x09-\x0D]+", lower(t or "")) if x] for t in texts]
+    sets = [frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) or frozenset([tuple(w)] if w else []) for w in split]
+    group = [i if s else None for i, s in enumerate(sets)]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+def near_copies(r):
+    """Families of texts with 0 to 12 % of the words replaced."""
+    out = []
+    for n in (3, 6, 12, 25, 40, 100, 150, 300):
+        for _ in range(4):
+            base = [f"w{r.randrange(10**9)}" for _ in range(n)]
+            for share in (0, 0.01, 0.02, 0.03, 0.05, 0.12):
+                own = list(base)
+                for i in r.sample(range(n), round(n * share)):
+                    own[i] = f"v{r.randrange(10**9)}"
+                out.append(" ".join(own))
+    return out
+
+
+def test_near_duplicate_stage_links_at_five_words_and_80(spark):
+    import corpus_pipeline as p
+
+    texts = near_copies(random.Random(21))
+    near = p.drop_near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "")
+    group = brute_groups(texts, 5, 80)
+    want = sorted({g: i for i, g in reversed(list(enumerate(group)))}.values())
+    assert len(want) < len(set(brute_groups(texts, 3, 90)))
+    assert sorted(r["doc_id"] for r in near.collect()) == want
+
+
+@pytest.mark.parametrize("chunk", [8000, 2])
+def test_jaccard_join_at_five_words_and_80(spark, chunk):
+    from docsift.llm.jaccard_join import join
+
+    texts = near_copies(random.Random(22))
+    group = brute_groups(texts, 5, 80)
+    least = {g: i for i, g in reversed(list(enumerate(group)))}
+    got = join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), percent=80, size=5, chunk=chunk)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(i, least[g]) for i, g in enumerate(group)]
+
+
+def test_linked_sets_share_a_key_at_80():
+    from docsift.llm.jaccard_join import Scheme
+
+    r = np.random.default_rng(1)
+    scheme = Scheme(80)
+    for n in [*range(2, 60), 75, 100, 137, 200, 400]:
+        for m in sorted({scheme.largest(n), (n + scheme.largest(n)) // 2, n, n + 1} & set(range(n, scheme.largest(n) + 1))):
+            for _ in range(8):
+                common = scheme.common(n, m)
+                if common > n:
+                    continue
+                pool = np.unique(r.integers(0, 1 << 63, n + m, dtype=np.uint64))
+                r.shuffle(pool)
+                a, b = np.sort(pool[:n]), np.sort(np.concatenate([r.permutation(pool[:n])[:common], pool[n : n + m - common]]))
+                if not np.array_equal(a, b):
+                    assert len(np.intersect1d(scheme.keys(a), scheme.keys(b))), (n, m)
