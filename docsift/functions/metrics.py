@@ -43,9 +43,14 @@ def nls(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def at_least(s: Column, threshold: float = ANLS_THRESHOLD) -> Column:
+    """A similarity if it reaches the threshold, else 0."""
+    return F.when(s >= threshold, s).otherwise(F.lit(0.0))
+
+
 def anls(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
     """The similarity if it reaches the threshold, else 0."""
-    return let(nls(pred, gt), lambda s: F.when(s >= threshold, s).otherwise(F.lit(0.0)))
+    return let(nls(pred, gt), lambda s: at_least(s, threshold))
 
 
 def exact_match(a: Column, b: Column, normalize: bool = True) -> Column:
