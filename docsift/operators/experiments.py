@@ -39,12 +39,18 @@ def existing(rows: DataFrame, files: DataFrame, key: str) -> DataFrame:
     return rows.join(files.select(key).distinct(), key, "left_semi")
 
 
-def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int = 30) -> DataFrame:
-    """(bin, n, density) of equal bins, the last closed; values outside are left out."""
-    width = (high - low) / bins
-    at = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1)).cast("int")
-    counts = rows.where(F.col(value).between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
-    return counts.withColumn("density", F.col("n") / (F.sum("n").over(Window.partitionBy()) * F.lit(width)))
+def histogram(rows: DataFrame, value: str, bins: int = 30) -> DataFrame:
+    """(bin, n, density) of equal bins from the least to the greatest value, the last closed; every value that isn't null is in one.
+
+    A single value gets a range of one around it, as in NumPy.
+    """
+    v = F.col(value).cast("double")
+    ends = rows.agg(F.min(v).alias("low"), F.max(v).alias("high"))
+    half = F.when(F.col("low") == F.col("high"), F.lit(0.5)).otherwise(F.lit(0.0))
+    ends = ends.select((F.col("low") - half).alias("low"), ((F.col("high") - F.col("low") + 2 * half) / bins).alias("width"))
+    at = F.least(F.floor((F.col("v") - F.col("low")) / F.col("width")), F.lit(bins - 1)).cast("int")
+    counts = rows.select(v.alias("v")).where("v is not null").crossJoin(F.broadcast(ends)).groupBy(at.alias("bin"), "width").agg(F.count("*").alias("n"))
+    return counts.select("bin", "n", (F.col("n") / (F.sum("n").over(Window.partitionBy()) * F.col("width"))).alias("density"))
 
 
 def statistics(rows: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -352,7 +352,7 @@ def q32_completeness(spark, sf_dir):
 @query("""with b as (select least(floor(n_chars / (3000.0 / 30)), 29)::int as bin from documents where n_chars between 0 and 3000), c as (select bin, count(*) as n from b group by 1)
 select bin, n, round(n / ((select sum(n) from c)::double * 100.0), 9) as density from c""")
 def q33_histogram(spark, sf_dir):
-    return experiments.histogram(table(spark, sf_dir, "documents"), "n_chars", 0, 3000).withColumn("density", F.round("density", 9))
+    return experiments.histogram(table(spark, sf_dir, "documents"), "n_chars").withColumn("density", F.round("density", 9))
 
 
 @query("select lang, count(n_chars) as n, round(avg(n_chars), 6) as mean, round(stddev_pop(n_chars), 6) as std, min(n_chars) as min, median(n_chars)::double as median, max(n_chars) as max from documents group by 1")

@@ -69,3 +69,8 @@ def test_turns_are_compared_whole(spark, tmp_path):
             want[c, i] = pytest.approx((s, s if s >= 0.5 else 0.0), abs=1e-6)
     got = {(r["conv_id"], r["turn"]): (r["nls"], r["anls"]) for r in catalog.q11_nls_anls(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_histogram_query_counts_every_document(spark, duck):
+    want = duck.sql("select count(n_chars), count(*) filter (n_chars > 3000) from documents").fetchall()[0]
+    assert want[1] and sum(r["n"] for r in catalog.q33_histogram(spark, SF).collect()) == want[0]

@@ -164,3 +164,14 @@ def test_streaming_equals_batch(spark, tmp_path):
     ingest.write_receipts(ingest.receipt_stream(spark, str(tmp_path / "in"), files_at_once=1), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     key = lambda df: sorted((r["doc_id"], r["receipt"]["total"]["total_price"]) for r in df.collect())
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(ingest.extracted(rows)) == [(i, "90,000") for i in range(20)]
+
+
+@pytest.mark.parametrize("values", [[0, 1, 2999, 3000, 3001, 90000, 90000, None], [7, 7, None], [-2.5, 0.1, 0.2, 4.0, 1e6], [None], []])
+def test_histogram_holds_every_value(spark, values):
+    got = experiments.histogram(spark.createDataFrame([(v if v is None else float(v),) for v in values], "v double"), "v").collect()
+    known = [v for v in values if v is not None]
+    want = np.histogram(known, 30) if known else (np.zeros(30, int), None)
+    assert {r["bin"]: r["n"] for r in got} == {i: n for i, n in enumerate(want[0].tolist()) if n}
+    if known:
+        density = np.histogram(known, 30, density=True)[0]
+        assert {r["bin"]: r["density"] for r in got} == {i: pytest.approx(d) for i, d in enumerate(density.tolist()) if d}
