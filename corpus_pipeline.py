@@ -27,17 +27,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents link by NEAR_SHINGLE and NEAR_PERCENT. Of each group of linked documents the one of least id stays; of several rows with that id, the one with the least hash of its text."""
+    """Documents link by NEAR_SHINGLE and NEAR_PERCENT. Of each group of linked documents one row stays: of least id, then of least hash of its text.
+
+    Rows of one id, or without any, are documents of their own. Rows without words link with nothing, so all of them stay.
+    """
     found = written(jaccard_join.join(docs, percent=NEAR_PERCENT, size=NEAR_SHINGLE), "groups")
-    found = found.withColumn("doc_id", F.coalesce("doc_id", F.lit(LARGEST))).withColumn("component_id", F.coalesce("component_id", F.lit(LARGEST)))
-    grouped = found.where("n_shingles > 0 and doc_id = component_id").groupBy("component_id").agg(F.min("version").alias("version")).withColumnRenamed("component_id", "doc_id")
-    kept = grouped.unionByName(found.where("n_shingles = 0").select("doc_id", "version"))
-    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("version").alias("kept_version")).distinct()
-    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LARGEST)) == F.col("kept_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("kept_version"))
-    out = docs.join(kept, key, "left_semi")
-    again = found.where("n_shingles > 0").groupBy("doc_id", "version").count().where("count > 1")
+    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(LARGEST))
+    heads = found.where(known("doc_id") == known("component_id")).where("n_shingles > 0 and version = component_version")
+    heads = heads.groupBy(known("doc_id").alias("id"), "version").agg(F.count("*").alias("times"))
+    words = F.coalesce(F.col("text").cast("string").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    rows = docs.where(words).select(known("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("version"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    kept = rows.join(heads.select("id", "version"), ["id", "version"], "left_semi")
     # rows that stand twice are one group each; without any there is nothing to look for
-    return out if again.isEmpty() else out.withColumn("kept_version", F.xxhash64("text")).dropDuplicates(["doc_id", "kept_version"]).drop("kept_version")
+    if not heads.where("times > 1").isEmpty():
+        kept = kept.dropDuplicates(["id", "version"])
+    return kept.select("row.*").unionByName(docs.where(~words))
 
 
 def drop_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,9 +173,10 @@ def links_within(sets: list[np.ndarray], percent: int, others: list[np.ndarray]
 
 
 def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links, version) of every row; component_id: the least id reachable by links.
+    """(doc_id, n_shingles, component_id, n_links, version, component_version) of every row; component_id: the least id reachable by links.
 
-    version: a hash of the text, which tells rows of one id apart.
+    version: a hash of the text, which tells rows of one id apart. component_version: the least one of the component's rows with its least id;
+    unlinked components may share an id, but not both.
     """
     scheme = Scheme(percent)
     rows = keyed(docs, id_col, text_col)
@@ -225,14 +226,14 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: s
         solved = solved.unionByName(solved_by_chunks(full.join(large, "cluster"), percent, chunk))
     solved = written(solved, "solved")
 
-    # the least id of each class, and of the classes that are linked with it
-    least = classes.select("k1", "k2", F.col("rep.id").alias("least"), "copies").join(solved, ["k1", "k2"], "left")
+    # the least (id, version) of each class, and of the classes that are linked with it
+    least = classes.select("k1", "k2", F.col("rep").alias("least"), "copies").join(solved, ["k1", "k2"], "left")
     least = least.withColumn("g1", F.coalesce("g1", "k1")).withColumn("g2", F.coalesce("g2", "k2"))
     group = least.groupBy("g1", "g2").agg(F.min("least").alias("component"))
     least = least.join(group, ["g1", "g2"]).select("k1", "k2", "component", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     real = lambda c: F.when(F.col(c) != LARGEST, F.col(c))
-    out = every.where("n > 0").select("id", "version", "n", "k1", "k2").join(least.hint("merge"), ["k1", "k2"]).select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), "n_links", "version")
-    alone = every.where("n = 0").select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "version")
+    out = every.where("n > 0").select("id", "version", "n", "k1", "k2").join(least.hint("merge"), ["k1", "k2"]).select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component.id").alias("component_id"), "n_links", "version", F.col("component.version").alias("component_version"))
+    alone = every.where("n = 0").select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "version", F.col("version").alias("component_version"))
     return out.unionByName(alone)
 
 

@@ -476,3 +476,30 @@ def test_linked_sets_share_a_key_at_80():
                 a, b = np.sort(pool[:n]), np.sort(np.concatenate([r.permutation(pool[:n])[:common], pool[n : n + m - common]]))
                 if not np.array_equal(a, b):
                     assert len(np.intersect1d(scheme.keys(a), scheme.keys(b))), (n, m)
+
+
+@pytest.mark.parametrize("chunk", [8000, 2])
+def test_near_duplicate_stage_keeps_a_row_of_each_group(spark, chunk, monkeypatch):
+    """Null and shared ids with linked and unlinked texts, repeated rows with and without words."""
+    import corpus_pipeline as p
+    from docsift.llm import jaccard_join
+
+    join = jaccard_join.join
+    monkeypatch.setattr(jaccard_join, "join", lambda *a, **k: join(*a, chunk=chunk, **k))
+    r = random.Random(31)
+    text = lambda: " ".join(f"w{r.randrange(10**9)}" for _ in range(120))
+    near = lambda t: " ".join(t.split(" ")[:-1] + ["changed"])
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    rows = [(None, t) for t in (a, near(a), b, c, c, "two words", "", "", None, None, " \n")]
+    rows += [(7, t) for t in (d, e, near(e), near(c), f, f, "", "", None)] + [(9, near(d)), (8, g), (1, near(g)), (2, "x"), (2, "y"), (2, "x")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, version long").repartition(3)
+    out = p.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [tuple(x) for x in out.collect()]
+    group = brute_groups([t for _, t in rows], 5, 80)
+    assert sorted(n for _, _, n in got if group[n] is None) == [n for n, x in enumerate(group) if x is None]
+    kept = [n for _, _, n in got if group[n] is not None]
+    assert sorted(group[n] for n in kept) == sorted({x for x in group if x is not None})
+    least = lambda n: min((i is None, i or 0) for (i, _), x in zip(rows, group, strict=True) if x == group[n])
+    assert all((rows[n][0] is None, rows[n][0] or 0) == least(n) for n in kept)
+    assert all((i, t) == rows[n] for i, t, n in got)
