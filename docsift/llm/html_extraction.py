@@ -13,6 +13,7 @@ A null page is empty. A page without main text gives an empty string. Repeated r
 
 import random
 import re
+from collections import Counter
 from functools import cache
 from html.parser import HTMLParser
 
@@ -152,6 +153,7 @@ def features(order: list[Node]) -> np.ndarray:
     total = max(order[0].text, 1)
     tags = tag_number()
     depth = [0] * len(order)
+    groups = {}  # of each parent: its children's places, text, links and how many have each tag
     for i, node in enumerate(order):
         own = list(attribute_features(node.attrs))
         if node.tag in GROUPS:
@@ -167,7 +169,9 @@ def features(order: list[Node]) -> np.ndarray:
             row[2 * n : 3 * n] = out[j, :n]
         else:
             siblings = [node]
-        k = siblings.index(node) if len(siblings) < 50 else 0
+        if j not in groups:
+            groups[j] = {id(x): at for at, x in enumerate(siblings)}, sum(x.text for x in siblings), sum(x.links for x in siblings), Counter(x.tag for x in siblings)
+        places, all_text, all_links, same = groups[j]
         words, text = node.words, node.text
         row[3 * n :] = (
             tags.get(node.tag, 0),
@@ -180,13 +184,13 @@ def features(order: list[Node]) -> np.ndarray:
             words / max(node.blocks, 1),
             len(node.children),
             len(siblings),
-            sum(s.text for s in siblings[:50]) / max(len(siblings[:50]), 1) if len(siblings) > 1 else text,
-            sum(s.links for s in siblings[:50]) / max(sum(s.text for s in siblings[:50]), 1),
-            sum(s.tag == node.tag for s in siblings[:50]) / max(len(siblings[:50]), 1),
+            all_text / len(siblings),
+            all_links / max(all_text, 1),
+            same[node.tag] / len(siblings),
             text / max(p.text, 1) if p is not None else 1.0,
-            k / max(len(siblings), 1),
-            sum(c.tag in ("p", "h1", "h2", "h3", "blockquote") for c in node.children[:50]),
-            sum(c.tag in ("li", "a", "input", "button") for c in node.children[:50]),
+            places[id(node)] / len(siblings),
+            sum(c.tag in ("p", "h1", "h2", "h3", "blockquote") for c in node.children),
+            sum(c.tag in ("li", "a", "input", "button") for c in node.children),
             text / max(words, 1),
         )
     return out

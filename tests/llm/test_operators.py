@@ -503,3 +503,21 @@ def test_near_duplicate_stage_keeps_a_row_of_each_group(spark, chunk, monkeypatc
     least = lambda n: min((i is None, i or 0) for (i, _), x in zip(rows, group, strict=True) if x == group[n])
     assert all((rows[n][0] is None, rows[n][0] or 0) == least(n) for n in kept)
     assert all((i, t) == rows[n] for i, t, n in got)
+
+
+def test_features_of_long_lists_count_every_sibling():
+    from docsift.llm import html_extraction as h
+
+    parent = h.Node("div", "", None)
+    parent.text, parent.links, parent.words, parent.blocks = 7140, 3540, 120, 1
+    order = [parent]
+    for i in range(120):
+        child = h.Node("p" if i < 60 else "li", "", parent)
+        child.text, child.links, child.words, child.blocks = i, i // 2, 1, 1
+        parent.children.append(child)
+        order.append(child)
+    out = h.features(order)[:, 3 * len(h.TOKENS) :]
+    texts, links = sum(range(120)), sum(i // 2 for i in range(120))
+    assert out[1:, 14].tolist() == pytest.approx([i / 120 for i in range(120)])
+    assert set(out[1:, 10].tolist()) == {np.float32(texts / 120)} and set(out[1:, 11].tolist()) == {np.float32(links / texts)}
+    assert set(out[1:, 12].tolist()) == {0.5} and out[0, 15:17].tolist() == [60, 60]
