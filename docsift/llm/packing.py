@@ -11,12 +11,13 @@ packed as often as they occur.
 """
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from functools import cache
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +25,54 @@ from docsift.llm.common import slices, written
 
 CAPACITY, END_ID = 4096, 1
 GROUPS, MOST_IN_PATTERN = 64, 4
-MOST_WORDS = 500_000
+MOST_WORDS = 120_000
 
 
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
 
+#: How the vocabulary file parts a text without white space.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Recent(dict):
+    """The ids, packed, of what was looked up lately: two generations of at most MOST_WORDS entries."""
+
+    def __init__(self):
+        self.older: dict[str, bytes] = {}
+
+    def all(self, keys: list[str], make) -> list[bytes]:
+        """The values of distinct keys. make: gives those of a list of keys that aren't known."""
+        if len(self) > MOST_WORDS:
+            self.older = dict(self)
+            self.clear()
+        out = list(map(self.get, keys))
+        lacking = [i for i, v in enumerate(out) if v is None]
+        for i in lacking:
+            out[i] = self.older.get(keys[i])
+        new = [i for i in lacking if out[i] is None]
+        for i, v in zip(new, make([keys[i] for i in new]), strict=True):
+            out[i] = v
+        self.update((keys[i], out[i]) for i in lacking)
+        return out
+
+
+def gathered(flat: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat holds entries of these sizes one after another; those of code in a row, and where each of them ends."""
+    n = sizes[code]
+    until = np.cumsum(n)
+    at = np.repeat(((np.cumsum(sizes) - sizes)[code] - until + n).astype(np.int32), n)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at], until
+
+
 class Words:
-    """Packed token ids of the words of texts. Words are runs of anything but white space, which this vocabulary drops, so
-    a text's ids are those of its words in turn. The ids of recent words are kept."""
+    """Token ids of texts. Words are runs of anything but white space, which this vocabulary drops, so a text's ids are those of
+    its words in turn. Arrow splits texts, numbers the distinct words and cuts them as the vocabulary does; only distinct
+    parts that are new go to its merge model.
+
+    Words that may hold special strings, U+001C-1F or characters from U+0250 on go to the library whole.
+    """
 
     def __init__(self, path: str):
         import os
@@ -42,29 +82,51 @@ class Words:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.odd = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the vocabulary
-        self.white = re.compile("[\t-\r \x85\xa0  -     　]+")
-
-    def split(self, text: str) -> list[str]:
-        return [w for w in self.white.split(text) if w] if self.odd.search(text) else text.split()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MOST_WORDS:
-            self.older, self.known = self.known, {}
-        split = [self.split(t) for t in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        lacking = {w for words, values in zip(split, found, strict=True) if None in values for w, v in zip(words, values, strict=True) if v is None}
-        for w in [w for w in lacking if w in self.older]:
-            self.known[w] = self.older[w]
-            lacking.discard(w)
-        new = list(lacking)
-        for i in range(0, len(new), 20_000):
-            for w, e in zip(new[i : i + 20_000], self.library.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join([known[w] if v is None else v for w, v in zip(words, values, strict=True)] if None in values else values) for words, values in zip(split, found, strict=True)]
+        self.model = self.library.model
+        self.words, self.parts = Recent(), Recent()
+        self.odd = re.compile("[\x1c-\x1f]")  # white space to Arrow and str.split, but not to the vocabulary
+        self.white = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(own)]
+        #: What stands for each byte in the vocabulary: itself if it can be printed, else the next character from 256 on.
+        self.stand_ins = {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+            return pa.array([[w for w in self.white.split(t) if w] if self.odd.search(t) else t.split() for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pc.utf8_split_whitespace(texts)  # with an empty string where a text begins or ends with white space
+
+    def of_parts(self, parts: list[str]) -> list[bytes]:
+        raw = [p if p.isascii() else p.encode().decode("latin-1").translate(self.stand_ins) for p in parts]
+        return [np.array([t.id for t in self.model.tokenize(p)], "<u4").tobytes() if p else b"" for p in raw]
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(words), 2_000):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words[k : k + 2_000], add_special_tokens=False)]
+        return out
+
+    def packed(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (and the last's end)."""
+        split = self.split(pc.fill_null(texts, ""))
+        offsets = split.offsets.to_numpy()
+        coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        whole = pc.match_substring_regex(coded.dictionary, "[\x1c-\x1f<\u0130\u0250-\U0010ffff]")
+        cut = pc.replace_substring_regex(pc.utf8_lower(coded.dictionary.filter(pc.invert(whole))), PRE_TOKEN, "\\0 ")
+        cut = pc.split_pattern(pc.utf8_rtrim(cut, " "), " ")
+        parts = cut.flatten().dictionary_encode()
+        ids, until = gathered(*self.packed(self.parts.all(parts.dictionary.to_pylist(), self.of_parts)), parts.indices.to_numpy())
+        ends = np.concatenate([[0], until])[np.cumsum(pc.list_value_length(cut).to_numpy())]
+        others, other_sizes = self.packed(self.words.all(coded.dictionary.filter(whole).to_pylist(), self.of_words))
+        # the distinct words in this order: those that were cut, then the others
+        whole = whole.to_numpy(zero_copy_only=False)
+        number = np.where(whole, np.cumsum(whole) - 1 + len(ends), np.cumsum(~whole) - 1)
+        sizes = np.concatenate([np.diff(ends, prepend=0), other_sizes])
+        out, until = gathered(np.concatenate([ids, others]), sizes, number[coded.indices.to_numpy()])
+        return out, np.concatenate([[0], until])[offsets - offsets[0]]
 
 
 @cache
@@ -83,11 +145,12 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: s
         for batch in batches:
             for part in slices(batch, 1, 4 << 20):
                 out = []
-                for doc, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += END_ID.to_bytes(4, "little")
-                    for k, i in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[i : i + 4 * capacity]
-                        out.append((doc, k, i // 4, len(own) // 4, zlib.crc32(own)))
+                ids, first = encode(part.column(1))
+                for doc, a, b in zip(part.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    own = np.append(ids[a:b], np.uint32(END_ID))
+                    for k, i in enumerate(range(0, len(own), capacity)):
+                        piece = own[i : i + capacity]
+                        out.append((doc, k, i, len(piece), zlib.crc32(piece)))
                 if out:
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -126,26 +189,34 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, most: int = MOST_IN_PATTERN) -> list[tuple[list[tuple[int, int]], int]]:
-    """Patterns ([(length, how many)], repeats) that hold each length as often as the histogram says."""
-    left = {n: c for n, c in histogram.items() if c > 0}
-    groups = min(groups, capacity)
-    group = lambda n: -(-n * groups // capacity)
-    ways = [w for k in range(1, most + 1) for w in combinations_with_replacement(range(1, groups + 1), k - 1) if (r := groups - sum(w)) >= (w[-1] if w else 1) for w in [(*w, r)]]
+def fitted(histogram: dict[int, int], capacity: int, groups: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns (groups of lengths, the longest first) and how often the fit repeats them. Group g holds the lengths up to g / groups of the
+    capacity; lengths in the lowest sixteenth are kept back for the room that is left."""
+    least = groups // 16 + 1
+    ways = [(*w[::-1],) for k in range(1, most + 1) for v in combinations_with_replacement(range(least, groups + 1), k - 1) if (r := groups - sum(v)) >= (v[-1] if v else least) for w in [(*v, r)]]
     a = np.zeros((groups, len(ways)))
     for j, way in enumerate(ways):
         for g in way:
             a[g - 1, j] += 1
     b = np.zeros(groups)
-    for n, c in left.items():
-        b[group(n) - 1] += c
+    for n, c in histogram.items():
+        b[-(-n * groups // capacity) - 1] += c
+    b[: least - 1] = 0
     scale = max(1.0, b.max())
-    repeats = np.floor(nnls(a, b / scale) * scale + 1e-6).astype(np.int64) if left else np.zeros(len(ways), np.int64)
+    repeats = np.floor(nnls(a, b / scale) * scale + 1e-6).astype(np.int64)
+    return [(ways[j], int(repeats[j])) for j in np.argsort(-repeats, kind="stable") if repeats[j]]
 
-    by_group: dict[int, list[int]] = {}
-    for n in sorted(left):
-        by_group.setdefault(group(n), []).append(n)
+
+def filled(histogram: dict[int, int], capacity: int, groups: int, ways: list[tuple[tuple[int, ...], int]]) -> list[tuple[list[tuple[int, int]], int]]:
+    """Sequences that follow ways as far as lengths are there, and then best fit, the longest first, for what is left.
+
+    All slots but the last of a way take the longest of their group; the last takes the longest that fits, so that little room is lost.
+    """
+    left = {n: c for n, c in histogram.items() if c > 0}
+    there = sorted(left)
+    group = lambda n: -(-n * groups // capacity)
     open_: dict[int, list[list]] = {}  # by room left: [pattern, repeats]
+    rooms: list[int] = []
 
     def put(room: int, pattern: list, times: int) -> None:
         if room not in open_:
@@ -153,31 +224,36 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
             insort(rooms, room)
         open_[room].append([pattern, times])
 
-    rooms: list[int] = []
-    for j in np.argsort(-repeats, kind="stable"):
-        times = int(repeats[j])
+    def longest(most: int, taken: dict[int, int]) -> int | None:
+        for i in range(bisect_right(there, most) - 1, -1, -1):
+            if left[there[i]] > taken.get(there[i], 0):
+                return there[i]
+        return None
+
+    for way, times in ways:
         while times > 0:
-            pattern, run, need = [], times, {}
-            for g in ways[j]:
-                own = by_group.get(g) or []
-                need[g] = need.get(g, 0) + 1
-                pick = next((n for n in reversed(own) if left[n] > pattern.count(n)), None)
-                if pick is None:
-                    run = 0
+            taken: dict[int, int] = {}
+            room = capacity
+            for slot, g in enumerate(way):
+                last = slot == len(way) - 1
+                n = longest(room if last else g * capacity // groups, taken)
+                if n is None or (not last and group(n) != g) or (last and 2 * group(n) < g):
+                    taken = {}
                     break
-                pattern.append(pick)
-            if not run:
+                taken[n] = taken.get(n, 0) + 1
+                room -= n
+            if not taken:
                 break
-            counts = {n: pattern.count(n) for n in pattern}
-            run = min(run, *(left[n] // c for n, c in counts.items()))
-            for n, c in counts.items():
+            run = min(times, *(left[n] // c for n, c in taken.items()))
+            for n, c in taken.items():
                 left[n] -= c * run
                 if not left[n]:
-                    by_group[group(n)].remove(n)
-            put(capacity - sum(pattern), list(counts.items()), run)
+                    del left[n]
+                    there.remove(n)
+            put(room, list(taken.items()), run)
             times -= run
 
-    for n in sorted((n for n, c in left.items() if c), reverse=True):
+    for n in sorted(left, reverse=True):
         c = left[n]
         while c:
             i = bisect_left(rooms, n)
@@ -201,6 +277,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     return [(pattern, times) for of in open_.values() for pattern, times in of if pattern]
 
 
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, most: int = MOST_IN_PATTERN) -> list[tuple[list[tuple[int, int]], int]]:
+    """Patterns ([(length, how many)], repeats) that hold each length as often as the histogram says.
+
+    Of the fit's repeat counts as they are, the half of them, and none of them (best fit alone), what gives the fewest sequences.
+    """
+    groups = min(groups, capacity)
+    ways = fitted(histogram, capacity, groups, most) if any(histogram.values()) else []
+    shares = [[(w, t) for w, t in ways], [(w, t // 2) for w, t in ways], []]
+    return min((filled(histogram, capacity, groups, own) for own in shares), key=lambda found: sum(times for _, times in found))
+
+
 def places(patterns: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:
     """Rows (length, first rank, how many side by side, offset, first sequence), in order: where pieces of a length go by their rank."""
     rows, taken, sequence = [], {}, 0
