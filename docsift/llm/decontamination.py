@@ -117,7 +117,7 @@ class Patterns:
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pass_bytes: int = PASS_BYTES, carry: str | None = None
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs, and the column carry, if one is named.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs, and the text and the column carry, as carried, if one is named.
 
     No shuffle: the windows of at most pass_bytes of items are broadcast at a time. More items are dealt into parts by id,
     and the documents pass each part in turn.
@@ -133,7 +133,7 @@ def find_contamination(
         patterns = spark.sparkContext.broadcast(Patterns([(r["item_id"], r["text"].encode()) for r in own.collect()], width))  # at most about pass_bytes of text
         if part:
             rows = written(rows, "decontamination")
-        rows = rows.mapInArrow(scan(patterns, part == parts - 1), (ROWS if part < parts - 1 else RESULT) + more)
+        rows = rows.mapInArrow(scan(patterns, part == parts - 1, carry), (ROWS if part < parts - 1 else RESULT + ", text string" * bool(carry)) + more)
     return rows
 
 
@@ -141,7 +141,7 @@ ROWS = "doc_id long, text string, hit binary, items array<long>"
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def scan(patterns, last: bool):
+def scan(patterns, last: bool, carry):
     """One pass over documents. Hits of earlier passes come as packed bits."""
 
     def run(batches):
@@ -160,7 +160,7 @@ def scan(patterns, last: bool):
                     continue
                 n = [int(h.sum()) for h in hits]
                 digests = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-                columns = [part.column(0), *(pa.array(x, pa.int64()) for x in (list(map(len, texts)), n, list(map(len, items)))), pa.array(digests, pa.string()), pa.array([x > 0 for x in n], pa.bool_()), *part.columns[4:]]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *part.schema.names[4:]])
+                columns = [part.column(0), *(pa.array(x, pa.int64()) for x in (list(map(len, texts)), n, list(map(len, items)))), pa.array(digests, pa.string()), pa.array([x > 0 for x in n], pa.bool_()), *([part.column(1)] if carry else []), *part.columns[4:]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["text"] if carry else []), *part.schema.names[4:]])
 
     return run

@@ -43,8 +43,10 @@ STEP = 1.25
 #: Under this run of common neighbours, runs are keys instead of blocks.
 RUN = 8
 PASSES = 4
-#: Sets of a cluster that one task holds; larger clusters are compared chunk by chunk.
-CHUNK = 8000
+#: Sets of a cluster that one task holds, and shingles for each of these on average; larger clusters are compared chunk by chunk.
+CHUNK, CHUNK_SHINGLES = 2000, 1000
+#: Bytes of each array that a cluster is compared with.
+MATRIX_BYTES = 16 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -151,24 +153,34 @@ def links_within(sets: list[np.ndarray], percent: int, others: list[np.ndarray]
     sizes = np.array(list(map(len, all_)))
     values, number, counts = np.unique(np.concatenate(all_), return_inverse=True, return_counts=True)
     shared = np.cumsum(counts > 1) - 1
-    owner = np.repeat(np.arange(len(all_)), sizes)
     keep = counts[number] > 1
-    rows, columns = owner[keep], shared[number[keep]]
+    rows, columns = np.repeat(np.arange(len(all_)), sizes)[keep], shared[number[keep]]
+    by = np.argsort(columns, kind="stable")
+    rows, columns = rows[by], columns[by]
     width = -(-int((counts > 1).sum()) // 64) or 1
+    wide = max(1, MATRIX_BYTES // (8 * len(all_)))  # words of a block of the matrix
+    tall = max(1, MATRIX_BYTES // (4 * len(all_)))
+
+    def block(at: int) -> np.ndarray:
+        a, b = np.searchsorted(columns, [64 * at, 64 * (at + wide)])
+        bits = np.zeros((len(all_), min(wide, width - at)), np.uint64)
+        np.bitwise_or.at(bits, (rows[a:b], (columns[a:b] >> 6) - at), np.uint64(1) << (columns[a:b] & 63).astype(np.uint64))
+        return bits
+
+    whole = block(0) if width <= wide else None
     out = []
-    if len(all_) * width * 8 <= 192 << 20:
-        bits = np.zeros((len(all_), width), np.uint64)
-        np.bitwise_or.at(bits, (rows, columns >> 6), np.uint64(1) << (columns & 63).astype(np.uint64))
-        common = lambda i, a: np.bitwise_count(bits[a:] & bits[i]).sum(1, dtype=np.int64)
-    else:  # too many shingles for a matrix: scan their lists
-        order = np.argsort(columns, kind="stable")
-        by, first = rows[order], np.searchsorted(columns[order], np.arange(int(columns.max()) + 2))
-        own = np.searchsorted(rows, np.arange(len(all_) + 1))
-        common = lambda i, a: np.bincount(np.concatenate([by[first[c] : first[c + 1]] for c in columns[own[i] : own[i + 1]]] or [np.empty(0, np.int64)]), minlength=len(all_))[a:]
-    for i in range(len(sets)):
-        a = i + 1 if others is None else len(sets)
-        both = common(i, a)
-        out.append(np.flatnonzero(100 * both >= percent * (sizes[a:] + sizes[i] - both)) + (a if others is None else 0))
+    for first in range(0, len(sets), tall):
+        some = range(first, min(first + tall, len(sets)))
+        common = np.zeros((len(some), len(all_)), np.int32)
+        for at in range(0, width, wide):
+            bits = block(at) if whole is None else whole
+            for i in some:
+                a = i + 1 if others is None else len(sets)
+                common[i - first, a:] += np.bitwise_count(bits[a:] & bits[i]).sum(1, dtype=np.int32)
+        for i in some:
+            a = i + 1 if others is None else len(sets)
+            both = common[i - first, a:].astype(np.int64)
+            out.append(np.flatnonzero(100 * both >= percent * (sizes[a:] + sizes[i] - both)) + (a if others is None else 0))
     return out
 
 
@@ -205,7 +217,7 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: s
 
     members = classes.drop("keys").join(clusters.select(F.col("node").alias("k1"), F.col("label").alias("cluster")), "k1")
     members = written(members.select("cluster", "k1", "k2", "n", "copies", "rep.id", "rep.version"), "members")
-    largest = members.groupBy("cluster").agg(F.count("*").alias("m"))
+    largest = members.groupBy("cluster").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("m"))
     large = written(largest.where(F.col("m") > chunk), "large")
 
     def gathered(batches):

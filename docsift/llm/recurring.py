@@ -25,7 +25,7 @@ PLACE = np.uint64((1 << PLACE_BITS) - 1)
 LARGEST = (1 << 63) - 1
 #: Bytes of one anchor's distinct snippets, as many as a task holds. Beyond, they are compared window by window instead of together.
 HOT_BYTES = 4 << 20
-MOST_WORDS = 400_000
+MOST_WORDS = 80_000
 
 
 class WordHashes(dict):
