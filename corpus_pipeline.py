@@ -17,13 +17,20 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def carried(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    """Id, text and, in one column row, the others and whether there is a text: each text is carried once."""
+    others = F.struct(*(docs[c] for c in docs.columns if c != "text"))
+    return docs.select("doc_id", "text", F.struct(others.alias("others"), docs["text"].isNotNull().alias("there")).alias("row"))
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from a text and what was carried along."""
+    return rows.select(*((F.col("text") if c == "text" else F.col("carried.others").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches the threshold go."""
     scored = toxicity.score_toxicity(carried(docs), table(spark, sf_dir, "labels"), carry="row")
-    return scored.where("predicted = 0").select("carried.*")
+    return restored(scored.where("predicted = 0"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,33 +38,32 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows of one id, or without any, are documents of their own. Rows without words link with nothing, so all of them stay.
     """
-    found = written(jaccard_join.join(docs, percent=NEAR_PERCENT, size=NEAR_SHINGLE), "groups")
+    found = written(jaccard_join.join(docs.select("doc_id", "text"), percent=NEAR_PERCENT, size=NEAR_SHINGLE), "groups")
     known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(LARGEST))
     heads = found.where(known("doc_id") == known("component_id")).where("n_shingles > 0 and version = component_version")
     heads = heads.groupBy(known("doc_id").alias("id"), "version").agg(F.count("*").alias("times"))
-    words = F.coalesce(F.col("text").cast("string").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
-    rows = docs.where(words).select(known("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("version"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    kept = rows.join(heads.select("id", "version"), ["id", "version"], "left_semi")
+    # the documents' columns stand in one column, so that names can't clash
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), known("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("version"), F.coalesce(F.col("text").cast("string").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False)).alias("words"))
+    kept = rows.where("words").join(heads.select("id", "version"), ["id", "version"], "left_semi")
     # rows that stand twice are one group each; without any there is nothing to look for
     if not heads.where("times > 1").isEmpty():
         kept = kept.dropDuplicates(["id", "version"])
-    return kept.select("row.*").unionByName(docs.where(~words))
+    return kept.select("row.*").unionByName(rows.where("not words").select("row.*"))
 
 
 def drop_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Characters all of whose bytes are covered by a string of 200 bytes that starts elsewhere too go; n_chars follows."""
     cut = suffix_dedup.without_repeats(carried(docs), whole_characters=True, carry="row")
-    text = F.when(F.col("carried.text").isNotNull(), F.decode("kept", "UTF-8"))
-    new = {"text": text.alias("text")}
+    out = restored(cut.select(F.when(F.col("carried.there"), F.decode("kept", "UTF-8")).alias("text"), "carried"), docs)
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.coalesce(F.length(text).cast(docs.schema["n_chars"].dataType), F.col("carried.n_chars")).alias("n_chars")
-    return cut.select(*(new.get(c, F.col("carried").getField(c).alias(c)) for c in docs.columns))
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark window occurs go."""
     found = decontamination.find_contamination(carried(docs), table(spark, sf_dir, "benchmark"), carry="row")
-    return found.where("not contaminated").select("carried.*")
+    return restored(found.where("not contaminated"), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
