@@ -60,7 +60,7 @@ def confirm(rows: list[tuple], width: int) -> list[tuple[str, list[str], int]]:
     return out
 
 
-def locate(rows: list[tuple], passages: list[tuple[str, list[str], int]], width: int) -> list[tuple[int, int, list]]:
+def locate(rows: list[tuple], passages: list[tuple[str, list[str], int]], width: int) -> list[tuple[int, int, list, int]]:
     """By one automaton of the passages' phrases: for each row its runs of located windows."""
     import ahocorasick
 
@@ -80,7 +80,7 @@ def locate(rows: list[tuple], passages: list[tuple[str, list[str], int]], width:
         return []
     automaton.make_automaton()
     out = []
-    for anchor, same, text, *_ in rows:
+    for anchor, same, text, _, _, times in rows:
         framed, found = f" {text} ", {}
         for end, (size, own) in automaton.iter(framed):
             at = end - size + 2  # the phrase's first word
@@ -97,7 +97,7 @@ def locate(rows: list[tuple], passages: list[tuple[str, list[str], int]], width:
                     runs[-1][1] = j
                 else:
                     runs.append([j, j, least])
-            out.append((anchor, same, [tuple(r) for r in runs]))
+            out.append((anchor, same, [tuple(r) for r in runs], times))
     return out
 
 

@@ -26,6 +26,8 @@ LARGEST = (1 << 63) - 1
 #: Bytes of one anchor's distinct snippets, as many as a task holds. Beyond, they are compared window by window instead of together.
 HOT_BYTES = 4 << 20
 MOST_WORDS = 80_000
+#: A key is frequent if it has more than this share of all rows, so that fewer than the inverse are; those go by broadcast.
+FREQUENT, FEW = 1 / 2000, 1000
 
 
 class WordHashes(dict):
@@ -159,7 +161,9 @@ def snippets(rows: DataFrame, kind: Kind, across: bool) -> DataFrame:
     every = written(rows.mapInArrow(marks, f"{KEY}, anchor long, first int, last int"), "anchors")
     groups = every.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
     groups = groups.where(F.col("a") < F.col("b")) if across else groups.where(F.col("n") > 1)
-    lists = every.join(groups.select("anchor"), "anchor", "left_semi").groupBy("id", "version").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("recurring"))
+    groups = written(groups, "recurring")
+    total = every.count()
+    lists = met(every, groups.select("anchor", "n"), ["anchor"], total).groupBy("id", "version").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("recurring"))
 
     def cut(batches):
         for batch in batches:
@@ -179,11 +183,24 @@ def snippets(rows: DataFrame, kind: Kind, across: bool) -> DataFrame:
     return written(rows.join(lists, ["id", "version"]).mapInArrow(cut, f"{KEY}, anchor long, same long, first long, snippet binary"), "snippets")
 
 
+def met(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows, total of them, joined with groups, a written table with a row for each key and n, how many rows have it.
+
+    Frequent keys, fewer than 1 / FREQUENT, are broadcast, so that their rows stay where they are; the others are shuffled.
+    """
+    frequent = groups.where(F.col("n") > max(FEW, total * FREQUENT))
+    few, many = frequent.drop("n"), groups.where(F.col("n") <= max(FEW, total * FREQUENT)).drop("n")
+    if frequent.isEmpty():
+        return rows.join(many.hint("merge"), keys)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti")
+    return rest.join(many.hint("merge"), keys).unionByName(rows.join(F.broadcast(few), keys))
+
+
 def recurring_spans(rows: DataFrame, kind: Kind, across: bool, resolve: Callable, bytes_in_task: int = HOT_BYTES) -> DataFrame:
     """(id, version, spans): the units of each row that recurring windows cover, as a list of [start, end) in order.
 
     resolve takes the distinct snippets of a task, in batches of (anchor, same, snippet, least id, largest id, times), and
-    gives (anchor, same, runs), a run being (first window, last window, least id with them), windows numbered from the
+    gives (anchor, same, runs, times), a run being (first window, last window, least id with them), windows numbered from the
     snippet's start. across: only windows that also stand under a smaller id count for a document.
     """
     every = snippets(rows, kind, across)
@@ -195,12 +212,13 @@ def recurring_spans(rows: DataFrame, kind: Kind, across: bool, resolve: Callable
     total = distinct.agg(F.coalesce(F.sum(F.octet_length("snippet")), F.lit(0)).alias("n")).first()["n"]
     tasks = max(1, -(-int(total) // bytes_in_task))
     cold = distinct.join(sizes.where((F.col("bytes") <= HOT_BYTES) & usable).select("anchor"), "anchor", "left_semi").repartition(tasks, "anchor")
-    runs = "anchor long, same long, runs array<struct<first:int,last:int,least:long>>"
+    runs = "anchor long, same long, runs array<struct<first:int,last:int,least:long>>, n long"
     found = cold.select("anchor", "same", "snippet", "a", "b", "n").mapInArrow(resolve, runs)
     if not hot.isEmpty():
         found = found.unionByName(hot_windows(distinct.join(hot, "anchor", "left_semi"), kind, across))
+    # a snippet has at most as many runs as windows with one anchor, so a frequent one is a small row
     found = written(found, "found")
-    places = every.select("id", "version", "anchor", "same", "first").join(found, ["anchor", "same"]).select("id", "version", "first", F.explode("runs").alias("run"))
+    places = met(every.select("id", "version", "anchor", "same", "first"), found, ["anchor", "same"], every.count()).select("id", "version", "first", F.explode("runs").alias("run"))
     if across:
         places = places.where(F.col("run.least") < F.col("id"))
     spans = places.select("id", "version", F.struct((F.col("first") + F.col("run.first")).alias("start"), (F.col("first") + F.col("run.last") + kind.width).alias("end")).alias("span"))
@@ -228,7 +246,7 @@ def hot_windows(distinct: DataFrame, kind: Kind, across: bool) -> DataFrame:
     groups = groups.where(F.col("least") < F.col("most")) if across else groups.where(F.col("all") > 1)
     hits = windows.join(groups.select("w1", "w2", "least"), ["w1", "w2"])
     run = F.struct(F.col("j").cast("int").alias("first"), F.col("j").cast("int").alias("last"), "least")
-    return hits.groupBy("anchor", "same").agg(F.collect_list(run).alias("runs"))
+    return hits.groupBy("anchor", "same").agg(F.collect_list(run).alias("runs"), F.max("n").alias("n"))
 
 
 def batches_by_size(batches, limit: int):
@@ -245,10 +263,10 @@ def batches_by_size(batches, limit: int):
         yield out
 
 
-def as_runs(found: list[tuple[int, int, list[tuple[int, int, int]]]]) -> pa.RecordBatch:
+def as_runs(found: list[tuple[int, int, list[tuple[int, int, int]], int]]) -> pa.RecordBatch:
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("least", pa.int64())]))
     runs = [[dict(zip(("first", "last", "least"), r, strict=True)) for r in x[2]] for x in found]
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array(runs, kind)], ["anchor", "same", "runs"])
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array(runs, kind), pa.array([x[3] for x in found], pa.int64())], ["anchor", "same", "runs", "n"])
 
 
 def merged(spans) -> list[tuple[int, int]]:

@@ -19,7 +19,8 @@ from docsift.llm.common import as_bytes, slices
 from docsift.llm.recurring import Kind, as_runs, batches_by_size, keyed, merged, mixed, recurring_spans, with_spans
 
 WIDTH, GRAM = 200, 32
-BATCH = 4 << 20
+#: Bytes of snippets that enter the index at once: a task holds several batches, whose levels merge.
+BATCH = 2 << 20
 
 
 def big_endian(text: bytes) -> np.ndarray:
@@ -192,13 +193,13 @@ def resolver(width: int):
             counts = sizes - width + 1
             places = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
             index.add(b"".join(r[2] for r in part), places, np.repeat(np.array([r[5] for r in part]), counts))
-            rows += [(r[0], r[1], n) for r, n in zip(part, sizes.tolist(), strict=True)]
+            rows += [(r[0], r[1], n, r[5]) for r, n in zip(part, sizes.tolist(), strict=True)]
         flags, at, out = index.recurring(), 0, []
-        for anchor, same, n in rows:
+        for anchor, same, n, times in rows:
             f = np.flatnonzero(np.diff(np.concatenate([[0], flags[at : at + n - width + 1], [0]])))
             at += n
             if len(f):
-                out.append((anchor, same, [(int(a), int(b) - 1, 0) for a, b in f.reshape(-1, 2)]))
+                out.append((anchor, same, [(int(a), int(b) - 1, 0) for a, b in f.reshape(-1, 2)], times))
         for i in range(0, len(out), 5000):
             yield as_runs(out[i : i + 5000])
 

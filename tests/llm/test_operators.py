@@ -172,9 +172,15 @@ def test_decontamination(spark, docs, rows, pass_bytes):
 # --- repeated text --------------------------------------------------------------------------------------------------
 
 
-def test_suffix_array_dedup(spark, docs, rows):
+@pytest.mark.parametrize("hot,few", [(4 << 20, 1000), (0, 0)])
+def test_suffix_array_dedup(spark, docs, rows, hot, few, monkeypatch):
+    """With hot = 0 every anchor is compared window by window, with few = 0 frequent keys are broadcast, as in large tables."""
+    from docsift.llm import recurring
     from docsift.llm.suffix_dedup import without_repeats
 
+    monkeypatch.setattr(recurring, "HOT_BYTES", hot)
+    monkeypatch.setattr(recurring, "FEW", few)
+
     counts = {}
     for _, t, *_ in rows:
         b = (t or "").encode()
@@ -231,6 +237,7 @@ def test_phrase_dedup(spark, docs, rows, hot, monkeypatch):
     from docsift.llm import phrase_dedup, recurring
 
     monkeypatch.setattr(recurring, "HOT_BYTES", hot)
+    monkeypatch.setattr(recurring, "FEW", hot)
     assert sorted((tuple(r) for r in phrase_dedup.without_repeats(docs).collect()), key=key) == brute_phrases(rows)
     assert phrase_dedup.without_repeats(empty(spark)).count() == 0
 
