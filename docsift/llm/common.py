@@ -1,6 +1,7 @@
 """What the operators of this package share: reading, cutting lineage, batches as bytes."""
 
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -25,6 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: The tables that each thread has written and not yet discarded: path, and the session that deletes it.
+standing: dict[int, dict[str, SparkSession]] = {}
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: later readers don't recompute it, and lost executors cost nothing."""
     spark, tidy = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -35,7 +40,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(tidy, before)
-    return spark.read.schema(df.schema).parquet(path)
+    standing.setdefault(threading.get_ident(), {})[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    own = standing.get(threading.get_ident(), {})
+    for path in [t.written_to for t in tables]:
+        if spark := own.pop(path, None):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard_but(docs: DataFrame) -> None:
+    """Deletes the tables that this thread has written so far, but for those that docs reads."""
+    used = "\n".join(docs.inputFiles())
+    for path, spark in list(standing.get(threading.get_ident(), {}).items()):
+        if path.rsplit("/", 1)[-1] not in used:
+            gone = spark.range(0)
+            gone.written_to = path
+            discard(gone)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import written
+from docsift.llm.common import discard, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -20,7 +20,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         jumps = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = taken.join(jumps, "label").select("node", "old", F.least("label", "next").alias("label"))
         new = written(new, "labels")
-        labels = new.select("node", "label")
+        discard(labels)
+        labels = new
         if new.where("old <> label").isEmpty():
-            return labels
+            discard(both)
+            return labels.select("node", "label")
     raise RuntimeError(f"components have not settled after {rounds} rounds")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import as_bytes, slices, written
+from docsift.llm.common import as_bytes, discard, slices, written
 from docsift.llm.components import components
 from docsift.llm.recurring import LARGEST, keyed, mixed, word_units
 
@@ -195,27 +195,38 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: s
 
     def sets(batches):
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, 4 << 20):
                 found = [shingles(t, size) for t in as_bytes(part.column(2))]
                 k = np.array([digest(s) for s in found], np.int64).reshape(-1, 2)
-                keys = pa.array([scheme.keys(s).view(np.int64) for s in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(len, found)), pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), keys], ["id", "version", "n", "k1", "k2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(len, found)), pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1])], ["id", "version", "n", "k1", "k2"])
+
+    every = written(rows.mapInArrow(sets, "id long, version long, n long, k1 long, k2 long"), "sets")
+    classes = written(every.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "version")).alias("rep"), F.count("*").alias("copies")), "classes")
+
+    def keys(batches):
+        """The keys of one text of each class."""
+        for batch in batches:
+            for part in slices(batch, 1, 1 << 20):
+                found = [scheme.keys(shingles(t, size)) for t in as_bytes(part.column(1))]
+                nodes = np.repeat(part.column(0).to_numpy(), list(map(len, found)))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(found).view(np.int64))], ["node", "key"])
 
-    every = written(rows.mapInArrow(sets, "id long, version long, n long, k1 long, k2 long, keys array<long>"), "sets")
-    classes = written(every.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "version")).alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "classes")
     # none of the sides that are joined below has a bounded size, so they are shuffled whatever their size (AQE splits skewed keys)
+    reps = rows.join(classes.select("rep.id", "rep.version", F.col("k1").alias("node")).hint("merge"), ["id", "version"]).select("node", "text")
+    postings = written(reps.mapInArrow(keys, "node long, key long"), "postings")
+
     def edges_of(postings):
         hubs = postings.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
         return postings.join(hubs.hint("merge"), "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
-    postings = classes.select(F.col("k1").alias("node"), F.explode("keys").alias("key"))
-    if scheme.run < RUN:  # a key for each shingle: a share of the keys at a time, so that the shuffle files of one pass at most are on disk
-        edges = reduce(DataFrame.union, [written(edges_of(postings.where(F.pmod("key", F.lit(PASSES)) == i)), "pass") for i in range(PASSES)])
-    else:
-        edges = edges_of(postings)
-    clusters = components(edges)
+    # a share of the keys at a time, so that the shuffle files of one pass at most are on disk
+    shares = PASSES if scheme.run < RUN else 1
+    passes = [written(edges_of(postings.where(F.pmod("key", F.lit(shares)) == i)), "pass") for i in range(shares)]
+    discard(postings)
+    clusters = components(reduce(DataFrame.union, passes))
+    discard(*passes)
 
-    members = classes.drop("keys").join(clusters.select(F.col("node").alias("k1"), F.col("label").alias("cluster")), "k1")
+    members = classes.join(clusters.select(F.col("node").alias("k1"), F.col("label").alias("cluster")), "k1")
     members = written(members.select("cluster", "k1", "k2", "n", "copies", "rep.id", "rep.version"), "members")
     largest = members.groupBy("cluster").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("m"))
     large = written(largest.where(F.col("m") > chunk), "large")
@@ -237,6 +248,7 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: s
     if not large.isEmpty():
         solved = solved.unionByName(solved_by_chunks(full.join(large, "cluster"), percent, chunk))
     solved = written(solved, "solved")
+    discard(members, large)
 
     # the least (id, version) of each class, and of the classes that are linked with it
     least = classes.select("k1", "k2", F.col("rep").alias("least"), "copies").join(solved, ["k1", "k2"], "left")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import as_bytes, slices, written
+from docsift.llm.common import as_bytes, discard, slices, written
 
 PLACE_BITS = 27
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
@@ -180,7 +180,9 @@ def snippets(rows: DataFrame, kind: Kind, across: bool) -> DataFrame:
                     kinds = (pa.int64(),) * 5 + (pa.binary(),)
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "version", "anchor", "same", "first", "snippet"])
 
-    return written(rows.join(lists, ["id", "version"]).mapInArrow(cut, f"{KEY}, anchor long, same long, first long, snippet binary"), "snippets")
+    out = written(rows.join(lists, ["id", "version"]).mapInArrow(cut, f"{KEY}, anchor long, same long, first long, snippet binary"), "snippets")
+    discard(every, groups)
+    return out
 
 
 def met(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
@@ -218,6 +220,7 @@ def recurring_spans(rows: DataFrame, kind: Kind, across: bool, resolve: Callable
         found = found.unionByName(hot_windows(distinct.join(hot, "anchor", "left_semi"), kind, across))
     # a snippet has at most as many runs as windows with one anchor, so a frequent one is a small row
     found = written(found, "found")
+    discard(distinct)
     places = met(every.select("id", "version", "anchor", "same", "first"), found, ["anchor", "same"], every.count()).select("id", "version", "first", F.explode("runs").alias("run"))
     if across:
         places = places.where(F.col("run.least") < F.col("id"))
