@@ -2,11 +2,12 @@
 
 A rule is a host and the start of a path; it fits that host and its subdomains, and the longest that fits decides. URLs
 that a rule decides are the labelled examples of the method: for each host a tree of path templates is grown level by
-level. Segments with digits are variable. Of the others, a branch stays by itself if it holds enough of its parent's URLs,
+level, as deep as paths of one template still differ. Segments with digits are variable. Of the others, a branch stays by itself if it holds enough of its parent's URLs,
 and is merged into the wildcard branch if it is rare, or if its share of blocked URLs is labelled and doesn't differ from that of
-its labelled siblings by more than chance would. A template is rejected if its smoothed share of blocked URLs reaches the threshold.
+its labelled siblings by more than chance would; branches are compared by labels only, as merging those without any changes no verdict.
+A template is rejected if its smoothed share of blocked URLs reaches the threshold.
 
-Counts are taken per host and shape before anything else, so a frequent host is a few rows.
+Counts are taken per host and shape before anything else, so a frequent host is a few rows. They and each level are written to the shared folder.
 
 A null URL, or one without ://, has an empty host and path, no rule and the verdict of an unlabelled template: allow.
 Repeated rows are kept as they are. Empty table: no rows.
@@ -17,9 +18,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.llm.common import written
+
 #: Fixed values: (verdict, host, start of the path).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
-LEVELS = 3
 
 
 def host_and_path(url):
@@ -38,38 +40,52 @@ def fitting_rule(host, path, rules):
 
 
 def judge_urls(
-    pages: DataFrame, rules=RULES, threshold: float = 0.5, prior: float = 0.1, weight: float = 4.0, rare: float = 0.02, least: int = 5, id_col: str = "page_id", url_col: str = "url"
+    pages: DataFrame, rules=RULES, threshold: float = 0.5, prior: float = 0.1, weight: float = 4.0, rare: float = 0.02, least: int = 5, compared: int = 9, id_col: str = "page_id", url_col: str = "url"
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row.
 
     prior, weight: the share of blocked URLs that smoothing assumes and what it weighs. rare, least: a branch that holds less
-    than this share of its parent's URLs, or fewer URLs, is merged.
+    than this share of its parent's URLs, and fewer URLs than least, is merged. compared: from so many labelled siblings on, branches are merged
+    that are alike in their share of blocked URLs.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    general = F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s))
-    rows = rows.withColumn("shape", F.when(F.size(general) > LEVELS, F.concat(F.slice(general, 1, LEVELS), F.array(F.lit("**")))).otherwise(general))
+    rows = rows.withColumn("shape", F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s)))
     blocked, labelled = F.sum((F.col("fit.verdict") == "block").cast("long")), F.count("fit")
     shapes = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.coalesce(blocked, F.lit(0)).alias("blocked"), labelled.alias("labelled"))
-    grown = shapes.withColumn("template", F.array().cast("array<string>"))
-    for level in range(LEVELS):
-        segment = F.coalesce(F.get("shape", F.lit(level)), F.lit(""))
-        grown = grown.withColumn("segment", segment)
-        sums = [F.sum(c).alias(c) for c in ("n", "blocked", "labelled")]
-        children = grown.groupBy("host", "template", "segment").agg(*sums)
-        parents = children.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "blocked", "labelled")), F.count_if(F.col("labelled") > 0).alias("siblings"))
-        judged = children.join(parents, ["host", "template"])
-        pooled = F.col("all_blocked") / F.greatest(F.col("all_labelled"), F.lit(1))
-        own = F.col("blocked") / F.greatest(F.col("labelled"), F.lit(1))
-        error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.01)) / F.greatest(F.col("labelled"), F.lit(1)))
-        alike = (F.col("labelled") > 0) & (F.col("siblings") > 8) & (F.abs(own - pooled) <= 2 * error)
-        few = (F.col("n") < least) & (F.col("n") < rare * F.col("all_n"))
-        kept = judged.select("host", "template", "segment", F.when((F.col("segment") != "") & (few | alike), F.lit("*")).otherwise(F.col("segment")).alias("branch"))
-        grown = grown.join(kept, ["host", "template", "segment"]).withColumn("template", F.concat("template", F.array("branch"))).drop("segment", "branch")
+    grown = written(shapes.withColumn("template", F.array().cast("array<string>")), "shapes")
+    level, closed = 0, []
+    while True:
+        # a template whose paths are all of one shape, or all at their end, has no further branches
+        groups = grown.groupBy("host", "template").agg((F.count("*") > 1).alias("several"), (F.max(F.size("shape")) > level).alias("deeper"))
+        split = groups.where("several and deeper").select("host", "template")
+        closed.append(grown.join(split, ["host", "template"], "left_anti"))
+        grown = grown.join(split, ["host", "template"], "left_semi")
+        if grown.isEmpty():
+            break
+        grown = written(branched(grown, level, rare, least, compared), "level")
+        level += 1
+    grown = written(reduce(DataFrame.unionByName, closed), "templates")
     purity = grown.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).select("host", "template", (F.col("l") > 0).alias("known"), ((F.col("b") + prior * weight) / (F.col("l") + weight)).alias("purity"))
     decided = grown.join(purity, ["host", "template"]).select("host", "shape", (F.col("known") & (F.col("purity") >= threshold)).alias("reject"))
+    decided = written(decided.where("reject"), "rejected")
     # only what no rule decides asks for its template
     open_ = rows.where("fit is null").join(decided, ["host", "shape"], "left").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("reject"), "block").otherwise("allow").alias("verdict"))
     return rows.where("fit is not null").select("page_id", "host", "path", "fit.rule", "fit.verdict").unionByName(open_)
+
+
+def branched(grown: DataFrame, level: int, rare: float, least: int, compared: int) -> DataFrame:
+    """grown (host, shape, template and counts) with each template longer by its branch at a level of the path."""
+    grown = grown.withColumn("segment", F.coalesce(F.get("shape", F.lit(level)), F.lit("")))
+    children = grown.groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "blocked", "labelled")))
+    parents = children.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "blocked", "labelled")), F.count_if(F.col("labelled") > 0).alias("siblings"))
+    judged = children.join(parents, ["host", "template"])
+    pooled = F.col("all_blocked") / F.greatest(F.col("all_labelled"), F.lit(1))
+    own = F.col("blocked") / F.greatest(F.col("labelled"), F.lit(1))
+    error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.01)) / F.greatest(F.col("labelled"), F.lit(1)))
+    alike = (F.col("labelled") > 0) & (F.col("siblings") >= compared) & (F.abs(own - pooled) <= 2 * error)
+    few = (F.col("n") < least) & (F.col("n") < rare * F.col("all_n"))
+    kept = judged.select("host", "template", "segment", F.when((F.col("segment") != "") & (few | alike), F.lit("*")).otherwise(F.col("segment")).alias("branch"))
+    return grown.join(kept, ["host", "template", "segment"]).withColumn("template", F.concat("template", F.array("branch"))).drop("segment", "branch")

@@ -376,6 +376,24 @@ def test_templates_are_rejected_by_labelled_purity(spark):
     assert {(r["v"], r["s"]) for r in got.selectExpr("verdict as v", "split(path, '/')[1] as s").collect()} == {("block", "shop"), ("allow", "news")}
 
 
+def test_templates_differ_below_the_third_segment(spark):
+    """Nulls, repeated rows, extra columns of clashing names, no rows."""
+    from docsift.llm.url_filter import judge_urls
+
+    rules = [("block", "h.test", "/a/b/c/d/shop/1"), ("allow", "h.test", "/a/b/c/d/news/1")]
+    rows = [(i, f"http://h.test/a/b/c/d/{s}/{n}", "x") for i, (s, n) in enumerate((s, n) for s in ("shop", "news") for n in range(100, 300))]
+    pages = spark.createDataFrame([*rows, rows[150], (None, None, None)], "page_id long, url string, template string")
+    got = judge_urls(pages, rules)
+    assert {(r["v"], r["s"]) for r in got.where("rule is null").selectExpr("verdict as v", "get(split(path, '/'), 5) as s").collect()} == {("block", "shop"), ("allow", "news"), ("allow", None)}
+    assert got.count() == 402 and got.where("page_id = 150").count() == 2 and judge_urls(pages.limit(0)).count() == 0
+
+
+def test_a_rule_parts_blocks(spark):
+    from docsift.llm.html_extraction import Tree, blocks, parse
+
+    assert blocks(parse("<article>Bare text before<hr>Bare text after</article>", Tree())[0]) == ["Bare text before", "Bare text after"]
+
+
 def test_exact_topk(spark):
     from docsift.llm.topk_search import top_k
 
