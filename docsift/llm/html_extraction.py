@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import slices
+from docsift.llm.common import slices, tidied
 
 #: HTML's elements without an end tag, those whose text is not shown, and those that stand within a line.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -395,8 +395,10 @@ def blocks(root: Node) -> list[str]:
             continue
         if isinstance(x, str):
             line.append(x)
+        elif x.tag == "hr":
+            end()
         elif x.tag in VOID:
-            line.append(" " if x.tag != "hr" else "\n")
+            line.append(" ")
         elif x.tag not in HIDDEN and x.keep:
             block = x.tag not in INLINE
             if block:
@@ -430,6 +432,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     model = pages.sparkSession.sparkContext.broadcast(trained())
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
+    @tidied
     def run(batches):
         m = model.value
         for batch in batches:
