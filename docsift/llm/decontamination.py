@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import as_bytes, slices, written
+from docsift.llm.common import as_bytes, slices, tidied, written
 
 #: Most bytes of benchmark text searched for, and so broadcast, in one pass. More items take more passes.
 PASS_BYTES = 16 << 20
@@ -144,6 +144,7 @@ RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 def scan(patterns, last: bool, carry):
     """One pass over documents. Hits of earlier passes come as packed bits."""
 
+    @tidied
     def run(batches):
         search = patterns.value.search
         for batch in batches:

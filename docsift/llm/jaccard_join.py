@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import as_bytes, discard, slices, written
+from docsift.llm.common import as_bytes, discard, slices, tidied, written
 from docsift.llm.components import components
 from docsift.llm.recurring import LARGEST, keyed, mixed, word_units
 
@@ -193,6 +193,7 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: s
     scheme = Scheme(percent)
     rows = keyed(docs, id_col, text_col)
 
+    @tidied
     def sets(batches):
         for batch in batches:
             for part in slices(batch, 2, 4 << 20):
@@ -203,6 +204,7 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: s
     every = written(rows.mapInArrow(sets, "id long, version long, n long, k1 long, k2 long"), "sets")
     classes = written(every.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "version")).alias("rep"), F.count("*").alias("copies")), "classes")
 
+    @tidied
     def keys(batches):
         """The keys of one text of each class."""
         for batch in batches:
@@ -231,6 +233,7 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: s
     largest = members.groupBy("cluster").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("m"))
     large = written(largest.where(F.col("m") > chunk), "large")
 
+    @tidied
     def gathered(batches):
         for batch in batches:
             for part in slices(batch, 1):
@@ -290,6 +293,7 @@ def solver(percent: int):
                     component[np.isin(component, meet)] = meet[0]
         return [(r[1], r[2], group[c][1], group[c][2], int(n)) for r, c, n in zip(group, component.tolist(), others.tolist(), strict=True)]
 
+    @tidied
     def run(batches):
         group: list[tuple] = []
         out: list[tuple] = []

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.llm.common import slices, written
+from docsift.llm.common import slices, tidied, written
 
 CAPACITY, END_ID = 4096, 1
 GROUPS, MOST_IN_PATTERN = 64, 4
@@ -140,6 +140,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each document's ids and end token, cut after every capacity ids."""
 
+    @tidied
     def run(batches):
         encode = words(path).ids
         for batch in batches:
@@ -319,6 +320,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     own = Window.partitionBy("length", "deal").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = rows.withColumn("own", F.row_number().over(own) - 1).join(before, ["length", "deal"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("before")).alias("rank"))
 
+    @tidied
     def run(batches):
         t = table.value
         keys = t[:, 0] << 44 | t[:, 1]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import as_bytes, slices
+from docsift.llm.common import as_bytes, slices, tidied
 from docsift.llm.recurring import Kind, as_runs, batches_by_size, keyed, merged, recurring_spans, with_spans
 
 WIDTH, GRAM = 50, 8
@@ -102,6 +102,7 @@ def locate(rows: list[tuple], passages: list[tuple[str, list[str], int]], width:
 
 
 def resolver(width: int, shard: int = SHARD):
+    @tidied
     def resolve(batches):
         # snippets of one anchor must share an automaton, so a task is one shard; its size is bounded by how rows are dealt
         rows = [(a, s, t.decode("utf-8", "surrogateescape"), x, y, n) for part in batches_by_size(batches, shard) for a, s, t, x, y, n in part]
@@ -125,6 +126,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
     spans = recurring_spans(keyed(docs, id_col, text_col), Kind("words", width, gram), True, resolver(width))
     rows = with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), spans, "doc_id", "text", "gone")
 
+    @tidied
     def cut(batches):
         for batch in batches:
             for part in slices(batch, 1):

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import as_bytes, discard, slices, written
+from docsift.llm.common import as_bytes, discard, slices, tidied, written
 
 PLACE_BITS = 27
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
@@ -149,6 +149,7 @@ def snippets(rows: DataFrame, kind: Kind, across: bool) -> DataFrame:
     across: an anchor recurs only if two ids have it; else two places are enough. same: a hash of the snippet.
     """
 
+    @tidied
     def marks(batches):
         for batch in batches:
             for part in slices(batch, 2, 2 << 20):
@@ -165,6 +166,7 @@ def snippets(rows: DataFrame, kind: Kind, across: bool) -> DataFrame:
     total = every.count()
     lists = met(every, groups.select("anchor", "n"), ["anchor"], total).groupBy("id", "version").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("recurring"))
 
+    @tidied
     def cut(batches):
         for batch in batches:
             for part in slices(batch, 2, 2 << 20):
@@ -231,6 +233,7 @@ def recurring_spans(rows: DataFrame, kind: Kind, across: bool, resolve: Callable
 def hot_windows(distinct: DataFrame, kind: Kind, across: bool) -> DataFrame:
     """What resolve gives, for anchors with so many distinct snippets that they are dealt by window: counts are summed before the shuffle."""
 
+    @tidied
     def cut(batches):
         for batch in batches:
             for part in slices(batch, 2, 1 << 20):

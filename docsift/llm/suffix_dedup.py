@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import as_bytes, slices
+from docsift.llm.common import as_bytes, slices, tidied
 from docsift.llm.recurring import Kind, as_runs, batches_by_size, keyed, merged, mixed, recurring_spans, with_spans
 
 WIDTH, GRAM = 200, 32
@@ -185,6 +185,7 @@ class Index:
 
 
 def resolver(width: int):
+    @tidied
     def resolve(batches):
         index, rows = Index(width), []
         for part in batches_by_size(batches, BATCH):
@@ -222,6 +223,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
     rows = with_spans(rows, spans, "doc_id", "text", "gone").select("doc_id", "text", "gone", *(["carried"] if carry else []))
     more = f", carried {rows.schema['carried'].dataType.simpleString()}" if carry else ""
 
+    @tidied
     def cut(batches):
         for batch in batches:
             for part in slices(batch, 1):

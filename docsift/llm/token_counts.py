@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docsift.llm.common import slices
+from docsift.llm.common import slices, tidied
 
 CHUNK = 1 << 20
 MOST_PIECES, MOST_STATES = 400_000, 120_000
@@ -278,6 +278,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     """
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
+    @tidied
     def run(batches):
         count = counter(path)
         for batch in batches:
