@@ -50,3 +50,18 @@ def order_points(points: Column) -> Column:
 
 def confidence(percent: Column) -> Column:
     return percent.cast("int") / F.lit(100.0)
+
+
+def zipped(a: Column, b: Column) -> Column:
+    """An array of (a, b) by position, as long as the shorter array."""
+    n = F.least(F.size(a), F.size(b))
+    return F.arrays_zip(F.slice(a, 1, n).alias("a"), F.slice(b, 1, n).alias("b"))
+
+
+def angle(a: Column, b: Column) -> Column:
+    """Of the line from point a to point b, in degrees."""
+    return F.degrees(F.atan2(b[1] - a[1], b[0] - a[0]))
+
+
+def nearly_level(degrees: Column, most: float = 45.0) -> Column:
+    return F.abs(degrees) < most

@@ -113,3 +113,25 @@ def mean_anls(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Co
     """Over the fields of gt; a field that pred lacks counts as empty. 0 without fields."""
     scores = F.transform(F.map_entries(gt), lambda e: anls(F.coalesce(F.try_element_at(pred, e["key"]), F.lit("")), e["value"], threshold))
     return let(scores, lambda s: ratio(F.aggregate(s, F.lit(0.0), lambda a, x: a + x), F.size(s)))
+
+
+def field_text(fields: Column) -> Column:
+    """The values of a map of fields, joined by blanks, in the map's order."""
+    return F.array_join(F.map_values(fields), " ")
+
+
+def receipt_report(pred: Column, gt: Column, total: str = "total.total_price") -> Column:
+    """struct(cer, wer, total_exact_match, n_pred, n_gt): error rates of all values as one text, and whether the totals are the same."""
+    of = lambda m: F.coalesce(F.try_element_at(m, F.lit(total)), F.lit(""))
+    both = F.struct(field_text(pred).alias("p"), field_text(gt).alias("g"))
+    rates = let(both, lambda t: F.struct(cer(t["p"], t["g"]).alias("cer"), wer(t["p"], t["g"]).alias("wer")))
+    return F.struct(rates["cer"].alias("cer"), rates["wer"].alias("wer"), exact_match(of(pred), of(gt)).alias("total_exact_match"), F.size(pred).alias("n_pred"), F.size(gt).alias("n_gt"))
+
+
+def per_field(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
+    """An array of (field, pred, gt, score, matched) over the fields that either map has a value for."""
+    value = lambda m, k: strip(F.coalesce(F.try_element_at(m, k), F.lit("")))
+    each = F.transform(F.array_union(F.map_keys(pred), F.map_keys(gt)), lambda k: F.struct(k.alias("field"), value(pred, k).alias("pred"), value(gt, k).alias("gt")))
+    there = F.filter(each, lambda f: (f["pred"] != "") | (f["gt"] != ""))
+    scored = F.transform(there, lambda f: F.struct(f["field"].alias("field"), f["pred"].alias("pred"), f["gt"].alias("gt"), anls(f["pred"], f["gt"], threshold).alias("score")))
+    return F.transform(scored, lambda f: F.struct(*(f[k].alias(k) for k in ("field", "pred", "gt", "score")), ((f["pred"] != "") & (f["gt"] != "") & (f["score"] > 0)).alias("matched")))

@@ -103,6 +103,12 @@ def field_entries(receipt: Column) -> Column:
     return let(receipt, entries)
 
 
+def simple_items(receipt: Column) -> Column:
+    """The items as an array of (nm, price): names in lower case, both trimmed, null counting as empty."""
+    clean = lambda c: strip(F.coalesce(c, F.lit("")))
+    return F.transform(receipt["menu"], lambda m: F.struct(F.lower(clean(m["nm"])).alias("nm"), clean(m["price"]).alias("price")))
+
+
 def fields(receipt: Column) -> Column:
     return F.map_from_entries(field_entries(receipt))
 

@@ -16,6 +16,17 @@ def summarise(scores: DataFrame, keys: list[str], metrics: list[str]) -> DataFra
     return scores.groupBy(*keys).agg(F.count("*").alias("n"), *(x for m in metrics for x in (F.avg(m).alias(f"{m}_mean"), F.median(m).alias(f"{m}_median"))))
 
 
+def ordered_scores(scores: DataFrame, keys: list[str], order: str, score: str) -> DataFrame:
+    """The scores of each group as one array, in the order of the samples. For groups that fit a row, such as one configuration's on one sample set."""
+    return scores.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(score).alias("s"))))["s"].alias("scores"))
+
+
+def split_counts(split: DataFrame, annotations: DataFrame, key: str) -> DataFrame:
+    """(split, images, annotations): how many rows each split has, and how many of them are annotated."""
+    known = annotations.select(key).distinct().withColumn("known", F.lit(True))
+    return split.join(known, key, "left").groupBy("split").agg(F.count("*").alias("images"), F.count("known").alias("annotations"))
+
+
 def stage_deltas(rows: DataFrame, order: str, value: str, by: list[str] = ()) -> DataFrame:
     """With delta to the stage before (the first as it is), total (the running sum of deltas) and relative change."""
     w = Window.partitionBy(*by).orderBy(order)
@@ -77,4 +88,4 @@ def sample_variants(images: DataFrame, variants: list[str], k: int, key: str, or
     return images.withColumn("degradation", F.explode(F.slice(ranked["degradation"], 1, k)))
 
 
-__all__ = ["completeness", "existing", "histogram", "random_order", "resume", "sample_variants", "stage_deltas", "statistics", "summarise", "upsert", "with_configs"]
+__all__ = ["completeness", "existing", "histogram", "ordered_scores", "random_order", "resume", "sample_variants", "split_counts", "stage_deltas", "statistics", "summarise", "upsert", "with_configs"]

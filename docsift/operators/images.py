@@ -158,8 +158,23 @@ def salt_and_pepper(image: np.ndarray, amount: float = 0.03, seed: int = 42) ->
     return out
 
 
+def area_shrunk(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A smaller image whose pixels are the means of the areas that they cover, parts of pixels counting by their share."""
+
+    def sums(x: np.ndarray, n: int) -> np.ndarray:
+        edges = np.arange(n + 1) * (len(x) / n)
+        whole = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, 0)])
+        low = np.minimum(edges.astype(int), len(x) - 1)
+        share = (edges - low).reshape(-1, *(1,) * (x.ndim - 1))
+        return np.diff(whole[low] + share * x[low], axis=0) / (len(x) / n)
+
+    rows = sums(image.astype(np.float64), height)
+    return _bytes(np.swapaxes(sums(np.swapaxes(rows, 0, 1), width), 0, 1))
+
+
 def low_resolution(image: np.ndarray, factor: float) -> np.ndarray:
-    return resize(scale(image, factor), *image.shape[:2])
+    h, w = image.shape[:2]
+    return resize(area_shrunk(image, max(1, int(h * factor)), max(1, int(w * factor))), h, w)
 
 
 def lighting(image: np.ndarray, seed: int = 42) -> np.ndarray:
@@ -176,17 +191,30 @@ def either(angle: float, seed: int) -> float:
     return angle if np.random.default_rng(seed).integers(0, 2) else -angle
 
 
-#: The named degradations: image and seed to image.
-DEGRADATIONS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
-    **{f"blur_{n}": (lambda sigma: lambda i, s: gaussian_blur(i, int(6 * sigma + 1) | 1, sigma))(v) for n, v in (("light", 1.0), ("medium", 3.0), ("heavy", 5.0))},
-    "motion_blur": lambda i, s: motion_blur(i),
-    **{f"rotation_{a}": (lambda a: lambda i, s: rotate(i, either(a, s)))(a) for a in (5, 10, 15)},
-    **{f"noise_{n}": (lambda std: lambda i, s: gaussian_noise(i, std, s))(v) for n, v in (("light", 15), ("heavy", 40))},
-    "salt_pepper": lambda i, s: salt_and_pepper(i, 0.03, s),
-    **{f"low_res_{p}": (lambda p: lambda i, s: low_resolution(i, p / 100))(p) for p in (25, 50)},
-    **{f"jpeg_q{q}": (lambda q: lambda i, s: jpeg(i, q))(q) for q in (10, 20, 30)},
-    "lighting": lambda i, s: lighting(i, s),
-}
+def blurred(image: np.ndarray, seed: int, sigma: float) -> np.ndarray:
+    return gaussian_blur(image, int(6 * sigma + 1) | 1, sigma)
+
+
+#: The named degradations with their kernels (of an image, a seed and a parameter) and parameters.
+DEGRADATION_TABLE = [
+    ("blur_light", blurred, 1.0),
+    ("blur_medium", blurred, 3.0),
+    ("blur_heavy", blurred, 5.0),
+    ("motion_blur", lambda image, seed, size: motion_blur(image, size), 15),
+    ("rotation_5", lambda image, seed, degrees: rotate(image, either(degrees, seed)), 5),
+    ("rotation_10", lambda image, seed, degrees: rotate(image, either(degrees, seed)), 10),
+    ("rotation_15", lambda image, seed, degrees: rotate(image, either(degrees, seed)), 15),
+    ("noise_light", lambda image, seed, std: gaussian_noise(image, std, seed), 15),
+    ("noise_heavy", lambda image, seed, std: gaussian_noise(image, std, seed), 40),
+    ("salt_pepper", lambda image, seed, amount: salt_and_pepper(image, amount, seed), 0.03),
+    ("low_res_25", lambda image, seed, factor: low_resolution(image, factor), 0.25),
+    ("low_res_50", lambda image, seed, factor: low_resolution(image, factor), 0.5),
+    ("jpeg_q10", lambda image, seed, quality: jpeg(image, quality), 10),
+    ("jpeg_q20", lambda image, seed, quality: jpeg(image, quality), 20),
+    ("jpeg_q30", lambda image, seed, quality: jpeg(image, quality), 30),
+    ("lighting", lambda image, seed, _: lighting(image, seed), None),
+]
+DEGRADATIONS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {name: (lambda image, seed, kernel=kernel, value=value: kernel(image, seed, value)) for name, kernel, value in DEGRADATION_TABLE}
 
 
 def transformed(images: DataFrame, step: Callable[[np.ndarray], np.ndarray], id_col: str = "doc_id") -> DataFrame:

@@ -41,6 +41,19 @@ def confusion(rows: DataFrame, true_col: str, pred_col: str, classes=(0, 1, 2))
     return every.join(counts, "true", "left").fillna(0)
 
 
+def confusion_shares(rows: DataFrame, true_col: str, pred_col: str, classes=(0, 1, 2)) -> DataFrame:
+    """The confusion matrix with rows that sum to 1; a class that doesn't occur has zeros."""
+    counts = confusion(rows, true_col, pred_col, classes)
+    every = rows.groupBy(F.col(true_col).cast("int").alias("true")).agg(F.count("*").alias("every"))
+    return counts.join(every, "true", "left").select("true", *(ratio(F.col(f"pred_{c}"), F.col("every")).alias(f"pred_{c}") for c in classes))
+
+
+def weighted_means(batches: DataFrame, by: list[str], weight: str, values: dict[str, str]) -> DataFrame:
+    """Means of batch values (name to column) by keys, each batch weighing as many samples as it has."""
+    n = F.col(weight).cast("double")
+    return batches.groupBy(*by).agg(*(F.try_divide(F.sum(F.col(c).cast("double") * n), F.sum(n)).alias(name) for name, c in values.items()))
+
+
 def class_report(rows: DataFrame, true_col: str, pred_col: str, classes=(0, 1, 2)) -> DataFrame:
     """(class, precision, recall, f1, support), with rows for macro and weighted means and accuracy. One aggregation."""
     t, p = F.col(true_col), F.col(pred_col)

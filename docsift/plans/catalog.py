@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.functions import arrays, metrics, receipts, text
-from docsift.operators import experiments, layout, quality
+from docsift.operators import experiments, labelling, layout, quality
+from docsift.operators.images import DEGRADATION_TABLE
 from docsift.plans.adapters import BOXES_SQL, GATED_SQL, PAIRS_SQL, RECEIPTS_SQL, gated, noised, noised_sql, pairs, table, word_boxes
 from docsift.plans.adapters import receipts as receipt_texts
 
@@ -68,8 +69,8 @@ def q02_menu_items(spark, sf_dir):
 
 @query(f"with {PRICES_SQL} select * from prices")
 def q03_keyword_price(spark, sf_dir):
-    lines = receipts.receipt_lines(F.col("text"))
-    return receipt_texts(spark, sf_dir).select("o_orderkey", *(receipts.keyword_price(lines, k).alias(n) for n, k in receipts.KEYWORDS.items()))
+    prices = arrays.let(receipts.receipt_lines(F.col("text")), lambda lines: F.struct(*(receipts.keyword_price(lines, k).alias(n) for n, k in receipts.KEYWORDS.items())))
+    return receipt_texts(spark, sf_dir).select("o_orderkey", prices.alias("p")).select("o_orderkey", "p.*")
 
 
 FIX = lambda c: f"""array_to_string(list_transform(list_filter(regexp_split_to_array({c}, '[ \\n]+'), lambda t: t <> ''),
@@ -131,25 +132,30 @@ def q10_wer(spark, sf_dir):
     return pairs(spark, sf_dir).select("item_id", r6(metrics.wer(F.col("pred"), F.col("gt"))).alias("wer"))
 
 
-TURNS_SQL = """
-turns as (
-  select conv_id, turn, regexp_replace(left(text, 120), '[^\\x00-\\x7F]', '?', 'g') as a, coalesce(lag(regexp_replace(left(text, 120), '[^\\x00-\\x7F]', '?', 'g')) over (partition by conv_id order by turn), '') as b
-  from conversations)"""
+#: Whole turns; each distinct character of a pair becomes one byte, as DuckDB's levenshtein goes by bytes. Pairs have fewer than 127 of them.
+CHARACTERS = lambda c: f"array_to_string(list_transform(string_split({c}, ''), lambda x: chr(list_position(known, x)::int)), '')"
+TURNS_SQL = f"""
+turns as (select conv_id, turn, coalesce(text, '') as a, coalesce(lag(text) over (partition by conv_id order by turn), '') as b from conversations),
+known as (select *, list_distinct(list_concat(string_split(a, ''), string_split(b, ''))) as known from turns),
+bytes as (select conv_id, turn, case when a = '' then '' else {CHARACTERS('a')} end as a, case when b = '' then '' else {CHARACTERS('b')} end as b from known)"""
 
 
-@query(f"with {TURNS_SQL}, s as (select conv_id, turn, {NLS('a', 'b')} as nls from turns) select conv_id, turn, round(nls, 6) as nls, round(case when nls >= 0.5 then nls else 0.0 end, 6) as anls from s")
+@query(f"with {TURNS_SQL}, s as (select conv_id, turn, {NLS('a', 'b')} as nls from bytes) select conv_id, turn, round(nls, 6) as nls, round(case when nls >= 0.5 then nls else 0.0 end, 6) as anls from s")
 def q11_nls_anls(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a")).withColumn("b", F.lag("a").over(Window.partitionBy("conv_id").orderBy("turn")))
     t = t.select("conv_id", "turn", metrics.nls(F.col("a"), F.col("b")).alias("nls"))  # whole texts, so each distance is worked out once
     return t.select("conv_id", "turn", r6(F.col("nls")).alias("nls"), r6(metrics.at_least(F.col("nls"))).alias("anls"))
 
 
-@query("""select c_nationkey, count(*) as n, sum(case when lower(trim(c_mktsegment)) = lower(trim(upper(c_mktsegment) || ' ')) then 1 else 0 end)::bigint as normal,
-  sum(case when c_mktsegment = lower(c_mktsegment) then 1 else 0 end)::bigint as plain from customer group by 1""")
+@query("""with p as (select c_nationkey, c_mktsegment as a, coalesce(lag(c_mktsegment) over (partition by c_nationkey order by c_custkey), '') as b from customer)
+select c_nationkey, count(*) as n, count(*) filter (lower(trim(a)) = lower(trim(' ' || lower(b) || ' '))) as normal, count(*) filter (a = lower(b)) as lowered, count(*) filter (a = b) as plain from p group by 1""")
 def q12_exact_match(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    seg = F.col("c_mktsegment")
-    return c.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count_if(metrics.exact_match(seg, F.concat(F.upper(seg), F.lit(" ")))).alias("normal"), F.count_if(metrics.exact_match(seg, F.lower(seg), normalize=False)).alias("plain"))
+    """Each customer's segment against that of the customer before in its nation, the latter in lower case and among blanks."""
+    before = F.lag("c_mktsegment").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    c = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_mktsegment").alias("a"), before.alias("b"))
+    a, b = F.col("a"), F.col("b")
+    other = F.concat(F.lit(" "), F.lower(F.coalesce(b, F.lit(""))), F.lit(" "))
+    return c.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count_if(metrics.exact_match(a, other)).alias("normal"), F.count_if(metrics.exact_match(a, F.lower(b), normalize=False)).alias("lowered"), F.count_if(metrics.exact_match(a, b, normalize=False)).alias("plain"))
 
 
 FIELDS_SQL = f"""{PARSED_SQL},
@@ -300,7 +306,7 @@ def grid(spark, sf_dir) -> DataFrame:
     noisy = F.col("text")
     for i, _, a, b in CONFIGS[1:]:
         noisy = F.when(F.col("stage") == i, F.translate("text", a, b)).otherwise(noisy)
-    return rows.withColumn("changed", noisy).select("o_orderkey", "stage", "config", (F.length(F.translate("text", "015", "")) - F.length("text")).alias("d"), ((F.length("changed") - F.length(F.translate("changed", "OlS", ""))) / F.length("text")).alias("rate"))
+    return rows.withColumn("changed", noisy).select("o_orderkey", "stage", "config", ((F.length("changed") - F.length(F.translate("changed", "OlS", ""))) / F.length("text")).alias("rate"))
 
 
 GRID_SQL = f"""{RECEIPTS_SQL}, configs as (select * from (values {", ".join(f"({i}, '{n}', '{a}', '{b}')" for i, n, a, b in CONFIGS)}) t(stage, config, a, b)),
@@ -349,8 +355,10 @@ def q32_completeness(spark, sf_dir):
     return experiments.completeness(parsed(spark, sf_dir))
 
 
-@query("""with b as (select least(floor(n_chars / (3000.0 / 30)), 29)::int as bin from documents where n_chars between 0 and 3000), c as (select bin, count(*) as n from b group by 1)
-select bin, n, round(n / ((select sum(n) from c)::double * 100.0), 9) as density from c""")
+@query("""with e as (select min(n_chars) as low, max(n_chars) as high from documents),
+  r as (select low - case when low = high then 0.5 else 0 end as low, (high - low + case when low = high then 1 else 0 end) / 30.0::double as width from e),
+  b as (select least(floor((n_chars - low) / width), 29)::int as bin, width from documents, r where n_chars is not null), c as (select bin, width, count(*) as n from b group by 1, 2)
+select bin, n, round(n / ((select sum(n) from c)::double * width), 9) as density from c""")
 def q33_histogram(spark, sf_dir):
     return experiments.histogram(table(spark, sf_dir, "documents"), "n_chars").withColumn("density", F.round("density", 9))
 
@@ -381,8 +389,7 @@ def q37_upsert(spark, sf_dir):
     return experiments.upsert(count(o, "old"), count(o.where("o_orderstatus = 'F' and o_orderpriority like '%H%'"), "new"))
 
 
-#: The names of the degradations.
-VARIANTS = ["blur_light", "blur_medium", "blur_heavy", "motion_blur", "rotation_5", "rotation_10", "rotation_15", "noise_light", "noise_heavy", "salt_pepper", "low_res_25", "low_res_50", "jpeg_q10", "jpeg_q20", "jpeg_q30", "lighting"]
+VARIANTS = [name for name, _, _ in DEGRADATION_TABLE]
 
 
 @query(f"""with v as (select unnest({words(VARIANTS)}) as degradation, generate_subscripts({words(VARIANTS)}, 1) - 1 as i), r as (select doc_id, degradation, row_number() over (partition by doc_id order by (doc_id * 7 + i * 5) % 16, degradation) as k from documents, v)
@@ -429,3 +436,95 @@ def q42_recognised_text(spark, sf_dir):
 
     pages = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("text").cast("binary").alias("image"))
     return layout.document_text(recognise(pages, StubEngine))
+
+
+# --- the whole evaluation of a receipt, and what has no query above ------------------------------------------------
+
+WORDS = lambda c: f"list_filter(string_split({c}, ' '), lambda w: w <> '')"
+
+
+@query(f"""with {SHIFTED_SQL}, g as (select o_orderkey, string_agg(value, ' ' order by ord) as gt, max(value) filter (field = 'total.total_price') as gt_total, count(*) as n_gt from fields where coalesce(value, '') <> '' group by 1),
+  p as (select o_orderkey, string_agg(translate(value, '37', '73'), ' ' order by ord) || ' x' as pred, translate(max(value) filter (field = 'total.total_price'), '37', '73') as pred_total, count(*) + 1 as n_pred from fields where coalesce(value, '') <> '' and field <> 'total.changeprice' group by 1),
+  w as (select *, {WORDS('pred')} as pw, {WORDS('gt')} as gw from p join g using (o_orderkey)), k as (select *, list_distinct(list_concat(pw, gw)) as known from w)
+select o_orderkey, round({CER('pred', 'gt')}, 6) as cer, round(levenshtein({CODED('pw')}, {CODED('gw')})::double / len(gw), 6) as wer, pred_total = gt_total as total_exact_match, n_pred::int as n_pred, n_gt::int as n_gt from k""")
+def q43_receipt_report(spark, sf_dir):
+    """With q15 the whole evaluation: error rates of all values joined by blanks, the total's exact match, how many fields there are."""
+    return shifted(spark, sf_dir).select("o_orderkey", metrics.receipt_report(F.col("pred"), F.col("gt")).alias("r")).select("o_orderkey", r6(F.col("r.cer")).alias("cer"), r6(F.col("r.wer")).alias("wer"), "r.total_exact_match", "r.n_pred", "r.n_gt")
+
+
+@query(f"""with {SHIFTED_SQL} select field, count(*) as n, count(*) filter (code = 1) as matched, round(avg(case when code = 1 then {NLS('p', 'g')} else 0 end), 6) as score
+from marked where code > 0 and not starts_with(field, 'menu.') group by 1""")
+def q44_per_field(spark, sf_dir):
+    """How each field fares over all receipts."""
+    each = shifted(spark, sf_dir).select(F.explode_outer(metrics.per_field(F.col("pred"), F.col("gt"))).alias("f")).where("f is not null and not startswith(f.field, 'menu.')")
+    return each.groupBy("f.field").agg(F.count("*").alias("n"), F.count_if("f.matched").alias("matched"), r6(F.avg(F.when(F.col("f.matched"), F.col("f.score")).otherwise(0.0))).alias("score"))
+
+
+@query(f"""with {ITEMS_SQL} select o_orderkey, i::int as i, lower(trim(nm)) as nm, trim(price) as price, replace(replace(price, ',', ''), '.', '') as price_key from menu""")
+def q45_simple_items(spark, sf_dir):
+    items = parsed(spark, sf_dir).select("o_orderkey", F.posexplode_outer(receipts.simple_items(F.col("receipt"))).alias("i", "m")).where("i is not null")
+    return items.select("o_orderkey", "i", "m.nm", "m.price", text.price_key(F.col("m.price")).alias("price_key"))
+
+
+@query("select conv_id, list(length(text) order by turn) as scores from conversations group by 1")
+def q46_score_arrays(spark, sf_dir):
+    return experiments.ordered_scores(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("score")), ["conv_id"], "turn", "score")
+
+
+@query("""with s as (select conv_id, role, length(text) as n, row_number() over (partition by conv_id, role = 'user' order by turn) - 1 as pos from conversations)
+select a.conv_id, a.pos::int as pos, a.n as first, b.n as second from s a join s b on a.conv_id = b.conv_id and a.pos = b.pos where a.role = 'user' and b.role <> 'user'""")
+def q47_positional_zip(spark, sf_dir):
+    """User turns beside the other turns, by position, as many as the shorter list has."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
+    lists = c.groupBy("conv_id").agg(*(F.array_sort(F.collect_list(F.when(own, F.struct("turn", "n"))))["n"].alias(name) for name, own in (("first", F.col("role") == "user"), ("second", F.col("role") != "user"))))
+    return lists.select("conv_id", F.posexplode_outer(arrays.zipped(F.col("first"), F.col("second"))).alias("pos", "z")).where("pos is not null").select("conv_id", "pos", F.col("z.a").alias("first"), F.col("z.b").alias("second"))
+
+
+@query(f"""with {SCORED_SQL}, c as (select unnest([0, 1, 2])::int as "true"), n as (select c."true", count(label) as n, {", ".join(f"count(*) filter (pred = {k} and label is not null) as p{k}" for k in range(3))} from c left join scored on label = c."true" group by 1)
+select "true", {", ".join(f"round(case when n = 0 then 0 else p{k}::double / n end, 6) as pred_{k}" for k in range(3))} from n""")
+def q48_confusion_shares(spark, sf_dir):
+    return quality.confusion_shares(scored(spark, sf_dir), "label", "pred").select("true", *(r6(F.col(f"pred_{k}")).alias(f"pred_{k}") for k in range(3)))
+
+
+@query("select l_returnflag as epoch, round(sum(l_discount * l_quantity)::double / sum(l_quantity)::double, 6) as loss, round(sum(l_tax * l_quantity)::double / sum(l_quantity)::double, 6) as accuracy from lineitem group by 1")
+def q49_weighted_means(spark, sf_dir):
+    """Batch losses and accuracies, weighted by how many samples a batch has."""
+    b = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "epoch")
+    return quality.weighted_means(b, ["epoch"], "l_quantity", {"loss": "l_discount", "accuracy": "l_tax"}).withColumn("loss", r6(F.col("loss"))).withColumn("accuracy", r6(F.col("accuracy")))
+
+
+@query("""with r as (select doc_id, lang, row_number() over (partition by lang order by doc_id) as rank, count(*) over (partition by lang) as n from documents),
+  s as (select doc_id, case when rank <= floor(n * 0.7) then 'train' when rank <= floor(n * 0.7) + floor(n * 0.15) then 'val' else 'test' end as split from r)
+select split, count(*) as images, count(l.doc_id) as annotations from s left join (select distinct doc_id from labels) l using (doc_id) group by 1""")
+def q50_split_counts(spark, sf_dir):
+    split = quality.stratified_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["doc_id"])
+    return experiments.split_counts(split, table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query(f"""with {POLYGONS_SQL}, a as (select p_partkey, degrees(atan2(q[2][2] - q[1][2], q[2][1] - q[1][1])) as angle from polygons)
+select p_partkey, round(angle, 6) as angle from a where abs(angle) < 45""")
+def q51_flat_angles(spark, sf_dir):
+    p = polygons(spark, sf_dir).select("p_partkey", arrays.angle(F.col("polygon")[0], F.col("polygon")[1]).alias("angle"))
+    return p.where(arrays.nearly_level(F.col("angle"))).withColumn("angle", r6(F.col("angle")))
+
+
+@query("with n as (select case quality when 1 then 'ready' else 'not_ready' end as label, count(*) as n from labels group by 1) select label, n, round(n / (select sum(n) from n)::double, 6) as share from n")
+def q52_label_shares(spark, sf_dir):
+    return labelling.distribution(table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "ready").otherwise("not_ready").alias("label"))).withColumn("share", r6(F.col("share")))
+
+
+@query("""select doc_id::varchar || '.png' as image_path, lpad(doc_id::varchar, greatest(4, length(doc_id::varchar))::int, '0') as stem, 'original' as degradation from documents
+union all select doc_id::varchar || '_blur.png', lpad(doc_id::varchar, greatest(4, length(doc_id::varchar))::int, '0'), 'blur_light' from documents where lang = 'en'""")
+def q53_labelling_tasks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("stem", text.zero_padded(F.col("doc_id")))
+    original, blurred = (d.withColumn("image_path", F.concat(F.col("doc_id").cast("string"), F.lit(end))).withColumn("degradation", F.lit("blur_light")) for end in (".png", "_blur.png"))
+    return labelling.tasks(original, blurred.where("lang = 'en'"))
+
+
+@query(f"""with {BOXES_SQL} select doc_id, seq::int as seq, x1::int as x1, y1::int as y1, (x1 + 30)::int as x2, (y1 + 12)::int as y2, [(seq % 3 = 0)::int, (seq % 3 = 1)::int, (seq % 3 = 2)::int] as one_hot
+from boxes where confidence - 0.35 >= 0""")
+def q54_usable_tokens(spark, sf_dir):
+    """Boxes given by left, top, width and height; words of negative confidence go."""
+    b = word_boxes(spark, sf_dir).withColumn("confidence", F.col("confidence") - 0.35)
+    b = layout.usable_tokens(b).withColumn("box", arrays.edge_box(F.col("bbox.x1"), F.col("bbox.y1"), F.lit(30), F.lit(12)))
+    return b.select("doc_id", "seq", "box.*", arrays.one_hot(F.col("seq") % 3, 3).alias("one_hot"))

@@ -25,7 +25,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query(spark, duck, name):
     rows = catalog.QUERIES[name](spark, SF)
     want = duck.sql(catalog.ORACLE_SQL[name])
