@@ -466,13 +466,13 @@ def q45_simple_items(spark, sf_dir):
     return items.select("o_orderkey", "i", "m.nm", "m.price", text.price_key(F.col("m.price")).alias("price_key"))
 
 
-@query("select conv_id, list(length(text) order by turn) as scores from conversations group by 1")
+@query("select conv_id, list(length(text)::int order by turn) as scores from conversations group by 1")
 def q46_score_arrays(spark, sf_dir):
     return experiments.ordered_scores(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("score")), ["conv_id"], "turn", "score")
 
 
 @query("""with s as (select conv_id, role, length(text) as n, row_number() over (partition by conv_id, role = 'user' order by turn) - 1 as pos from conversations)
-select a.conv_id, a.pos::int as pos, a.n as first, b.n as second from s a join s b on a.conv_id = b.conv_id and a.pos = b.pos where a.role = 'user' and b.role <> 'user'""")
+select a.conv_id, a.pos::int as pos, a.n::int as first, b.n::int as second from s a join s b on a.conv_id = b.conv_id and a.pos = b.pos where a.role = 'user' and b.role <> 'user'""")
 def q47_positional_zip(spark, sf_dir):
     """User turns beside the other turns, by position, as many as the shorter list has."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
