@@ -326,6 +326,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(x["score"] == 0 for x in nobody)
 
 
+def test_toxicity_features_against_brute_force():
+    import zstandard as z
+
+    from docsift.llm.toxicity import THRESHOLDS, TOP, Model, telling_windows
+
+    telling, toxic, ordinary = [" blarg", "onkhe"], b" you blargwit and zonkhead go " * 3, prose(200).encode()
+    texts = [None, "", " ,. ", "x", "one BLARGWIT, two zonkhead-three four", "no telling word here", "blargwit", f"{prose(40)} zonkhead {prose(3)} blargx, {prose(40)} zonkhead", "unblarg zonkhe é blargé ü", "blargwit " * 50]
+    parameters = z.ZstdCompressionParameters.from_level(3, min_match=4, write_checksum=0, write_content_size=0, write_dict_id=0)
+    size = lambda text, content: len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=parameters).compress(text))
+    raw = [None if t is None else t.encode() for t in texts]
+    got, found = Model(telling, toxic, ordinary).features(raw), telling_windows(raw, telling)
+    for text, b, row, own in zip(texts, raw, got, found, strict=True):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+        windows = [f" {' '.join(words[max(0, i - 1) : i + 2])} ".encode() for i, w in enumerate(words) if any(s in f" {w} " for s in telling)]
+        assert own == windows
+        d = sorted((size(w, ordinary) - size(w, toxic + ordinary) for w in set(windows)), reverse=True)
+        top = [min(max(x, 0), 10) for x in [*d, *[0] * TOP][:TOP]] if len(d) < TOP else [min(max(x, 0), 10) for x in d[:TOP]]
+        assert row.tolist() == pytest.approx([*top, *(np.log1p(sum(x >= t for x in d)) for t in THRESHOLDS), np.log1p(len(b or b"")) / 10, 1.0])
+
+
 # --- pages ----------------------------------------------------------------------------------------------------------
 
 
