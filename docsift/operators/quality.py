@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.functions.metrics import ratio
+from docsift.operators.ranges import accumulated, bounds
 
 LABELS = ("ready", "marginal", "not_ready")
 
@@ -76,22 +77,24 @@ def class_weights(rows: DataFrame, label_col: str, n_classes: int | None = None)
 
 
 def roc_auc(rows: DataFrame, positive: Column, score: Column, group: str | None = None) -> DataFrame:
-    """Area under the ROC curve. Rows are summed by distinct score first; ties share a point."""
+    """Area under the ROC curve. Rows are summed by distinct score first; ties share a point. The score is a number; its ranges are found at once."""
     keys = [group] if group else []
+    ends = bounds(rows, [score])[0]
     points = rows.groupBy(*keys, score.alias("score")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    area = points.select(*keys, "p", "n", F.sum("p").over(w).alias("above"))
+    area = accumulated(points, keys, ["score"], F.col("p"), ends, "above", "positives", descending=True)
     sums = area.groupBy(*keys).agg(F.sum(F.col("n") * (F.col("above") - F.col("p") / 2)).alias("area"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.select(*keys, F.try_divide(F.col("area"), F.col("p").cast("double") * F.col("n")).alias("auc"))
 
 
 def stratified_split(rows: DataFrame, label_col: str, order: list, train: float = 0.7, val: float = 0.15) -> DataFrame:
-    """With split: of each label, in the given order, the first int(n * train) rows train, the next int(n * val) validate, the rest test."""
-    of = Window.partitionBy(label_col)
-    rank = F.row_number().over(of.orderBy(*order))
-    n = F.count("*").over(of)
-    a, b = F.floor(n * F.lit(train)), F.floor(n * F.lit(val))
-    return rows.withColumn("split", F.when(rank <= a, "train").when(rank <= a + b, "val").otherwise("test"))
+    """With split: of each label, in the given order, the first int(n * train) rows train, the next int(n * val) validate, the rest test.
+
+    The first order column is a number, date or timestamp; its ranges are found at once.
+    """
+    first = F.col(order[0]) if isinstance(order[0], str) else order[0]
+    ranked = accumulated(rows.select(F.struct("*").alias("row"), F.col(label_col).alias("label"), *((F.col(o) if isinstance(o, str) else o).alias(f"by{i}") for i, o in enumerate(order))), ["label"], [f"by{i}" for i in range(len(order))], F.lit(1), bounds(rows, [first])[0], "rank", "n")
+    a, b = F.floor(F.col("n") * F.lit(train)), F.floor(F.col("n") * F.lit(val))
+    return ranked.select("row.*", F.when(F.col("rank") <= a, "train").when(F.col("rank") <= a + b, "val").otherwise("test").alias("split"))
 
 
 def random_order(*keys: str, seed: int = 42) -> list[Column]:

@@ -175,3 +175,28 @@ def test_histogram_holds_every_value(spark, values):
     if known:
         density = np.histogram(known, 30, density=True)[0]
         assert {r["bin"]: r["density"] for r in got} == {i: pytest.approx(d) for i, d in enumerate(density.tolist()) if d}
+
+
+def test_ranks_and_medians_by_ranges(spark):
+    import random
+    import statistics
+
+    dice = random.Random(7)
+    rows = [(dice.choice(["a", "a", "b", None]), i, dice.choice([None, dice.random(), 0.5, 2.0])) for i in range(400)] + [("nulls", 400, None), ("nulls", 401, None), ("one", 402, 3.0)]
+    df = spark.createDataFrame(rows, "g string, i long, v double")
+    groups = {}
+    for g, i, v in rows:
+        groups.setdefault(g, []).append((i, v))
+    want = {g: (len(own), statistics.median(vs) if (vs := [v for _, v in own if v is not None]) else None) for g, own in groups.items()}
+    # a column that is named as an inner one
+    got = experiments.summarise(df.withColumn("total", F.col("v")), ["g"], ["v", "total"]).collect()
+    assert {r["g"]: (r["n"], r["v_median"]) for r in got} == want == {r["g"]: (r["n"], r["total_median"]) for r in got}
+    assert {r["g"]: (r["n"], r["median"]) for r in experiments.statistics(df, "v", ["g"]).collect()} == {g: (sum(v is not None for _, v in own), want[g][1]) for g, own in groups.items()}
+    split = {r["i"]: r["split"] for r in quality.stratified_split(df.withColumn("rank", F.lit("x")), "g", ["i"]).collect()}
+    for own in groups.values():
+        n = len(own)
+        a, b = int(n * 0.7), int(n * 0.15)
+        assert [split[i] for i, _ in sorted(own)] == ["train"] * a + ["val"] * b + ["test"] * (n - a - b)
+    none = df.where("i < 0")
+    assert experiments.summarise(none, ["g"], ["v"]).collect() == quality.stratified_split(none, "g", ["i"]).collect() == []
+    assert quality.roc_auc(none, F.col("i") == 1, F.col("v")).first()["auc"] is None
