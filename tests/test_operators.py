@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docsift.operators import experiments, images, labelling, layout, quality, seams
+from docsift.operators import experiments, extraction, images, labelling, layout, preprocess, quality, seams
 from docsift.sources import annotations, sinks
 
 BOXES = "doc_id long, seq int, text string, confidence double, bbox struct<x1:int,y1:int,x2:int,y2:int>"
@@ -133,11 +133,7 @@ def test_image_kernels(spark):
     out = images.four_point_transform(ramp, corners)
     assert out.shape == (29, 49) and out[0, 0] == ramp[5, 5] and out[-1, -1] == ramp[34, 54]
     for name, f in images.DEGRADATIONS.items():
-        if name.startswith("jpeg"):
-            with pytest.raises(NotImplementedError):
-                f(x, 1)
-        else:
-            assert f(x, 1).shape == x.shape, name
+        assert f(x, 1).shape == x.shape and f(images.to_gray(x), 1).shape == x.shape[:2], name
     rows = spark.createDataFrame([(1, 2, 2, 1, bytearray(b"\x00\x01\x02\x03")), (2, 2, 2, 1, bytearray(b"\x00"))], "doc_id long, height int, width int, channels int, data binary")
     out = {r["doc_id"]: r for r in images.transformed(rows, images.to_gray).collect()}
     assert bytes(out[1]["data"]) == b"\x00\x01\x02\x03" and out[2]["error"]
@@ -200,3 +196,125 @@ def test_ranks_and_medians_by_ranges(spark):
     none = df.where("i < 0")
     assert experiments.summarise(none, ["g"], ["v"]).collect() == quality.stratified_split(none, "g", ["i"]).collect() == []
     assert quality.roc_auc(none, F.col("i") == 1, F.col("v")).first()["auc"] is None
+
+
+def receipt_page(height=300, width=400):
+    x = np.full((height, width, 3), 255, np.uint8)
+    for row in range(60, height - 60, 24):
+        x[row : row + 3, 60 : width - 60] = 0
+    return x
+
+
+@pytest.mark.parametrize("angle", [7, -9, 12])
+def test_skew_is_found_and_undone(angle):
+    page = images.rotate(receipt_page(), angle)
+    assert preprocess.skew_by_lines(page) == pytest.approx(-angle, abs=0.5)
+    assert preprocess.skew_by_area(page) == pytest.approx(angle, abs=0.1)  # rows and columns in exchange turn the sign
+    straight = preprocess.deskew(page)
+    assert abs(preprocess.skew_by_lines(straight)) < 0.5 and straight.shape[0] > 300 and straight[0, 0].tolist() == [255] * 3
+
+
+def test_skew_guards():
+    slightly, blank = images.rotate(receipt_page(), 3), np.full((50, 50), 255, np.uint8)
+    assert preprocess.deskew(slightly) is slightly and preprocess.deskew(blank, "minAreaRect") is blank
+    assert preprocess.skew_by_lines(blank) == preprocess.skew_by_area(blank) == 0.0
+    with pytest.raises(ValueError):
+        preprocess.deskew(blank, "other")
+
+
+def test_documents_are_found():
+    paper = np.full((200, 250, 3), 230, np.uint8)
+    paper[50:60, 40:200] = 20
+    photo = images.warp(paper, np.array([[1, 0.1, -60], [-0.08, 1, -30], [0, 0, 1.0]]), 300, 400, 30)
+    found = preprocess.detect_document(photo)
+    assert found.shape[0] == pytest.approx(200, abs=8) and found.shape[1] == pytest.approx(250, abs=8) and found.mean() > 200
+    noise = np.random.default_rng(0).integers(0, 255, (100, 100, 3), dtype=np.uint8)
+    for nothing in (noise, np.full((40, 60, 3), 9, np.uint8), photo[:60, :60]):
+        assert preprocess.detect_document(nothing) is nothing
+    # a disc isn't a quadrilateral
+    y, x = np.mgrid[:200, :200]
+    disc = np.where((y - 100) ** 2 + (x - 100) ** 2 < 6000, 240, 20).astype(np.uint8)
+    assert preprocess.detect_document(disc) is disc
+
+
+def test_regions_against_brute_force():
+    for seed in range(20):
+        mask = np.random.default_rng(seed).random((12, 15)) < 0.45
+        for diagonal in (True, False):
+            got, n = preprocess.labelled(mask, diagonal)
+            seen, want = np.zeros(mask.shape, int), 0
+            for start in zip(*np.nonzero(mask), strict=True):
+                if not seen[start]:
+                    want += 1
+                    seen[start], open_ = want, [start]
+                    while open_:
+                        y, x = open_.pop()
+                        for dy in (-1, 0, 1):
+                            for dx in (-1, 0, 1):
+                                p = y + dy, x + dx
+                                if (diagonal or not dy or not dx) and 0 <= p[0] < 12 and 0 <= p[1] < 15 and mask[p] and not seen[p]:
+                                    seen[p] = want
+                                    open_.append(p)
+            assert n == want and len(set(zip(got[mask].tolist(), seen[mask].tolist(), strict=True))) == n and not got[~mask].any()
+
+
+def test_outline_and_corners_of_a_box():
+    mask = np.zeros((30, 40), bool)
+    mask[5:20, 8:33] = True
+    line = preprocess.outline(mask)
+    assert len(line) == 2 * (14 + 24) and preprocess.area(line) == 14 * 24 and preprocess.perimeter(line) == 2 * (14 + 24)
+    assert preprocess.ordered(preprocess.simplified(line, 1.5)).tolist() == [[8, 5], [32, 5], [32, 19], [8, 19]]
+
+
+def test_enhancement():
+    x = np.random.default_rng(0).integers(0, 255, (100, 100, 3), dtype=np.uint8)
+    dull = (images.to_gray(x) // 8 + 100).astype(np.uint8)
+    assert preprocess.clahe(dull).std() > 1.5 * dull.std() and preprocess.clahe(dull).shape == dull.shape and preprocess.clahe(dull[:5, :3]).shape == (5, 3)
+    assert preprocess.clahe(np.full((50, 70), 9, np.uint8)).std() == 0
+    step = np.repeat([[0, 255]], 20, 1).repeat(20, 0).astype(np.uint8)
+    noisy = np.clip(step + np.random.default_rng(1).normal(0, 10, step.shape), 0, 255).astype(np.uint8)
+    smooth = preprocess.bilateral_filter(noisy)
+    assert smooth[:, :20].std() < noisy[:, :20].std() and smooth[:, 19].mean() < 40 and smooth[:, 20].mean() > 215  # the edge stays
+    assert preprocess.enhance(x).shape == (100, 100) and preprocess.enhance(x, gray=False, contrast=False, threshold=False).ndim == 3
+    assert set(np.unique(preprocess.enhance(x))) <= {0, 255} and preprocess.preprocess(x).shape == (100, 100)
+
+
+def test_jpeg_loses_less_at_higher_quality():
+    x = images.resize(np.random.default_rng(0).integers(0, 255, (10, 10, 3), dtype=np.uint8), 37, 41)
+    off = [np.abs(images.jpeg(x, q).astype(int) - x).mean() for q in (10, 30, 75, 100)]
+    assert off == sorted(off, reverse=True) and np.abs(images.jpeg(x[..., 0], 100).astype(int) - x[..., 0]).mean() < 1 and (images.jpeg(np.full((9, 9), 128, np.uint8), 10) == 128).all()
+
+
+def test_model_input():
+    x = np.full((30, 50, 3), (0, 0, 255), np.uint8)  # red
+    out = preprocess.model_input(x)
+    assert out.shape == (3, 224, 224) and out.dtype == np.float32 and out[:, 5, 5].tolist() == pytest.approx([(1 - 0.485) / 0.229, -0.456 / 0.224, -0.406 / 0.225])
+    assert (preprocess.model_input(x, seed=1) == preprocess.model_input(x, seed=1)).all() and preprocess.model_input(x, 32, seed=2).shape == (3, 32, 32)
+
+
+def test_extraction_from_images(spark, tmp_path):
+    class Reader:
+        def recognise(self, image):
+            kind, size, _, _ = image.split(b"\n", 3)
+            if size == b"9 9":
+                raise RuntimeError("too small")
+            return [("TOTAL", 0.9, (0, 20, 9, 30)), ("9O,OOO", 0.9, (50, 21, 80, 30)), (f"Tea{kind.decode()}  1 x", 0.8, (0, 0, 9, 9)), ("1,000", 0.8, (50, 1, 80, 9))]
+
+    def row(i, x):
+        return i, x.shape[0], x.shape[1], x.shape[2] if x.ndim == 3 else 1, bytearray(x.tobytes())
+
+    page = receipt_page(60, 80)
+    table = spark.createDataFrame([row(1, page), row(2, page), row(3, page[:9, :9]), (4, 5, 5, 1, bytearray(b"x")), (5, 5, 5, 1, None)], "doc_id long, height int, width int, channels int, data binary")
+    assessed = spark.createDataFrame([(1, "not_ready", 0.5), (2, "not_ready", 0.6), (3, "ready", 0.9)], "doc_id long, label string, score double")
+    got = {r["doc_id"]: r for r in extraction.extract(table, str(tmp_path / "a"), Reader, assessed=assessed).collect()}
+    assert len(got) == 5 and got[1]["ocr_text"].endswith("TOTAL 90,000") and got[1]["receipt"] is not None and got[1]["error"] is None
+    assert got[2]["rejected"] and got[2]["receipt"] is None and got[2]["ocr_text"] == "" and not got[1]["rejected"]
+    assert got[3]["error"] == "too small" and got[3]["receipt"] is None and got[4]["error"] and got[5]["error"]
+
+    def ask(prompt):
+        return '{"menu": {"nm": "Tea"}, "total": {"total_price": "90,000",}}' if "P6" in prompt else "no"
+
+    got = {r["doc_id"]: r for r in extraction.extract(table, str(tmp_path / "b"), Reader, steps=None, parser="llm", ask=ask).collect()}
+    assert got[1]["receipt"]["total"]["total_price"] == "90,000" and [m["nm"] for m in got[1]["receipt"]["menu"]] == ["Tea"] and got[2]["receipt"] is not None
+    refused = extraction.extract(table.where("doc_id < 2"), str(tmp_path / "c"), Reader, parser="llm", ask=lambda p: "no").first()
+    assert refused["receipt"] is None and refused["error"]
