@@ -113,9 +113,19 @@ def fields(receipt: Column) -> Column:
     return F.map_from_entries(field_entries(receipt))
 
 
+def repaired(text: Column) -> Column:
+    """JSON without trailing commas."""
+    return F.regexp_replace(text, r",(\s*[}\]])", "$1")
+
+
+def is_object(text: Column) -> Column:
+    """Whether a model's answer is a JSON object at all; false for null."""
+    return F.from_json(repaired(F.coalesce(text, F.lit(""))), "map<string,string>").isNotNull()
+
+
 def from_model_json(text: Column, ddl: str = RECEIPT_DDL, menu: str | None = "menu") -> Column:
     """A model's answer as a struct: trailing commas are repaired, a single item is a list of one, and a missing total is an empty one."""
-    text = F.regexp_replace(text, r",(\s*[}\]])", "$1")
+    text = repaired(text)
     many = F.from_json(text, ddl)
     if menu is None:
         return many

@@ -59,7 +59,7 @@ def extract(
     if ask is None:
         raise ValueError("the parser llm needs ask")
     answers = kept(seams.answered(out.where(whole).select("doc_id", receipts.prompt(F.col("ocr_text")).alias("prompt")), ask), "answers")
-    read = answers.select("doc_id", receipts.from_model_json(F.col("answer")).alias("receipt"), F.col("error").alias("refused"))
+    read = answers.select("doc_id", F.when(receipts.is_object(F.col("answer")), receipts.from_model_json(F.col("answer"))).alias("receipt"), F.col("error").alias("refused"))
     error = F.coalesce("error", "refused", F.when(whole & F.col("receipt").isNull(), "the answer isn't a receipt"))
     return out.join(read, "doc_id", "left").withColumn("error", error).select(*COLUMNS)
 
