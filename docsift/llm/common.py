@@ -2,8 +2,9 @@
 
 import ctypes
 import tempfile
-import threading
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 from functools import cache, wraps
 
 import pyarrow as pa
@@ -28,12 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-#: The tables that each thread has written and not yet discarded: path, and the session that deletes it.
-standing: dict[int, dict[str, SparkSession]] = {}
+#: The tables that the run in hand has written so far: runs nest, and each context (so each thread) has its own.
+running: ContextVar[list[DataFrame] | None] = ContextVar("running", default=None)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: later readers don't recompute it, and lost executors cost nothing."""
+    """df as a table in the shared folder: later readers don't recompute it, and lost executors cost nothing.
+
+    It belongs to the run in hand (settled()), which deletes it in the end; without a run it stays until the folder is cleared.
+    """
     spark, tidy = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path = f"{shared_dir(spark).rstrip('/')}/docsift-{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(tidy, "false")
@@ -42,29 +46,37 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(tidy, before)
-    standing.setdefault(threading.get_ident(), {})[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if (own := running.get()) is not None:
+        own.append(out)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing will read again."""
-    own = standing.get(threading.get_ident(), {})
-    for path in [t.written_to for t in tables]:
-        if spark := own.pop(path, None):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def discard_but(docs: DataFrame) -> None:
-    """Deletes the tables that this thread has written so far, but for those that docs reads."""
-    used = "\n".join(docs.inputFiles())
-    for path, spark in list(standing.get(threading.get_ident(), {}).items()):
-        if path.rsplit("/", 1)[-1] not in used:
-            gone = spark.range(0)
-            gone.written_to = path
-            discard(gone)
+    """Deletes written tables that nothing will read again. Deleting one twice does nothing."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What make gives, as a written table, when the tables that make has written on the way are deleted: those and no others.
+
+    They are deleted if it fails, too. make hands out nothing but what it returns, so that no one else can read them.
+    """
+    token = running.set(own := [])
+    try:
+        out = written(make(), label)
+    except BaseException:
+        running.reset(token)
+        discard(*own)
+        raise
+    running.reset(token)
+    discard(*own[:-1])  # all but out
+    if (outer := running.get()) is not None:
+        outer.append(out)
+    return out
 
 
 @cache

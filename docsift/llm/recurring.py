@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import as_bytes, discard, slices, tidied, written
+from docsift.llm.common import as_bytes, discard, settled, slices, tidied, written
 
 PLACE_BITS = 27
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
@@ -207,6 +207,10 @@ def recurring_spans(rows: DataFrame, kind: Kind, across: bool, resolve: Callable
     gives (anchor, same, runs, times), a run being (first window, last window, least id with them), windows numbered from the
     snippet's start. across: only windows that also stand under a smaller id count for a document.
     """
+    return settled(lambda: _spans(rows, kind, across, resolve, bytes_in_task), "spans")
+
+
+def _spans(rows: DataFrame, kind: Kind, across: bool, resolve: Callable, bytes_in_task: int) -> DataFrame:
     every = snippets(rows, kind, across)
     distinct = every.groupBy("anchor", "same", "snippet").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
     distinct = written(distinct, "distinct")

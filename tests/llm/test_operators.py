@@ -566,3 +566,39 @@ def test_features_of_long_lists_count_every_sibling():
     assert out[1:, 14].tolist() == pytest.approx([i / 120 for i in range(120)])
     assert set(out[1:, 10].tolist()) == {np.float32(texts / 120)} and set(out[1:, 11].tolist()) == {np.float32(links / texts)}
     assert set(out[1:, 12].tolist()) == {0.5} and out[0, 15:17].tolist() == [60, 60]
+
+
+def test_live_results_survive_later_runs(spark):
+    """Results that are made first and read last, among them two pipelines."""
+    import corpus_pipeline as p
+    from docsift.llm.queries import QUERIES
+
+    made = {name: QUERIES[name](spark, "/root/testdata/sf0.001") for name in ("op1_exact_topk", "op2_suffix_array_dedup", "op4_best_fit_packing", "op6_ngram_jaccard_join", "op7_phrase_dedup", "op10_url_filter")}
+    first, second = (p.run(spark, "/root/testdata/sf0.001") for _ in range(2))
+    pieces = [sorted(map(tuple, x.select("doc_id", "piece", "length", "ids_crc32").collect())) for x in (first, second)]
+    assert pieces[0] == pieces[1]
+    assert all(x.count() > 0 for x in made.values())
+
+
+def test_a_run_deletes_its_own_tables_alone(spark, tmp_path):
+    from pathlib import Path
+
+    from docsift.llm.common import settled, written
+
+    there = lambda x: Path(x.written_to.removeprefix("file:")).exists()
+    inner = []
+
+    def make(fails=False):
+        inner.append(written(spark.range(3), "inner"))
+        nested = settled(lambda: written(spark.range(5), "deeper").where("id > 1"), "nested")
+        inner.append(nested)
+        if fails:
+            raise ValueError("fails")
+        return inner[0].join(nested, "id")
+
+    other = written(spark.range(2), "other")
+    out = settled(make, "out")
+    with pytest.raises(ValueError, match="fails"):
+        settled(lambda: make(True), "out")
+    assert out.count() == 1 and other.count() == 2
+    assert len(inner) == 4 and not any(map(there, inner)) and there(out) and there(other)
