@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity, near duplicates, repeated text, benchmark contamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs, so each stage may delete the tables that earlier ones have left. All but the last return the columns that they were given. A null text counts as empty throughout; extra
+one's docs. A stage deletes the tables that it has written on the way, and no others. All but the last return the columns that they were given. A null text counts as empty throughout; extra
 columns are carried along, whatever their names.
 """
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm import decontamination, jaccard_join, packing, suffix_dedup, toxicity
-from docsift.llm.common import discard_but, table, written
+from docsift.llm.common import discard, settled, table
 from docsift.llm.recurring import LARGEST
 
 #: Near duplicates of the stage: Jaccard similarity of 0.8 or more of five-word shingles. The op6 query has its own contract (3 and 90).
@@ -29,7 +29,6 @@ def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches the threshold go."""
-    discard_but(docs)
     scored = toxicity.score_toxicity(carried(docs), table(spark, sf_dir, "labels"), carry="row")
     return restored(scored.where("predicted = 0"), docs)
 
@@ -39,8 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows of one id, or without any, are documents of their own. Rows without words link with nothing, so all of them stay.
     """
-    discard_but(docs)
-    found = written(jaccard_join.join(docs.select("doc_id", "text"), percent=NEAR_PERCENT, size=NEAR_SHINGLE), "groups")
+    found = settled(lambda: jaccard_join.join(docs.select("doc_id", "text"), percent=NEAR_PERCENT, size=NEAR_SHINGLE), "groups")
     known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(LARGEST))
     heads = found.where(known("doc_id") == known("component_id")).where("n_shingles > 0 and version = component_version")
     heads = heads.groupBy(known("doc_id").alias("id"), "version").agg(F.count("*").alias("times"))
@@ -55,7 +53,6 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Characters all of whose bytes are covered by a string of 200 bytes that starts elsewhere too go; n_chars follows."""
-    discard_but(docs)
     cut = suffix_dedup.without_repeats(carried(docs), whole_characters=True, carry="row")
     out = restored(cut.select(F.when(F.col("carried.there"), F.decode("kept", "UTF-8")).alias("text"), "carried"), docs)
     if "n_chars" in docs.columns:
@@ -65,14 +62,12 @@ def drop_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark window occurs go."""
-    discard_but(docs)
     found = decontamination.find_contamination(carried(docs), table(spark, sf_dir, "benchmark"), carry="row")
     return restored(found.where("not contaminated"), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, in sequences."""
-    discard_but(docs)
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -90,9 +85,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    """All stages over documents. Tables of this run go when its next stage stands; those that the result reads stay until the shared folder is cleared."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        if before:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
