@@ -48,3 +48,35 @@ found as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' o
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from docs left join marked using (doc_id) left join found using (doc_id)
 """
+
+ENCODED = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+LEAF = lambda n: "sha256(" + " || ".join(map(ENCODED, ["doc_id", "source", "lang", n, "text"])) + ")"
+#: CRC-32 of an ASCII string, bit by bit.
+CRC32 = lambda c: f"""xor(list_reduce(list_prepend(4294967295::ubigint, flatten(list_transform(string_split({c}, ''), lambda x: [(ascii(x) + 256)::ubigint, 0, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: case when b > 0 then xor(a, b - 256) when a % 2 = 1 then xor(a // 2, 3988292384::ubigint) else a // 2 end), 4294967295::ubigint)"""
+#: Trees level by level: a node's siblings are found by its place.
+OP13 = f"""
+with recursive leaves as materialized (
+  select doc_id, lang, {LEAF("n_chars")} as leaf, case when {CRC32("doc_id::varchar")} % 7 = 0 then {LEAF("(n_chars + 1)")} else {LEAF("n_chars")} end as forged from documents),
+numbered as materialized (select *, (row_number() over w - 1)::bigint as place, count(*) over (partition by lang) as total from leaves window w as (partition by lang order by doc_id nulls first, leaf)),
+nodes as (
+  select lang, 0 as level, place, leaf as digest, total from numbered
+  union all
+  select lang, level + 1, place // 2, sha256(string_agg(digest, '' order by place)), (total + 1) // 2 from (select * from nodes where total > 1) group by lang, level + 1, place // 2, total),
+subroots as materialized (select lang, digest as subroot, level as height, (row_number() over (order by lang nulls first) - 1)::bigint as place, count(*) over () as total from nodes where total = 1),
+tops as (
+  select 0 as level, place, subroot as digest, total from subroots
+  union all
+  select level + 1, place // 2, sha256(string_agg(digest, '' order by place)), (total + 1) // 2 from (select * from tops where total > 1) group by level + 1, place // 2, total),
+root as materialized (select digest as root, level as height from tops where total = 1),
+lower as materialized (
+  select n.doc_id, n.lang, n.place, n.leaf, n.forged, s.subroot, s.place as top_at, list(case when x.place is null then '' when x.place < n.place // (1 << x.level) then '<' || x.digest else '>' || x.digest end order by l.level) filter (l.level is not null) as proof
+  from numbered n join subroots s on n.lang is not distinct from s.lang left join (select unnest(range(64))::int as level) l on l.level < s.height
+  left join nodes x on x.lang is not distinct from n.lang and x.level = l.level and x.place = xor(n.place // (1 << l.level), 1::bigint) group by all),
+upper as materialized (
+  select s.place as top_at, list(case when x.place is null then '' when x.place < s.place // (1 << x.level) then '<' || x.digest else '>' || x.digest end order by l.level) filter (l.level is not null) as proof
+  from subroots s, root r left join (select unnest(range(64))::int as level) l on l.level < r.height left join tops x on x.level = l.level and x.place = xor(s.place // (1 << l.level), 1::bigint) group by all),
+proofs as materialized (select l.* exclude (proof), list_concat(coalesce(l.proof, []), coalesce(u.proof, [])) as proof from lower l join upper u using (top_at)),
+folded as (select *, list_reduce(list_prepend(forged, proof), lambda a, s: case when s = '' then sha256(a) when s[1] = '<' then sha256(s[2:] || a) else sha256(a || s[2:]) end) as folded_root from proofs)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(proof, lambda s: s[2:]), '')) as proof_sha256, folded_root, folded_root = root as verified from folded, root
+"""

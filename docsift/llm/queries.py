@@ -6,7 +6,7 @@ from docsift.llm import oracles
 from docsift.llm.common import table
 
 QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": oracles.OP6, "op7_phrase_dedup": oracles.OP7, "op9_benchmark_decontamination": oracles.OP9}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": oracles.OP6, "op7_phrase_dedup": oracles.OP7, "op9_benchmark_decontamination": oracles.OP9, "op13_merkle_manifest": oracles.OP13}
 
 
 def query(f):
@@ -108,3 +108,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsift.llm.jaccard_join import join
 
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docsift.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
