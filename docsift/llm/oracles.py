@@ -80,3 +80,20 @@ proofs as materialized (select l.* exclude (proof), list_concat(coalesce(l.proof
 folded as (select *, list_reduce(list_prepend(forged, proof), lambda a, s: case when s = '' then sha256(a) when s[1] = '<' then sha256(s[2:] || a) else sha256(a || s[2:]) end) as folded_root from proofs)
 select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(proof, lambda s: s[2:]), '')) as proof_sha256, folded_root, folded_root = root as verified from folded, root
 """
+
+
+def k_means_sql(k: int = 8, rounds: int = 10) -> str:
+    """Round by round: d and a assign vectors to the centroids c of the round before, c moves them."""
+    assign = lambda i: f"""a{i} as materialized (select n, min_by(c, (d, c)) as c, min(d) as d from (
+  select n, c, list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::hugeint as d from kept, c{i}) group by 1)"""
+    move = lambda i: f"""s{i} as (select c, j, sum(x[j])::hugeint as s, count(*)::hugeint as n from (select c, x, unnest(range(1, 65)) as j from a{i - 1} join kept using (n)) group by 1, 2),
+c{i} as materialized (select c, coalesce(f, m) as m from c{i - 1} left join (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by j) as f from s{i} group by 1) using (c))"""
+    steps = [assign(0)] + [x for i in range(1, rounds + 1) for x in (move(i), assign(i))]
+    return f"""with kept as materialized (
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as materialized (select (row_number() over (order by sha256('3:' || vec_id::varchar), x) - 1)::int as c, x as m from kept qualify c < {k}),
+{", ".join(steps)},
+total as (select c, sum(d)::bigint as cluster_inertia from a{rounds} group by 1)
+select vec_id, c as cluster, d::bigint as distance, cluster_inertia, (select sum(d)::bigint from a{rounds}) as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+from a{rounds} join kept using (n) join total using (c) join c{rounds} using (c)"""

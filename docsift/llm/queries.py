@@ -6,7 +6,7 @@ from docsift.llm import oracles
 from docsift.llm.common import table
 
 QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": oracles.OP6, "op7_phrase_dedup": oracles.OP7, "op9_benchmark_decontamination": oracles.OP9, "op13_merkle_manifest": oracles.OP13}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": oracles.OP6, "op7_phrase_dedup": oracles.OP7, "op9_benchmark_decontamination": oracles.OP9, "op11_centroid_clustering": oracles.k_means_sql(), "op13_merkle_manifest": oracles.OP13}
 
 
 def query(f):
@@ -115,3 +115,10 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsift.llm.merkle import manifest
 
     return manifest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docsift.llm.clustering import k_means
+
+    return k_means(table(spark, sf_dir, "embeddings"))
