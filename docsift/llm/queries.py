@@ -122,3 +122,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsift.llm.clustering import k_means
 
     return k_means(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docsift.llm.retrieval_packing import pack_by_retrieval
+
+    return pack_by_retrieval(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
