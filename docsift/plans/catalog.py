@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.functions import arrays, metrics, receipts, text
-from docsift.operators import experiments, labelling, layout, quality
+from docsift.operators import experiments, labelling, layout, quality, registry
 from docsift.operators.images import DEGRADATION_TABLE
+from docsift.plans import trials
 from docsift.plans.adapters import BOXES_SQL, GATED_SQL, PAIRS_SQL, RECEIPTS_SQL, gated, noised, noised_sql, pairs, table, word_boxes
 from docsift.plans.adapters import receipts as receipt_texts
 
@@ -528,3 +529,26 @@ def q54_usable_tokens(spark, sf_dir):
     b = word_boxes(spark, sf_dir).withColumn("confidence", F.col("confidence") - 0.35)
     b = layout.usable_tokens(b).withColumn("box", arrays.edge_box(F.col("bbox.x1"), F.col("bbox.y1"), F.lit(30), F.lit(12)))
     return b.select("doc_id", "seq", "box.*", arrays.one_hot(F.col("seq") % 3, 3).alias("one_hot"))
+
+
+# --- the registry of experiments ------------------------------------------------------------------------------------
+
+ABLATION = registry.chosen("5")
+FIGURES = ("cer_mean", "cer_median", "wer_mean", "wer_median", "f1_mean", "anls_mean", "total_em")
+
+
+def figures(spark, sf_dir, experiments) -> DataFrame:
+    out = registry.results(trials.samples(spark, sf_dir), trials.STEPS, experiments)
+    return out.select(*(r6(F.col(c)).alias(c) if c in FIGURES else c for c in out.columns))
+
+
+@query(trials.sql(ABLATION, PARSED_SQL, NLS))
+def q55_ablation(spark, sf_dir):
+    """Five configurations that share their first steps, each step worked out once."""
+    return figures(spark, sf_dir, ABLATION)
+
+
+@query(trials.sql(registry.catalogue(), PARSED_SQL, NLS))
+def q56_experiments(spark, sf_dir):
+    """All thirteen experiments in one call: error rates, gates, parsers with their failures, sources of text, scales."""
+    return figures(spark, sf_dir, registry.catalogue())
