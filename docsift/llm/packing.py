@@ -36,14 +36,15 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Recent(dict):
-    """The ids, packed, of what was looked up lately: two generations of at most MOST_WORDS entries."""
+    """The ids, packed, of what was looked up lately: two generations of about so many entries."""
 
-    def __init__(self):
+    def __init__(self, most: int = MOST_WORDS):
         self.older: dict[str, bytes] = {}
+        self.most = most
 
     def all(self, keys: list[str], make) -> list[bytes]:
         """The values of distinct keys. make: gives those of a list of keys that aren't known."""
-        if len(self) > MOST_WORDS:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
         out = list(map(self.get, keys))

@@ -16,6 +16,7 @@ which waits for a shard. Ties in score or key: the order of items, by a hash of
 import json
 import os
 import zlib
+from array import array
 from functools import cache, reduce
 
 import numpy as np
@@ -27,12 +28,14 @@ from pyspark.sql import functions as F
 
 from docsift.llm.common import slices, tidied, written
 from docsift.llm.packing import Recent, gathered
-from docsift.llm.token_counts import classes, starts
+from docsift.llm.token_counts import Counter, classes, starts
 
 WINDOW, END_ID = 2048, 1
 #: Tokens of a shard, whose index is searched by its seeds, and of a partition, which a task packs shard by shard.
-SHARD, PARTITION = 1 << 19, 1 << 22
+SHARD, PARTITION = 1 << 18, 1 << 22
 K1, B = 1.2, 0.75
+#: Distinct pre-tokens whose ids a worker keeps, in each of two generations.
+MOST_PARTS = 300_000
 #: Bits of a term in a sort key.
 TERM_BITS = 21
 
@@ -41,9 +44,10 @@ TERM_BITS = 21
 
 
 class Encoder:
-    """Ids of a byte-level vocabulary. Texts are cut into pre-tokens by array operations; only distinct ones that are new go to the merge model.
+    """Ids of a byte-level vocabulary. Texts are cut into pre-tokens by array operations; only distinct ones that are new go to a merge model,
+    which takes the file's merges as ranks of bytes.
 
-    Texts with special strings go to the library whole.
+    Texts with special strings go to the library whole, as does everything if the file's ids don't follow its merges.
     """
 
     def __init__(self, path: str):
@@ -51,53 +55,64 @@ class Encoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
-        self.library = Tokenizer.from_file(path)
-        self.model, self.parts = self.library.model, Recent()
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(own)]
-        #: What stands for each byte in the vocabulary: itself if it can be printed, else the next character from 256 on.
-        self.stand_ins = {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+            file = json.load(f)
+        self.special = [t["content"] for t in file["added_tokens"]]
+        self.library, self.parts = Tokenizer.from_file(path), Recent(MOST_PARTS)
+        self.size = self.library.get_vocab_size()
+        self.kind, self.code = (np.dtype("<u2"), "H") if self.size <= 1 << 16 else (np.dtype("<u4"), "I")
+        self.merges = self.by_rank(file)
+
+    def by_rank(self, file: dict):
+        """A merge model from bytes to ids, if each merge's id follows those of the bytes and of the merges before it."""
+        import tiktoken
+
+        back = Counter.characters()
+        vocabulary = {t: i for t, i in file["model"]["vocab"].items() if t not in self.special}
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in file["model"]["merges"]]
+        if len(vocabulary) != 256 + len(pairs) or any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)):
+            return None
+        ranks = {bytes(back[c] for c in t): i for t, i in vocabulary.items()}
+        return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def of_parts(self, parts: list[str]) -> list[bytes]:
-        return [np.array([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.stand_ins))], self.kind).tobytes() for p in parts]
+        merges, code = self.merges, self.code
+        return [array(code, merges(p.encode())).tobytes() for p in parts]
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text. Nulls count as empty."""
         texts = pc.fill_null(texts, "")
+        if self.merges is None:
+            return [self.whole(t) for t in texts.to_pylist()]
         odd = np.zeros(len(texts), bool)
         for s in self.special:
             odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         if odd.any():
-            whole = {i: np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, self.kind) for i in np.flatnonzero(odd).tolist()}
+            apart = {i: self.whole(texts[i].as_py()) for i in np.flatnonzero(odd).tolist()}
             texts = pc.if_else(pa.array(odd), "", texts)
-        sizes, cuts, base = [], [], 0
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2] or pa.py_buffer(b"")
+        lead = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+        cuts, sizes, before = [], [], 0
         for t in texts.to_pylist():
             at = starts(t)
-            if not t.isascii():
-                c = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-                width = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
-                before = np.cumsum(width)
-                at, n = (before - width)[at], int(before[-1])
-            else:
-                n = len(t)
-            cuts.append(at + base)
+            cuts.append(at + before)
             sizes.append(len(at))
-            base += n
-        cuts = np.concatenate([*cuts, [base]]).astype(np.int32)
-        data = pa.concat_arrays([texts])  # starts at its buffer's beginning only if it isn't a slice
-        first = data.offset
-        offset = np.frombuffer(data.buffers()[1], np.int32)[first] if len(data) else 0
-        parts = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts + offset), data.buffers()[2] or pa.py_buffer(b""))
-        coded = parts.dictionary_encode()
-        packed = self.parts.all(coded.dictionary.to_pylist(), self.of_parts)
+            before += len(t)
+        cuts = np.concatenate([*cuts, np.empty(0, np.int64)])
+        if before < len(lead):  # from characters to bytes
+            cuts = np.flatnonzero((lead & 0xC0) != 0x80)[cuts]
+        cuts = np.append(cuts + offsets[0], offsets[-1]).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), data).dictionary_encode()
+        packed = self.parts.all(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.of_parts)
         flat, lengths = np.frombuffer(b"".join(packed), self.kind), np.fromiter(map(len, packed), np.int64, len(packed)) // self.kind.itemsize
         ids, until = gathered(flat, lengths, coded.indices.to_numpy())
         ends = np.concatenate([[0], until])[np.cumsum([0, *sizes])]
         out = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         if odd.any():
-            for i, own in whole.items():
+            for i, own in apart.items():
                 out[i] = own
         return out
 
@@ -110,9 +125,15 @@ def encoder(path: str) -> Encoder:
 
 def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids in order, and how often each occurs."""
-    s = np.sort(ids, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
-    return s[at], np.diff(at, append=len(s))
+    n, s = len(ids), np.sort(ids, kind="stable")
+    new = np.ones(n, bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    at = new.nonzero()[0]
+    times = np.empty(len(at), np.int64)
+    if n:
+        np.subtract(at[1:], at[:-1], out=times[:-1])
+        times[-1] = n - at[-1]
+    return s[at], times
 
 
 # --- items and statistics -------------------------------------------------------------------------------------------
@@ -139,10 +160,10 @@ def tokenized(docs: DataFrame, path: str, window: int, id_col: str, text_col: st
     @tidied
     def run(batches):
         encode = encoder(path)
-        frequency = np.zeros(encode.library.get_vocab_size(), np.int64)
+        frequency = np.zeros(encode.size, np.int64)
         totals, sequence = [0, 0, 0], TaskContext.get().partitionId() << 28
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            for part in slices(batch, 1, 8 << 20):
                 out = []
                 for doc, ids in zip(part.column(0).to_pylist(), encode.ids(part.column(1)), strict=True):
                     ids = np.append(ids, encode.kind.type(END_ID))
@@ -197,7 +218,7 @@ class Shard:
     def __init__(self, items: list[tuple], known: Statistics):
         self.items, n = items, len(items)
         self.at = [0] * n
-        self.left = [len(x[3]) for x in items]
+        self.left = np.array([len(x[3]) for x in items], np.int64)
         own = [terms_of(x[3]) for x in items]
         sizes = np.array([len(t) for t, _ in own], np.int64)
         terms = np.concatenate([t for t, _ in own])
@@ -214,7 +235,7 @@ class Shard:
 
     def neighbours(self, ids: np.ndarray):
         """Unused items, the best first; of equals, in order. Of many, the best are sorted before the rest."""
-        live = np.flatnonzero(self.left)
+        live = self.left.nonzero()[0]
         s = -self.scores(ids)[live]
         some = 64
         if len(live) > 4 * some:
@@ -229,7 +250,7 @@ class Shard:
     def take(self, i: int, most: int) -> tuple:
         """(doc, start, ids, tokens of the document) of the next ids of an item, at most so many."""
         doc, start, total, ids = self.items[i]
-        at, n = self.at[i], min(most, self.left[i])
+        at, n = self.at[i], min(most, int(self.left[i]))
         self.at[i] += n
         self.left[i] -= n
         return doc, start + at, ids[at : at + n], total
@@ -239,7 +260,7 @@ class Shard:
 
     def windows(self, window: int):
         """Full windows as lists of what they took. Less than a window stays."""
-        unused, tokens, seed = 0, sum(self.left), None
+        unused, tokens, seed = 0, int(self.left.sum()), None
         while tokens >= window:
             if seed is None or not self.left[seed]:
                 while not self.left[unused]:
@@ -342,7 +363,9 @@ def keyed(items: DataFrame, known: Statistics, path: str) -> DataFrame:
             for raw in b.column(3).to_pylist():
                 ids = np.frombuffer(raw, kind)
                 terms, times = terms_of(ids)
-                strongest = terms[np.argsort(-known.weights(terms, times, len(ids)), kind="stable")[:3]].tolist()
+                weights = known.weights(terms, times, len(ids))
+                best = np.argpartition(-weights, 2)[:3] if len(terms) > 3 else np.arange(len(terms))
+                strongest = terms[best[np.lexsort((best, -weights[best]))]].tolist()
                 keys.append(sum(t << TERM_BITS * (2 - i) for i, t in enumerate(strongest)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], [*b.schema.names, "key"])
 
@@ -360,7 +383,8 @@ def pack_by_retrieval(docs: DataFrame, path: str, window: int = WINDOW, shard: i
         if not tokens:
             break
         n, order = -(-tokens // partition), ["key", "salt"]
-        rows = keyed(items, known, path)
+        # written, as dealing by range reads its input twice
+        rows = written(keyed(items, known, path), "keyed")
         rows = rows.repartitionByRange(n, *order) if n > 1 else rows.repartition(1)  # one task gets at most a partition's tokens
         tables.append(packed(rows.sortWithinPartitions(*order), known, path, len(tables), n == 1, window, shard))
     out = reduce(DataFrame.unionByName, [t.where(F.col("kind") == PLACED) for t in tables])
