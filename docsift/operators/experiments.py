@@ -5,7 +5,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.operators.quality import random_order
+from docsift.functions import openjson
+from docsift.functions.metrics import set_f1
+from docsift.functions.text import price_key, strip
 from docsift.operators.ranges import bounds, medians
 
 
@@ -94,6 +96,40 @@ def completeness(receipts: DataFrame, receipt: str = "receipt") -> DataFrame:
     return sums.select(F.inline(F.array(*(row(name, f"s{i}", "n") for i, name in enumerate(scalar)), *(row(f"menu.{k}", f"m_{k}", "items") for k in ("nm", "cnt", "price")))))
 
 
+def key_completeness(rows: DataFrame, json: Column, fields: tuple[str, ...] = openjson.FIELDS, items: str = "menu") -> DataFrame:
+    """(field, present, nulls, total): how many receipts, or for fields of items how many items, have the key at all, and how many have it as null. One aggregation."""
+    each = rows.select(openjson.presence(openjson.parsed(json), fields, items).alias("p"))
+    sums = each.agg(F.count("*").alias("n"), F.coalesce(F.sum("p.n_items"), F.lit(0)).alias("items"), *(F.coalesce(F.sum(f"p.{k}_{i}"), F.lit(0)).alias(f"{k}_{i}") for i in range(len(fields)) for k in ("there", "null")))
+    row = lambda i, f: F.struct(F.lit(f).alias("field"), F.col(f"there_{i}").alias("present"), F.col(f"null_{i}").alias("nulls"), F.col("items" if f.startswith(f"{items}.") else "n").alias("total"))
+    return sums.select(F.inline(F.array(*(row(i, f) for i, f in enumerate(fields)))))
+
+
+def items_per_receipt(rows: DataFrame, json: Column, by: list[str] = (), items: str = "menu") -> DataFrame:
+    """(by, n, mean, std, min, median, max) of how many items receipts have; an object counts as one, a missing or null list as none."""
+    own = rows.select(*by, F.size(openjson.elements(openjson.at(openjson.parsed(json), items))).alias("items"))
+    return statistics(own, "items", list(by))
+
+
+def compare_parsers(rows: DataFrame, parsers: dict[str, str]) -> DataFrame:
+    """(parser, files, texts, answered, totals, total_matches, by_files, by_texts, by_totals, menu_f1) of each parser (its name and its column).
+
+    rows: text, gt (the true receipt), and a receipt for each parser, null where it failed. Blank texts are left out, but count as files. Totals match if they are
+    the same without separators; two missing ones match, too. A failure is no match and an f1 of 0. The rates differ in what they divide by: all files,
+    those with text, those with a true total. One pass, with a row for each parser and text.
+    """
+    texts = rows.where("text is not null and trim(text) <> ''")
+    total = lambda r: price_key(F.coalesce(F.when(r.isNotNull(), r["total"]["total_price"]), F.lit("")))
+    prices = lambda r: F.coalesce(F.transform(r["menu"], lambda m: strip(F.coalesce(m["price"], F.lit("")))), F.array().cast("array<string>"))
+    f1 = lambda r: F.when(r.isNull(), 0.0).otherwise(set_f1(prices(r), prices(F.col("gt")))["f1"])
+    one = lambda name, c: F.struct(F.lit(name).alias("parser"), F.col(c).isNotNull().alias("answered"), (F.col(c).isNotNull() & (total(F.col(c)) == total(F.col("gt")))).alias("match"), f1(F.col(c)).alias("f1"))
+    each = texts.select((total(F.col("gt")) != "").alias("has_total"), F.explode(F.array(*(one(n, c) for n, c in parsers.items()))).alias("p")).select("has_total", "p.*")
+    sums = each.groupBy("parser").agg(F.count("*").alias("texts"), F.count_if("answered").alias("answered"), F.count_if("has_total").alias("totals"), F.count_if("match").alias("total_matches"), F.count_if(F.col("match") & F.col("has_total")).alias("m"), F.avg("f1").alias("menu_f1"))
+    every = rows.agg(F.count("*").alias("files"))
+    rate = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+    out = sums.join(F.broadcast(every))  # one row
+    return out.select("parser", "files", "texts", "answered", "totals", "total_matches", rate("total_matches", "files").alias("by_files"), rate("total_matches", "texts").alias("by_texts"), rate("m", "totals").alias("by_totals"), "menu_f1")
+
+
 def sample_variants(images: DataFrame, variants: list[str], k: int, key: str, order: list[Column] | None = None, seed: int = 42) -> DataFrame:
     """k of the variants for each image, by a seeded hash or the given order. No shuffle: variants are ranked in an array."""
     if order is None:
@@ -101,6 +137,3 @@ def sample_variants(images: DataFrame, variants: list[str], k: int, key: str, or
     else:
         ranked = F.array_sort(F.array(*(F.struct(o.alias("h"), F.lit(v).alias("degradation")) for v, o in zip(variants, order, strict=True))))
     return images.withColumn("degradation", F.explode(F.slice(ranked["degradation"], 1, k)))
-
-
-__all__ = ["completeness", "existing", "histogram", "ordered_scores", "random_order", "resume", "sample_variants", "split_counts", "stage_deltas", "statistics", "summarise", "upsert", "with_configs"]

@@ -101,3 +101,41 @@ GATED_SQL = """
 logits as (select vec_id, label % 3 as label, [embedding[i]::double * 4 for i in range(1, 4)] as l from embeddings),
 powers as (select *, [exp(x - list_max(l)) for x in l] as e from logits),
 probs as (select vec_id, label, [x / list_sum(e) for x in e] as p from powers)"""
+
+
+def open_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, json): receipts as models write them: keys that are missing or null, numbers and booleans for texts, a single item without a list, other things in lists, trailing commas."""
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    n = F.col("l_linenumber")
+    price = F.when(n % 2 == 0, F.concat(F.lit(',"price":"'), money(cents), F.lit('"'))).otherwise(F.concat(F.lit(',"price":'), cents.cast("string")))
+    item = F.concat(F.lit('{"nm":"'), "p_name", F.lit('","cnt":'), F.col("l_quantity").cast("int").cast("string"), price, F.when(n % 3 == 0, ',"unitprice":null').when(n % 5 == 0, ',"unitprice":[1]').otherwise(""), F.lit("}"))
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", item.alias("item"))
+    own = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(row))["item"].alias("items"), F.sum(cents).alias("sub"))
+    k = F.col("o_orderkey")
+    menu = F.when(F.size("items") == 1, F.col("items")[0]).otherwise(F.concat(F.lit("["), F.array_join("items", ","), F.when(k % 19 == 0, ',"x",null').otherwise(""), F.lit("]")))
+    parts = [
+        F.when(k % 13 != 0, F.concat(F.lit('"menu":'), F.when(k % 17 == 0, "null").otherwise(menu))),
+        F.when(k % 3 != 0, F.when(k % 7 == 0, '"sub_total":"none"').otherwise(F.concat(F.lit('"sub_total":{"subtotal_price":'), F.col("sub").cast("string"), F.lit(',"tax_price":'), F.when(k % 2 == 0, "true").otherwise("12.5"), F.lit("}")))),
+        F.when(k % 23 != 0, F.when(k % 5 == 0, '"total":{}').otherwise(F.concat(F.lit('"total":{"total_price":"'), money(F.col("sub")), F.lit('","cashprice":null'), F.when(k % 2 == 0, ',"changeprice":false').otherwise(""), F.lit("}")))),
+    ]
+    return own.select("o_orderkey", F.when(k % 29 == 0, "no receipt").otherwise(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.when((k % 11 == 0) & (k % 3 != 0), ",}").otherwise("}"))).alias("json"))
+
+
+OPEN_SQL = f"""
+pieces as (
+  select l_orderkey as o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, round(l_extendedprice * 100)::bigint as cents,
+    '{{"nm":"' || p_name || '","cnt":' || l_quantity::int::varchar || case when l_linenumber % 2 = 0 then ',"price":"' || {MONEY.format("round(l_extendedprice * 100)::bigint")} || '"' else ',"price":' || round(l_extendedprice * 100)::bigint::varchar end
+    || case when l_linenumber % 3 = 0 then ',"unitprice":null' when l_linenumber % 5 = 0 then ',"unitprice":[1]' else '' end || '}}' as item
+  from lineitem join part on l_partkey = p_partkey),
+grouped as (
+  select o_orderkey, string_agg(item, ',' order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, item) as items, count(*) as n, sum(cents)::bigint as sub from pieces group by 1),
+open_receipts as materialized (
+  select o_orderkey, case when o_orderkey % 29 = 0 then 'no receipt' else '{{' || concat_ws(',',
+    case when o_orderkey % 13 <> 0 then '"menu":' || case when o_orderkey % 17 = 0 then 'null' when n = 1 then items else '[' || items || case when o_orderkey % 19 = 0 then ',"x",null' else '' end || ']' end end,
+    case when o_orderkey % 3 <> 0 then case when o_orderkey % 7 = 0 then '"sub_total":"none"' else '"sub_total":{{"subtotal_price":' || sub::varchar || ',"tax_price":' || case when o_orderkey % 2 = 0 then 'true' else '12.5' end || '}}' end end,
+    case when o_orderkey % 23 <> 0 then case when o_orderkey % 5 = 0 then '"total":{{}}' else '"total":{{"total_price":"' || {MONEY.format("sub")} || '","cashprice":null' || case when o_orderkey % 2 = 0 then ',"changeprice":false' else '' end || '}}' end end)
+    || case when o_orderkey % 11 = 0 and o_orderkey % 3 <> 0 then ',}}' else '}}' end end as json from grouped),
+valid as materialized (select o_orderkey, case when json_valid(regexp_replace(json, ',\\s*([}}\\]])', '\\1', 'g')) then regexp_replace(json, ',\\s*([}}\\]])', '\\1', 'g')::json end as j from open_receipts),
+menus as materialized (select o_orderkey, j, case json_type(j, '$.menu') when 'ARRAY' then from_json(json_extract(j, '$.menu'), '["json"]') when 'OBJECT' then [json_extract(j, '$.menu')] else [] end as menu from valid),
+entries as materialized (select o_orderkey, unnest(menu) as x, generate_subscripts(menu, 1) - 1 as i from menus)"""

@@ -3,11 +3,11 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.functions import arrays, metrics, receipts, text
+from docsift.functions import arrays, metrics, openjson, receipts, text
 from docsift.operators import experiments, labelling, layout, quality, registry
 from docsift.operators.images import DEGRADATION_TABLE
 from docsift.plans import trials
-from docsift.plans.adapters import BOXES_SQL, GATED_SQL, PAIRS_SQL, RECEIPTS_SQL, gated, noised, noised_sql, pairs, table, word_boxes
+from docsift.plans.adapters import BOXES_SQL, GATED_SQL, OPEN_SQL, PAIRS_SQL, RECEIPTS_SQL, gated, noised, noised_sql, open_receipts, pairs, table, word_boxes
 from docsift.plans.adapters import receipts as receipt_texts
 
 QUERIES: dict = {}
@@ -552,3 +552,49 @@ def q55_ablation(spark, sf_dir):
 def q56_experiments(spark, sf_dir):
     """All thirteen experiments in one call: error rates, gates, parsers with their failures, sources of text, scales."""
     return figures(spark, sf_dir, registry.catalogue())
+
+
+# --- parsers and open JSON ------------------------------------------------------------------------------------------
+
+
+@query(trials.parsers_sql(PARSED_SQL))
+def q57_parser_comparison(spark, sf_dir):
+    """Both parsers on recognised texts, with every way of counting: failures, blank texts, missing totals."""
+    rows = trials.answered_receipts(spark, sf_dir)
+    out = experiments.compare_parsers(rows, {"regex": "rules", "llm": "model"})
+    return out.select(*(r6(F.col(c)).alias(c) if kind == "double" else c for c, kind in out.dtypes))
+
+
+@query(f"""with {OPEN_SQL}, e as (select x from entries where json_type(x) = 'OBJECT'), n as (select count(*) as n from valid), m as (select count(*) as n from e)
+{" union all ".join(f"select '{f}' as field, count(json_type(j, '$.{f}')) as present, count(*) filter (json_type(j, '$.{f}') = 'NULL') as nulls, (select n from n) as total from valid" if not f.startswith("menu.") else f"select '{f}', count(json_type(x, '$.{f[5:]}')), count(*) filter (json_type(x, '$.{f[5:]}') = 'NULL'), (select n from m) from e" for f in openjson.FIELDS)}""")
+def q58_key_completeness(spark, sf_dir):
+    """Thirteen fields by whether their key is there, and how often it is null; fields of items count items."""
+    return experiments.key_completeness(open_receipts(spark, sf_dir), F.col("json"))
+
+
+@query(f"""with {OPEN_SQL}, c as (select o_orderkey % 4 as part, len(menu) as items from menus)
+select part, count(items) as n, round(avg(items), 6) as mean, round(stddev_pop(items), 6) as std, min(items)::int as min, median(items)::double as median, max(items)::int as max from c group by 1""")
+def q59_items_per_receipt(spark, sf_dir):
+    rows = open_receipts(spark, sf_dir).withColumn("part", F.col("o_orderkey") % 4)
+    return experiments.items_per_receipt(rows, F.col("json"), ["part"]).withColumn("mean", r6(F.col("mean"))).withColumn("std", r6(F.col("std")))
+
+
+SCALAR = lambda j, p: f"case json_type({j}, '{p}') when 'BOOLEAN' then case {j}->>'{p}' when 'true' then 'True' else 'False' end when 'OBJECT' then null when 'ARRAY' then null else {j}->>'{p}' end"
+
+
+@query(f"""with {OPEN_SQL},
+wrong as (
+  select o_orderkey, 0 as a, i as b, 'menu[' || i || ']: object expected' as error from entries where json_type(x) is distinct from 'OBJECT'
+  union all select o_orderkey, 0, i, 'menu[' || i || '].unitprice: text expected' from entries where json_type(x, '$.unitprice') in ('ARRAY', 'OBJECT')
+  union all select o_orderkey, 1, 0, 'sub_total: object expected' from valid where json_type(j, '$.sub_total') not in ('OBJECT', 'NULL')
+  union all select o_orderkey, 2, 0, 'total: missing' from valid where j is not null and coalesce(json_type(j, '$.total'), 'NULL') = 'NULL'
+  union all select o_orderkey, 3, 0, 'answer: JSON expected' from valid where j is null),
+listed as (select o_orderkey, string_agg(error, '; ' order by a, b) as errors from wrong group by 1),
+prices as (select o_orderkey, string_agg({SCALAR("x", "$.price")}, ' ' order by i) filter (json_type(x) = 'OBJECT') as prices from entries group by 1)
+select o_orderkey, coalesce(errors, '') as errors, case when json_type(j, '$.menu') in ('ARRAY', 'OBJECT') then coalesce(prices, '') end as prices, {SCALAR("j", "$.sub_total.subtotal_price")} as subtotal_price, {SCALAR("j", "$.sub_total.tax_price")} as tax_price, {SCALAR("j", "$.total.total_price")} as total_price, {SCALAR("j", "$.total.changeprice")} as changeprice
+from valid left join listed using (o_orderkey) left join prices using (o_orderkey)""")
+def q60_validated_answers(spark, sf_dir):
+    """Answers as receipts whose values are all text, with an error for each path that doesn't fit."""
+    v = open_receipts(spark, sf_dir).select("o_orderkey", openjson.validated(F.col("json")).alias("v"))
+    r = F.col("v.value")
+    return v.select("o_orderkey", F.array_join("v.errors", "; ").alias("errors"), F.array_join(r["menu"]["price"], " ").alias("prices"), r["sub_total"]["subtotal_price"].alias("subtotal_price"), r["sub_total"]["tax_price"].alias("tax_price"), r["total"]["total_price"].alias("total_price"), r["total"]["changeprice"].alias("changeprice"))

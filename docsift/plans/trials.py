@@ -128,3 +128,39 @@ by_fields as (select fields, count(*) filter (failed) as failed, avg(f1) as f1_m
     return out + f""" select exp, config, coalesce(n, 0) as n, coalesce(skipped, 0) as skipped, coalesce(rejected, 0) as rejected, coalesce(failed, 0) as failed, {", ".join(f"round({empty(c)}, 6) as {c}" for c in figures)},
   round(f1_mean, 6) as f1_mean, round(anls_mean, 6) as anls_mean, round(total_em, 6) as total_em
 from named left join by_text using (exp, config) left join by_fields using (fields) left join skips using (node)"""
+
+
+# --- the comparison of parsers ---------------------------------------------------------------------------------------
+
+
+def answered_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, text, gt, rules, model): recognised texts, the true receipt, and what the rules and a model make of it. A model's failure is null."""
+    r = samples(spark, sf_dir)
+    text = F.col("value")
+    for step in registry.FULL + registry.READ:
+        text = STEPS[step](text)
+    rows = r.select(F.col("sample").alias("o_orderkey"), text.alias("text"), receipts.parse_receipt(F.col("gt")).alias("gt"), "llm")
+    return rows.select("o_orderkey", "text", "gt", receipts.parse_receipt(F.col("text")).alias("rules"), F.when(receipts.is_object(F.col("llm")), receipts.from_model_json(F.col("llm"))).alias("model"))
+
+
+def parsers_sql(parsed_sql: str) -> str:
+    text = HARD_SQL
+    for step in registry.FULL + registry.READ:
+        text = PLAIN[step][1](text)
+    rest = parsed_sql[len(RECEIPTS_SQL) :].replace(" from receipts)", " from variants)")
+    # variant 0 is the truth, 1 what was recognised; the model has the truth, where it answers
+    return f"""with {RECEIPTS_SQL}, recognised as materialized (select o_orderkey, {text} as pred from receipts),
+variants as materialized (select o_orderkey * 2 as o_orderkey, text from receipts union all select o_orderkey * 2 + 1, pred from recognised where pred is not null){rest},
+lists as (select o_orderkey, list(distinct trim(price)) filter (coalesce(trim(price), '') <> '') as s from menu group by 1),
+found as materialized (select p.o_orderkey // 2 as o_orderkey, p.o_orderkey % 2 as v, translate(coalesce(total_price, ''), ',.', '') as total, coalesce(s, []) as s from prices p left join lists using (o_orderkey)),
+truth as (select * from found where v = 0),
+by_parser as (
+  select t.o_orderkey, 'regex' as parser, true as answered, f.total as total, f.s as p, t.total as want, t.s as g from truth t join found f on f.o_orderkey = t.o_orderkey and f.v = 1
+  union all select t.o_orderkey, 'llm', t.o_orderkey % 5 <> 0 and t.o_orderkey % 7 <> 0, t.total, t.s, t.total, t.s from truth t join found f on f.o_orderkey = t.o_orderkey and f.v = 1),
+shared as (select *, len(list_intersect(p, g)) as b from by_parser),
+scored as (
+  select parser, answered, answered and total = want as match, want <> '' as has_total,
+    case when not answered then 0.0 when len(p) = 0 and len(g) = 0 then 1.0 when b = 0 then 0.0 else 2.0 * b / (len(p) + len(g)) end::double as f1 from shared)
+select parser, (select count(*) from receipts) as files, count(*) as texts, count(*) filter (answered) as answered, count(*) filter (has_total) as totals, count(*) filter (match) as total_matches,
+  round(count(*) filter (match) / (select count(*) from receipts), 6) as by_files, round(count(*) filter (match) / count(*), 6) as by_texts, round(count(*) filter (match and has_total) / count(*) filter (has_total), 6) as by_totals, round(avg(f1), 6) as menu_f1
+from scored group by 1"""
