@@ -49,8 +49,16 @@ def at_least(s: Column, threshold: float = ANLS_THRESHOLD) -> Column:
 
 
 def anls(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
-    """The similarity if it reaches the threshold, else 0."""
-    return let(nls(pred, gt), lambda s: at_least(s, threshold))
+    """The similarity if it reaches the threshold, else 0.
+
+    A similarity that reaches it has a distance of at most so much of the longer text; texts whose lengths differ by more are not compared, and a comparison ends where it exceeds that.
+    """
+    a, b = _text(pred), _text(gt)
+    longest = F.greatest(F.length(a), F.length(b))
+    most = F.floor(longest * F.lit(1 - threshold) + 1e-9).cast("int")
+    distance = F.when(F.abs(F.length(a) - F.length(b)) <= most, F.call_function("levenshtein", a, b, most)).otherwise(F.lit(-1))
+    near = F.when(longest == 0, F.lit(1.0)).when(a == b, F.lit(1.0)).otherwise(let(distance, lambda d: F.when(d >= 0, 1 - d / longest).otherwise(F.lit(0.0))))
+    return let(near, lambda s: at_least(s, threshold))
 
 
 def exact_match(a: Column, b: Column, normalize: bool = True) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docsift.functions import openjson
 from docsift.functions.metrics import set_f1
 from docsift.functions.text import price_key, strip
-from docsift.operators.ranges import bounds, medians
+from docsift.operators.ranges import medians
 
 
 def with_configs(samples: DataFrame, configs: DataFrame) -> DataFrame:
@@ -19,14 +19,11 @@ def with_configs(samples: DataFrame, configs: DataFrame) -> DataFrame:
 def summarise(scores: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Mean, exact median and count of each metric by keys; an empty group has no row, a group of nulls has null means.
 
-    No group's values are held in one task; their ranges are found at once, in one pass.
+    scores are read once, for all metrics; no group's values are held in one task.
     """
-    same = lambda a, b: reduce(Column.__and__, (a[k].eqNullSafe(b[k]) for k in keys), F.lit(True))
-    out = None
-    for m, ends in zip(metrics, bounds(scores, [F.col(m).cast("double") for m in metrics]), strict=True):
-        own = medians(scores, keys, F.col(m), ends).select(*keys, "n", F.col("mean").alias(f"{m}_mean"), F.col("median").alias(f"{m}_median"))
-        out = own if out is None else out.join(own.drop("n"), same(out, own)).select(*(out[c] for c in out.columns), own[f"{m}_mean"], own[f"{m}_median"])
-    return out
+    found = medians(scores, keys, {m: F.col(m) for m in metrics})
+    of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *(of(m, c).alias(f"{m}_{c}") for m in metrics for c in ("mean", "median")))
 
 
 def ordered_scores(scores: DataFrame, keys: list[str], order: str, score: str) -> DataFrame:
@@ -78,10 +75,10 @@ def histogram(rows: DataFrame, value: str, bins: int = 30) -> DataFrame:
 
 
 def statistics(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by, n, mean, std, min, median, max) of the values that aren't null, exact; ranges for the median are found at once, in one pass."""
+    """(by, n, mean, std, min, median, max) of the values that aren't null, exact."""
     v = F.col(value)
     plain = rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
-    middle = medians(rows, by, v, bounds(rows, [v.cast("double")])[0])
+    middle = medians(rows, by, {"value": v})
     same = reduce(Column.__and__, (plain[k].eqNullSafe(middle[k]) for k in by), F.lit(True))
     return plain.join(middle, same).select(*(plain[c] for c in (*by, "n", "mean", "std", "min")), "median", plain["max"])
 

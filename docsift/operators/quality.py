@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.functions.metrics import ratio
-from docsift.operators.ranges import accumulated, bounds
+from docsift.operators.ranges import MAX, accumulated, running
 
 LABELS = ("ready", "marginal", "not_ready")
 
@@ -77,11 +77,10 @@ def class_weights(rows: DataFrame, label_col: str, n_classes: int | None = None)
 
 
 def roc_auc(rows: DataFrame, positive: Column, score: Column, group: str | None = None) -> DataFrame:
-    """Area under the ROC curve. Rows are summed by distinct score first; ties share a point. The score is a number; its ranges are found at once."""
+    """Area under the ROC curve. Rows are summed by distinct score first; ties share a point."""
     keys = [group] if group else []
-    ends = bounds(rows, [score])[0]
     points = rows.groupBy(*keys, score.alias("score")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    area = accumulated(points, keys, ["score"], F.col("p"), ends, "above", "positives", descending=True)
+    area = accumulated(points, keys, ["score"], F.col("p"), "above", "positives", descending=True)
     sums = area.groupBy(*keys).agg(F.sum(F.col("n") * (F.col("above") - F.col("p") / 2)).alias("area"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.select(*keys, F.try_divide(F.col("area"), F.col("p").cast("double") * F.col("n")).alias("auc"))
 
@@ -89,10 +88,9 @@ def roc_auc(rows: DataFrame, positive: Column, score: Column, group: str | None
 def stratified_split(rows: DataFrame, label_col: str, order: list, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """With split: of each label, in the given order, the first int(n * train) rows train, the next int(n * val) validate, the rest test.
 
-    The first order column is a number, date or timestamp; its ranges are found at once.
+    All columns of rows are written on the way, so give those that are needed.
     """
-    first = F.col(order[0]) if isinstance(order[0], str) else order[0]
-    ranked = accumulated(rows.select(F.struct("*").alias("row"), F.col(label_col).alias("label"), *((F.col(o) if isinstance(o, str) else o).alias(f"by{i}") for i, o in enumerate(order))), ["label"], [f"by{i}" for i in range(len(order))], F.lit(1), bounds(rows, [first])[0], "rank", "n")
+    ranked = accumulated(rows.select(F.struct("*").alias("row"), F.col(label_col).alias("label"), *((F.col(o) if isinstance(o, str) else o).alias(f"by{i}") for i, o in enumerate(order))), ["label"], [f"by{i}" for i in range(len(order))], F.lit(1), "rank", "n")
     a, b = F.floor(F.col("n") * F.lit(train)), F.floor(F.col("n") * F.lit(val))
     return ranked.select("row.*", F.when(F.col("rank") <= a, "train").when(F.col("rank") <= a + b, "val").otherwise("test").alias("split"))
 
@@ -103,7 +101,6 @@ def random_order(*keys: str, seed: int = 42) -> list[Column]:
 
 
 def running_best(rows: DataFrame, group: str, order: list, value: str) -> DataFrame:
-    """With best (the largest value so far) and is_best (whether this row set it: of equals, the earliest)."""
-    w = Window.partitionBy(group).orderBy(*order)
-    before = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("best", F.greatest(before, F.col(value))).withColumn("is_best", before.isNull() | (F.col(value) > before))
+    """With best (the largest value so far) and is_best (whether this row set it: of equals, the earliest). A group's rows are cut into ranges of their order, and each range takes over the best of those before it."""
+    found = running(rows.select(F.struct("*").alias("row"), F.col(group).alias("group"), F.col(value).alias("value"), *((F.col(o) if isinstance(o, str) else o).alias(f"by{i}") for i, o in enumerate(order))), ["group"], [f"by{i}" for i in range(len(order))], F.col("value"), MAX, "before", itself=False)
+    return found.select("row.*", F.greatest("before", "value").alias("best"), (F.col("before").isNull() | (F.col("value") > F.col("before"))).alias("is_best"))

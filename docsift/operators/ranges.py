@@ -1,49 +1,57 @@
-"""Ranks, running sums and medians of groups of any size: groups are cut into ranges of their values, so that none has to be sorted in one task."""
+"""Ranks, running values and medians of groups of any size: groups are cut into ranges of their order, so that none has to be sorted in one task.
+
+Rows are dealt into ranges by Spark's own sampling and written as a table in the shared folder, since ranges must be the same wherever they are used; a group of a third of all rows has a third of the ranges.
+What is carried from range to range is a row for each group and range. Rows that are equal in keys and order are parted by their place in the input, so
+that they are cut into ranges like others; they follow one another in any order.
+"""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that all rows are cut into; a group with a third of all rows has a third of them or more.
-PARTS = 256
-
+from docsift.session import kept
 
-def bounds(rows: DataFrame, values: list[Column], parts: int = PARTS) -> list[list]:
-    """For each column of values (numbers, dates or timestamps), where ranges of about equally many rows end.
+#: A running value: how rows are summed up within a range, and how that is added to what came before.
+SUM = (F.sum, lambda before, own: F.coalesce(before, F.lit(0)) + own)
+MAX = (F.max, lambda before, own: F.greatest(before, own))
 
-    One aggregation, which is run at once: ranges must be the same wherever they are used, and an approximate quantile isn't
-    the same each time. At most parts - 1 values of each come to the driver.
-    """
-    shares = [i / parts for i in range(1, parts)]
-    found = rows.agg(*(F.percentile_approx(v, shares, 40 * parts).alias(f"b{i}") for i, v in enumerate(values))).first()
-    return [list(dict.fromkeys(b or [])) for b in found]
 
+def ranged(rows: DataFrame, keys: list[str], order: list[Column | str], values: dict[str, Column], descending: bool = False) -> DataFrame:
+    """A written table (row, keys, o0, o1, ..., range, and values): all of rows' columns stand in one, so that names can't clash. Null keys are keys of their own; nulls come first, or last if descending."""
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    way = F.desc if descending else F.asc
+    dealt = rows.select(F.struct("*").alias("row"), F.struct(F.lit(0).alias("all"), *keys).alias("keys"), *(o.alias(f"o{i}") for i, o in enumerate(order)), F.monotonically_increasing_id().alias(f"o{len(order)}"), *(v.alias(n) for n, v in values.items()))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept(dealt.repartitionByRange(parts, "keys", *(way(f"o{i}") for i in range(len(order) + 1))).withColumn("range", F.spark_partition_id()), "ranges")
 
-def accumulated(rows: DataFrame, keys: list[str], order: list, amount: Column, ends: list, upto: str, total: str, descending: bool = False) -> DataFrame:
-    """rows with upto (the sum of amount over rows of the same keys up to and with this one) and total (over all rows of the keys).
 
-    Rows go by the order columns, all up or all down; ends are bounds of the first. Rows that are equal in all of them follow one
-    another in any order; rows that are equal in the first share a range. Nulls count as the least, and null keys as equal.
-    """
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
-    number = F.size(F.filter(F.array(*map(F.lit, ends)), lambda b: b < order[0])) if ends else F.lit(0)
-    # the rows' columns stand in one column, so that names can't clash
-    dealt = rows.select(F.struct("*").alias("row"), F.struct(F.lit(0).alias("all"), *keys).alias("keys"), number.alias("range"), amount.alias("amount"), *(o.alias(f"o{i}") for i, o in enumerate(order)))
+def running(rows: DataFrame, keys: list[str], order: list[Column | str], value: Column, how: tuple, upto: str, total: str | None = None, descending: bool = False, itself: bool = True) -> DataFrame:
+    """rows with upto, the running value of their keys in this order, with the row itself or only what is before it, and total, over all rows of the keys."""
+    (agg, combine), n = how, len([*order])
+    dealt = ranged(rows, keys, order, {"amount": value}, descending)
     way = F.desc if descending else F.asc
-    all_, before = Window.partitionBy("keys"), Window.partitionBy("keys").orderBy(way("range")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy("keys", "range").agg(F.sum("amount").alias("sum"))
-    sums = sums.select("keys", "range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"), F.sum("sum").over(all_).alias("total"))
-    within = Window.partitionBy("keys", "range").orderBy(*(way(f"o{i}") for i in range(len(order)))).rowsBetween(Window.unboundedPreceding, 0)
-    own = dealt.select("row", "keys", "range", F.sum("amount").over(within).alias("upto"))
-    return own.join(sums, ["keys", "range"]).select("row.*", (F.col("before") + F.col("upto")).alias(upto), F.col("total").alias(total))
+    all_, before = Window.partitionBy("keys"), Window.partitionBy("keys").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("keys", "range").agg(agg("amount").alias("own"))
+    sums = sums.select("keys", "range", agg("own").over(before).alias("before"), agg("own").over(all_).alias("total"))
+    within = Window.partitionBy("keys", "range").orderBy(*(way(f"o{i}") for i in range(n + 1))).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
+    own = dealt.select("row", "keys", "range", agg("amount").over(within).alias("within"))
+    out = own.join(sums, ["keys", "range"])
+    return out.select("row.*", combine(F.col("before"), F.col("within")).alias(upto), *([F.col("total").alias(total)] if total else []))
+
+
+def accumulated(rows: DataFrame, keys: list[str], order: list[Column | str], amount: Column, upto: str, total: str, descending: bool = False) -> DataFrame:
+    """rows with upto (the sum of amount over rows of the same keys up to and with this one) and total (over all rows of the keys)."""
+    return running(rows, keys, order, amount, SUM, upto, total, descending)
 
 
-def medians(rows: DataFrame, keys: list[str], value: Column, ends: list) -> DataFrame:
-    """(keys, n, nulls, mean, median) of a number by keys, exact. Rows are counted by value first; groups of nulls have null means and medians."""
+def medians(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """(keys, metric, n, nulls, mean, median) of each number by keys, exact; a row for each name in values. rows are read once and counted by value; groups of nulls have null means and medians."""
     names = [f"k{i}" for i in range(len(keys))]
-    counts = rows.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), value.cast("double").alias("v")).agg(F.count("*").alias("c"))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), v.cast("double").alias("v")) for m, v in values.items())))
+    long = rows.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), each.alias("e")).select(*names, "e.metric", "e.v")
+    counts = long.groupBy(*names, "metric", "v").agg(F.count("*").alias("c"))
     some = F.when(F.col("v").isNotNull(), F.col("c")).otherwise(F.lit(0))
-    at = accumulated(counts, names, ["v"], some, ends, "upto", "total")
+    at = accumulated(counts, [*names, "metric"], ["v"], some, "upto", "total")
     reached = lambda place: F.min(F.when((F.col("upto") >= place) & (F.col("upto") > 0), F.col("v")))
     low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
-    out = at.groupBy(*names).agg(F.sum("c").alias("n"), (F.sum("c") - F.sum(some)).alias("nulls"), F.try_divide(F.sum(F.col("v") * F.col("c")), F.sum(some)).alias("mean"), reached(low).alias("low"), reached(high).alias("high"))
-    return out.select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), "n", "nulls", "mean", (0.5 * F.col("low") + 0.5 * F.col("high")).alias("median"))
+    out = at.groupBy(*names, "metric").agg(F.sum("c").alias("n"), (F.sum("c") - F.sum(some)).alias("nulls"), F.try_divide(F.sum(F.col("v") * F.col("c")), F.sum(some)).alias("mean"), reached(low).alias("low"), reached(high).alias("high"))
+    return out.select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), "metric", "n", "nulls", "mean", (0.5 * F.col("low") + 0.5 * F.col("high")).alias("median"))

@@ -92,13 +92,17 @@ boxes as (
     ((seq % 10) * 40 + 30)::int as x2, ((seq // 10) * 20 + (seq * 7) % 15 + 12)::int as y2 from tokens)"""
 
 
+def third_sum(k: int):
+    return F.aggregate(F.filter("embedding", lambda x, i: i % 3 == k), F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, label, logits) of three classes from embeddings."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 3).alias("label"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 4).alias("logits"))
+    """(vec_id, label, logits) of three classes: each the sum of every third component of an embedding."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 3).alias("label"), F.array(*map(third_sum, range(3))).alias("logits"))
 
 
 GATED_SQL = """
-logits as (select vec_id, label % 3 as label, [embedding[i]::double * 4 for i in range(1, 4)] as l from embeddings),
+logits as (select vec_id, label % 3 as label, [list_sum([embedding[i]::double for i in range(1, 65) if (i - 1) % 3 = k]) for k in range(3)] as l from embeddings),
 powers as (select *, [exp(x - list_max(l)) for x in l] as e from logits),
 probs as (select vec_id, label, [x / list_sum(e) for x in e] as p from powers)"""
 

@@ -66,6 +66,30 @@ def test_running_best_keeps_the_earliest(spark):
     assert [r["is_best"] for r in quality.running_best(rows, "g", ["i"], "v").orderBy("i").collect()] == [True, True, False, False, True]
 
 
+def test_running_best_of_one_hot_group(spark):
+    """One user, rows that are equal in the first order column, ties in value and order, nulls; no range holds them all."""
+    import random
+
+    from docsift.operators import ranges
+
+    dice = random.Random(3)
+    rows = [(dice.choice([None, "u"]) if i < 40 else "u", 7, i // 2, dice.choice([None, 1.0, float(i // 9), 5.0])) for i in range(400)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "u string, day int, i int, v double, before string").repartition(3)
+    held = ranges.ranged(df, ["u"], ["day", "i"], {})
+    assert held.groupBy("range").count().agg(F.max("count")).first()[0] < 250
+    got = {}
+    for r in quality.running_best(df, "u", ["day", "i"], "v").collect():
+        got.setdefault((r["u"], r["i"]), []).append(r)
+    best = {}
+    for u, i in sorted(got, key=lambda k: (str(k[0]), k[1])):
+        own, before = got[u, i], best.get(u)
+        values = [r["v"] for r in own if r["v"] is not None]
+        best[u] = max([*values, before if before is not None else -1.0])
+        best[u] = None if best[u] == -1.0 else best[u]
+        assert max((r["best"] for r in own if r["best"] is not None), default=None) == best[u]
+        assert len(values) == 0 or before is None or any(r["is_best"] for r in own) == (max(values) > before)
+
+
 def test_auc_with_ties(spark):
     rows = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.5), (0, 0.1)], "y int, s double")
     assert quality.roc_auc(rows, F.col("y") == 1, F.col("s")).first()["auc"] == pytest.approx(0.625)
