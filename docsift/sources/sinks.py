@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.operators.experiments import upsert
+from docsift.sources.results import Store
 
 
 def receipt_json(receipt: Column) -> Column:
@@ -16,17 +16,10 @@ def write_json(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def merge_results(spark: SparkSession, path: str, new: DataFrame, key: str = "exp") -> DataFrame:
-    """Results at path (Parquet, a folder for each version) with all rows of new's experiments replaced. The old version stays until the new one is
-    complete, so a failed write loses nothing. Gives the merged table."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = sorted(s.getPath().getName() for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))) if fs.exists(fs_path) else []
-    merged = upsert(spark.read.parquet(f"{path}/{versions[-1]}"), new, key) if versions else new
-    target = f"{path}/v{int(versions[-1][1:]) + 1 if versions else 0:08d}"
-    merged.write.mode("overwrite").parquet(target)
-    for v in versions:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{v}"), True)
-    return spark.read.parquet(target)
+    """The results at path with all rows of new's experiments replaced, and the merged table. See Store: all of it is seen at once, or none if the write fails."""
+    store = Store(spark, path, key)
+    store.replace(new)
+    return store.read()
 
 
 def write_images(rows: DataFrame, path: str) -> None:
