@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docsift.functions import receipts
@@ -25,14 +25,21 @@ def extract(
     threshold: float = 0.5,
     parser: str = "regex",
     ask: Callable[[str], str] | None = None,
+    observation: Observation | None = None,
+    attempts: int = 2,
+    wait: float = 65.0,
 ) -> DataFrame:
-    """(doc_id, ocr_text, quality_label, quality_score, rejected, receipt, error) of every image (doc_id, height, width, channels, data).
+    """(doc_id, ocr_text, quality_label, quality_score, rejected, receipt, error, seconds) of every image (doc_id, height, width, channels, data).
 
     Without steps images are recognised as they are. assessed (doc_id, label, score) is what a classifier says of the originals; images that the
-    gate rejects are neither recognised nor parsed. Any parser but "llm" is the rules; "llm" puts prompts to ask. What fails
+    gate rejects are neither recognised nor parsed. parser: "regex", the rules, or "llm", which puts prompts to ask, each up to attempts times if it is refused. What fails
     anywhere gives an error, with whatever came before it. doc_id is unique. Prepared images, boxes and answers are written below folder, a shared
     one, and read from there: engines and models are the dear part, and don't run again for a lost executor or a second reader.
     """
+    if parser not in PARSERS:
+        raise ValueError(f"unknown parser: {parser}")
+    if parser == "llm" and ask is None:
+        raise ValueError("the parser llm needs ask")
     spark = table.sparkSession
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -50,18 +57,28 @@ def extract(
 
     ready = kept(images.transformed(wanted, (lambda x: preprocess(x, steps)) if steps else (lambda x: x if x.ndim == 2 else x[..., ::-1])), "prepared")
     boxes = kept(seams.recognise(netpbm(ready.where("error is null")), engine, keep_errors=True), "boxes")
-    texts = layout.document_text(boxes.where("error is null")).withColumnRenamed("text", "ocr_text")
+    texts = layout.document_text(boxes.where("error is null and text is not null")).withColumnRenamed("text", "ocr_text")
     broken = ready.where("error is not null").select("doc_id", "error").unionByName(boxes.where("error is not null").select("doc_id", "error"))
-    out = every.join(texts, "doc_id", "left").join(broken, "doc_id", "left").withColumn("ocr_text", F.coalesce("ocr_text", F.lit("")))
+    took = ready.select("doc_id", F.col("seconds").alias("prepared")).join(boxes.groupBy("doc_id").agg(F.max("seconds").alias("recognised")), "doc_id", "left")
+    out = every.join(texts, "doc_id", "left").join(broken, "doc_id", "left").join(took, "doc_id", "left").withColumn("ocr_text", F.coalesce("ocr_text", F.lit("")))
     whole = ~F.col("rejected") & F.col("error").isNull()
-    if parser != "llm":
-        return out.withColumn("receipt", F.when(whole, receipts.parse_receipt(F.col("ocr_text")))).select(*COLUMNS)
-    if ask is None:
-        raise ValueError("the parser llm needs ask")
-    answers = kept(seams.answered(out.where(whole).select("doc_id", receipts.prompt(F.col("ocr_text")).alias("prompt")), ask), "answers")
-    read = answers.select("doc_id", F.when(receipts.is_object(F.col("answer")), receipts.from_model_json(F.col("answer"))).alias("receipt"), F.col("error").alias("refused"))
+    if parser == "regex":
+        return finished(out.withColumn("receipt", F.when(whole, receipts.parse_receipt(F.col("ocr_text")))).withColumn("asked", F.lit(None).cast("double")), observation)
+    answers = seams.answered_in_passes(out.where(whole).select("doc_id", receipts.prompt(F.col("ocr_text")).alias("prompt")), ask, folder, attempts, wait)
+    read = answers.select("doc_id", F.when(receipts.is_object(F.col("answer")), receipts.from_model_json(F.col("answer"))).alias("receipt"), F.col("error").alias("refused"), F.col("seconds").alias("asked"))
     error = F.coalesce("error", "refused", F.when(whole & F.col("receipt").isNull(), "the answer isn't a receipt"))
-    return out.join(read, "doc_id", "left").withColumn("error", error).select(*COLUMNS)
+    return finished(out.join(read, "doc_id", "left").withColumn("error", error), observation)
+
+
+def finished(out: DataFrame, observation: Observation | None) -> DataFrame:
+    """The columns of the result, with seconds by stage: null for stages that a row didn't come to, and for the rules, which are part of the plan. observation gets the sums when the result is run."""
+    seconds = F.struct(F.col("prepared").alias("prepare"), F.col("recognised").alias("recognise"), F.col("asked").alias("ask"), sum((F.coalesce(c, F.lit(0.0)) for c in ("prepared", "recognised", "asked")), F.lit(0.0)).alias("total"))
+    out = out.withColumn("seconds", seconds).select(*COLUMNS)
+    if observation is None:
+        return out
+    total = [F.coalesce(F.sum(f"seconds.{k}"), F.lit(0.0)).alias(f"{k}_seconds") for k in ("prepare", "recognise", "ask", "total")]
+    return out.observe(observation, F.count(F.lit(1)).alias("images"), F.count_if("rejected").alias("rejected"), F.count("error").alias("failed"), F.count("receipt").alias("parsed"), *total)
 
 
-COLUMNS = ["doc_id", "ocr_text", "quality_label", "quality_score", "rejected", "receipt", "error"]
+PARSERS = ("regex", "llm")
+COLUMNS = ["doc_id", "ocr_text", "quality_label", "quality_score", "rejected", "receipt", "error", "seconds"]

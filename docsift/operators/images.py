@@ -3,6 +3,7 @@
 Document detection, deskewing and contrast are in preprocess.py.
 """
 
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -262,19 +263,20 @@ DEGRADATIONS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {name: (lambd
 
 
 def transformed(images: DataFrame, step: Callable[[np.ndarray], np.ndarray], id_col: str = "doc_id") -> DataFrame:
-    """Images (id, height, width, channels, data) through a chain of kernels, in one pass; what fails keeps its error."""
+    """Images (id, height, width, channels, data) through a chain of kernels, in one pass, with the seconds that each took; what fails keeps its error."""
 
     def run(batches):
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
+                began = time.perf_counter()
                 try:
                     shape = (row.height, row.width) if row.channels == 1 else (row.height, row.width, row.channels)
                     x = np.ascontiguousarray(step(np.frombuffer(row.data, np.uint8).reshape(shape)))
-                    out.append((getattr(row, id_col), x.shape[0], x.shape[1], 1 if x.ndim == 2 else x.shape[2], x.tobytes(), None))
+                    out.append((getattr(row, id_col), x.shape[0], x.shape[1], 1 if x.ndim == 2 else x.shape[2], x.tobytes(), None, time.perf_counter() - began))
                 except Exception as e:  # noqa: BLE001
-                    out.append((getattr(row, id_col), row.height, row.width, row.channels, None, str(e)))
-            yield pd.DataFrame(out, columns=[id_col, "height", "width", "channels", "data", "error"])
+                    out.append((getattr(row, id_col), row.height, row.width, row.channels, None, str(e), time.perf_counter() - began))
+            yield pd.DataFrame(out, columns=[id_col, "height", "width", "channels", "data", "error", "seconds"])
 
     kind = images.schema[id_col].dataType.simpleString()
-    return images.select(id_col, "height", "width", "channels", "data").mapInPandas(run, f"{id_col} {kind}, height int, width int, channels int, data binary, error string")
+    return images.select(id_col, "height", "width", "channels", "data").mapInPandas(run, f"{id_col} {kind}, height int, width int, channels int, data binary, error string, seconds double")

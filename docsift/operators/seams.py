@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.session import kept
+
 BOX = "struct<x1:int,y1:int,x2:int,y2:int>"
 
 
@@ -55,7 +57,8 @@ def _made(factory: Callable[[], object]) -> object:
 
 
 def recognise(images: DataFrame, factory: Callable[[], Engine], id_col: str = "doc_id", image_col: str = "image", keep_errors: bool = False) -> DataFrame:
-    """(doc_id, seq, text, confidence, bbox, error, seconds): a row for each box. With keep_errors an image that fails is a row with its error."""
+    """(doc_id, seq, text, confidence, bbox, error, seconds): a row for each box, with the seconds of its whole image. With keep_errors an image that fails, is null or has no text is a row
+    without a box, with its error if there is one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
@@ -67,16 +70,17 @@ def recognise(images: DataFrame, factory: Callable[[], Engine], id_col: str = "d
             for doc, image in zip(batch.doc_id, batch.image, strict=True):
                 began = time.perf_counter()
                 try:
-                    boxes, error = ([], broken) if own is None else (own.recognise(bytes(image)), None)
+                    boxes, error = ([], broken) if own is None else ([], "no image") if image is None else (own.recognise(bytes(image)), None)
                 except Exception as e:  # noqa: BLE001
                     boxes, error = [], str(e)
                 took = time.perf_counter() - began
                 out += [(doc, i, t, float(c), dict(zip(("x1", "y1", "x2", "y2"), b, strict=True)) if b else None, None, took) for i, (t, c, b) in enumerate(boxes)]
-                if error is not None and keep_errors:
+                if not boxes and keep_errors:
                     out.append((doc, None, None, None, None, error, took))
             yield pd.DataFrame(out, columns=["doc_id", "seq", "text", "confidence", "bbox", "error", "seconds"])
 
-    source = images.select(F.col(id_col).alias("doc_id"), F.col(image_col).alias("image")).where("image is not null")
+    source = images.select(F.col(id_col).alias("doc_id"), F.col(image_col).alias("image"))
+    source = source if keep_errors else source.where("image is not null")
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInPandas(run, f"doc_id {kind}, seq int, text string, confidence double, bbox {BOX}, error string, seconds double")
 
@@ -108,6 +112,62 @@ def answered(prompts: DataFrame, ask: Callable[[str], str], id_col: str = "doc_i
     return source.mapInPandas(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, answer string, error string")
 
 
+#: What a client's error says when it is asked too often.
+REFUSED = r"429|RESOURCE_EXHAUSTED"
+ASKED = "doc_id {kind}, prompt string, attempts int, answer string, error string, seconds double, asked boolean"
+
+
+def asked_once(queue: DataFrame, ask: Callable[[str], str]) -> DataFrame:
+    """(doc_id, prompt, attempts, answer, error, seconds, asked) of a queue (doc_id, prompt, attempts). A task that is refused asks nothing more: its other rows come back unasked."""
+    import re
+
+    import pyarrow as pa
+
+    def run(batches):
+        closed = False
+        for batch in batches:
+            out = []
+            for prompt, attempts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                answer = error = None
+                if closed:
+                    out.append((attempts, answer, error, 0.0, False))
+                    continue
+                began = time.perf_counter()
+                try:
+                    answer = ask(prompt)
+                except Exception as e:  # noqa: BLE001
+                    error = str(e)
+                    closed = re.search(REFUSED, error) is not None
+                out.append((attempts + 1, answer, error, time.perf_counter() - began, True))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.string(), pa.float64(), pa.bool_()), strict=True)] if out else [pa.array([], t) for t in (pa.int32(), pa.string(), pa.string(), pa.float64(), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "prompt", "attempts", "answer", "error", "seconds", "asked"])
+
+    return queue.mapInArrow(run, ASKED.format(kind=queue.schema["doc_id"].dataType.simpleString()))
+
+
+def answered_in_passes(prompts: DataFrame, ask: Callable[[str], str], folder: str | None = None, attempts: int = 2, wait: float = 65.0, calls: int | None = None, id_col: str = "doc_id", prompt_col: str = "prompt") -> DataFrame:
+    """(doc_id, answer, error, attempts, seconds) of every prompt, from a client that may refuse to be asked so often.
+
+    Refused prompts go back to a queue and are asked again in a later pass, each up to attempts times; no task waits. calls: how many prompts a pass takes from the queue,
+    all tasks together; wait: seconds between passes. The queue and each pass's answers are written, so that a lost executor or a second reader asks nothing again. doc_id is unique.
+    """
+    queue = kept(prompts.select(F.col(id_col).alias("doc_id"), F.col(prompt_col).cast("string").alias("prompt"), F.lit(0).alias("attempts")), "queue", folder)
+    done = None
+    while not queue.isEmpty():
+        if done is not None and wait:
+            time.sleep(wait)
+        now = queue if calls is None else kept(queue.orderBy("attempts", "doc_id").limit(calls), "pass", folder)
+        out = kept(asked_once(now, ask), "answers", folder)
+        again = ~F.col("asked") | (F.coalesce(F.col("error").rlike(REFUSED), F.lit(False)) & (F.col("attempts") < attempts))
+        left = out.where(again).select("doc_id", "prompt", "attempts")
+        if calls is not None:
+            left = left.unionByName(queue.join(now.select("doc_id"), "doc_id", "left_anti").select("doc_id", "prompt", "attempts"))
+        own = out.where(~again).select("doc_id", "answer", "error", "attempts", "seconds")
+        done = own if done is None else done.unionByName(own)
+        queue = kept(left, "queue", folder)
+    return done if done is not None else queue.select("doc_id", *(F.lit(None).cast(t).alias(c) for c, t in (("answer", "string"), ("error", "string"), ("attempts", "int"), ("seconds", "double"))))
+
+
 def classified(images: DataFrame, factory: Callable[[], Callable[[np.ndarray], np.ndarray]], features_col: str = "features", id_col: str = "doc_id") -> DataFrame:
     """(id, p): class probabilities from a model that maps a batch of feature rows to rows of logits."""
 

@@ -127,7 +127,7 @@ def test_recognition_seam(spark):
     rows = spark.createDataFrame([(1, bytearray(b"a b")), (2, None)], "doc_id long, image binary")
     assert [r["text"] for r in seams.recognise(rows, seams.StubEngine).orderBy("seq").collect()] == ["a", "b"]
     failed = seams.recognise(rows, seams.engine("tesseract"), keep_errors=True).collect()
-    assert len(failed) == 1 and "isn't installed" in failed[0]["error"]
+    assert sorted(r["doc_id"] for r in failed) == [1, 2] and all("isn't installed" in r["error"] for r in failed)  # a null image is a row, too
     with pytest.raises(ValueError, match="unknown engine"):
         seams.engine("other")
 
@@ -342,3 +342,46 @@ def test_extraction_from_images(spark, tmp_path):
     assert got[1]["receipt"]["total"]["total_price"] == "90,000" and [m["nm"] for m in got[1]["receipt"]["menu"]] == ["Tea"] and got[2]["receipt"] is not None
     refused = extraction.extract(table.where("doc_id < 2"), str(tmp_path / "c"), Reader, parser="llm", ask=lambda p: "no").first()
     assert refused["receipt"] is None and refused["error"]
+    # seconds by stage, for rejected and failed rows as well, and sums of the run
+    from pyspark.sql import Observation
+
+    seen = Observation("run")
+    timed = {r["doc_id"]: r["seconds"] for r in extraction.extract(table, str(tmp_path / "d"), Reader, assessed=assessed, observation=seen).collect()}
+    assert timed[1]["prepare"] > 0 and timed[1]["recognise"] > 0 and timed[1]["ask"] is None and timed[1]["total"] == pytest.approx(timed[1]["prepare"] + timed[1]["recognise"])
+    assert timed[2]["prepare"] is None and timed[2]["total"] == 0.0 and timed[4]["prepare"] is not None and timed[4]["recognise"] is None
+    assert (seen.get["images"], seen.get["rejected"], seen.get["failed"], seen.get["parsed"]) == (5, 1, 3, 1)
+    assert seen.get["total_seconds"] == pytest.approx(sum(t["total"] for t in timed.values()))
+    with pytest.raises(ValueError, match="unknown parser"):
+        extraction.extract(table, str(tmp_path / "e"), Reader, parser="rules")
+
+
+@pytest.mark.parametrize("calls", [None, 4])
+def test_refused_prompts_are_asked_again(spark, tmp_path, calls):
+    """No prompt is lost, none is asked more often than allowed, and a task that is refused stops asking."""
+    log = tmp_path / "log"
+
+    def ask(prompt):
+        with open(log, "a") as f:
+            f.write(f"{prompt}\n")
+        with open(log) as f:
+            own = f.read().split("\n").count(prompt)
+        if prompt == "p3":
+            raise RuntimeError("broken")
+        if prompt == "p5" or (prompt in ("p1", "p8") and own == 1):
+            raise RuntimeError("429 RESOURCE_EXHAUSTED")
+        return f"answer to {prompt}"
+
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(10)], "doc_id long, prompt string").repartition(2)
+    got = {r["doc_id"]: r for r in seams.answered_in_passes(prompts, ask, str(tmp_path / "queue"), attempts=2, wait=0, calls=calls).collect()}
+    assert sorted(got) == list(range(10))
+    asked = log.read_text().split()
+    assert {i: asked.count(f"p{i}") for i in range(10)} == {i: 2 if i in (1, 5, 8) else 1 for i in range(10)} == {i: r["attempts"] for i, r in got.items()}
+    assert got[3]["error"] == "broken" and "429" in got[5]["error"] and all(r["answer"] == f"answer to p{i}" for i, r in got.items() if i not in (3, 5))
+    none = seams.answered_in_passes(prompts.limit(0), ask, str(tmp_path / "none"))
+    assert none.columns == ["doc_id", "answer", "error", "attempts", "seconds"] and none.collect() == []
+
+
+def test_images_without_content_or_text_have_rows(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"a b")), (2, None), (3, bytearray(b""))], "doc_id long, image binary")
+    got = {(r["doc_id"], r["seq"]): r for r in seams.recognise(rows, seams.StubEngine, keep_errors=True).collect()}
+    assert set(got) == {(1, 0), (1, 1), (2, None), (3, None)} and got[2, None]["error"] == "no image" and got[3, None]["error"] is None
