@@ -95,17 +95,17 @@ def presence(v: Column, fields: tuple[str, ...] = FIELDS, items: str = "menu") -
 
 
 def typed(v: Column, shape: DataType) -> Column:
-    """A variant as a value of this shape, whose scalars are texts. What doesn't fit is null; a single object counts as a list of one."""
+    """A variant as a value of this shape, whose scalars are texts. What doesn't fit is null; a single object counts as a list of one, a missing list as an empty one."""
     if isinstance(shape, StructType):
         parts = F.struct(*(typed(at(v, f.name), f.dataType).alias(f.name) for f in shape))
         return F.when(kind(v) == "OBJECT", parts)
     if isinstance(shape, ArrayType):
-        return F.when(kind(v).isin("OBJECT", "ARRAY"), F.transform(elements(v), lambda x: typed(x, shape.elementType)))
+        return F.when(v.isNull() | kind(v).isin("OBJECT", "ARRAY"), F.transform(elements(v), lambda x: typed(x, shape.elementType)))
     return text_of(v)
 
 
-def problems(v: Column, shape: DataType, path: Column | None = None, required: tuple[str, ...] = ()) -> Column:
-    """An array of texts like "sub_total.tax_price: text expected": one for each path whose value doesn't fit, in the shape's order. Nulls and missing keys fit, unless required."""
+def problems(v: Column, shape: DataType, path: Column | None = None, required: tuple[str, ...] = (), never_null: tuple[str, ...] = ()) -> Column:
+    """An array of texts like "sub_total.tax_price: text expected": one for each path whose value doesn't fit, in the shape's order. Missing keys fit, unless required, and nulls, unless never_null."""
     none = F.array().cast("array<string>")
     name = F.lit("answer") if path is None else path
     wrong = lambda what: F.array(F.concat(name, F.lit(f": {what} expected")))
@@ -117,6 +117,8 @@ def problems(v: Column, shape: DataType, path: Column | None = None, required: t
             own = problems(at(v, f.name), f.dataType, below(f.name))
             if f.name in required:
                 own = F.when(F.coalesce(kind(at(v, f.name)), F.lit("VOID")) == "VOID", F.array(F.concat(below(f.name), F.lit(": missing")))).otherwise(own)
+            if f.name in never_null:
+                own = F.when(F.coalesce(F.is_variant_null(at(v, f.name)), F.lit(False)), F.array(F.concat(below(f.name), F.lit(": null")))).otherwise(own)
             inner.append(own)
         found = F.when(kind(v) == "OBJECT", F.concat(*inner)).otherwise(wrong("object"))
         return found if path is None else F.when(absent, none).otherwise(found)
@@ -126,12 +128,12 @@ def problems(v: Column, shape: DataType, path: Column | None = None, required: t
     return F.when(absent | ~kind(v).isin("OBJECT", "ARRAY"), none).otherwise(wrong("text"))
 
 
-def validated(text: Column, ddl: str = RECEIPT_DDL, required: tuple[str, ...] = ("total",)) -> Column:
+def validated(text: Column, ddl: str = RECEIPT_DDL, required: tuple[str, ...] = ("total",), never_null: tuple[str, ...] = ("menu",)) -> Column:
     """struct(value, errors) of a model's answer. errors is empty if it fits; value has all that does. No JSON at all: a null value and one error."""
     shape = StructType.fromDDL(ddl)
 
     def both(v: Column) -> Column:
-        errors = F.when(v.isNull(), F.array(F.lit("answer: JSON expected"))).otherwise(problems(v, shape, required=required))
+        errors = F.when(v.isNull(), F.array(F.lit("answer: JSON expected"))).otherwise(problems(v, shape, required=required, never_null=never_null))
         return F.struct(typed(v, shape).alias("value"), errors.alias("errors"))
 
     return let(parsed(F.coalesce(text, F.lit(""))), both)

@@ -143,3 +143,31 @@ open_receipts as materialized (
 valid as materialized (select o_orderkey, case when json_valid(regexp_replace(json, ',\\s*([}}\\]])', '\\1', 'g')) then regexp_replace(json, ',\\s*([}}\\]])', '\\1', 'g')::json end as j from open_receipts),
 menus as materialized (select o_orderkey, j, case json_type(j, '$.menu') when 'ARRAY' then from_json(json_extract(j, '$.menu'), '["json"]') when 'OBJECT' then [json_extract(j, '$.menu')] else [] end as menu from valid),
 entries as materialized (select o_orderkey, unnest(menu) as x, generate_subscripts(menu, 1) - 1 as i from menus)"""
+
+
+def open_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, json): an order as a model writes a Brazilian invoice."""
+    k, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("int")).alias("quantity"))
+    item = F.concat(F.lit('{"descricao":"produto","quantidade":'), F.when(k % 2 == 0, F.col("quantity").cast("string")).otherwise(F.concat(F.lit('"'), F.col("quantity").cast("string"), F.lit(' UN"'))), F.lit("}"))
+    parts = [
+        F.concat(F.lit('"cnpj":'), F.when(k % 4 == 0, (k + 12345678000190).cast("string")).otherwise(F.concat(F.lit('"'), (k + 12345678000190).cast("string"), F.lit('"')))),
+        F.when(k % 13 != 0, F.concat(F.lit('"itens":'), F.when(k % 17 == 0, "null").otherwise(F.concat(F.lit("["), F.array_join(F.array_repeat(item, F.col("n").cast("int")), ","), F.lit("]"))))),
+        F.concat(F.lit('"valor_total":'), F.floor("o_totalprice").cast("string"), F.lit(".5")),
+        F.concat(F.lit('"troco":'), F.when(k % 19 == 0, "[]").when(k % 3 == 0, "false").otherwise("null")),
+        F.when(k % 5 != 0, F.concat(F.lit('"impostos":'), F.when(k % 7 == 0, "3").otherwise('{"icms":7}'))),
+    ]
+    return o.join(items, "o_orderkey").select("o_orderkey", F.when(k % 29 == 0, F.lit('{"cnpj":')).otherwise(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.when(k % 11 == 0, ", }").otherwise("}"))).alias("json"))
+
+
+INVOICES_SQL = """
+counted as (select l_orderkey as o_orderkey, count(*) as n, sum(l_quantity::int) as quantity from lineitem group by 1),
+invoices as materialized (
+  select o_orderkey, case when o_orderkey % 29 = 0 then '{"cnpj":' else '{' || concat_ws(',',
+    '"cnpj":' || case when o_orderkey % 4 = 0 then (o_orderkey + 12345678000190)::varchar else '"' || (o_orderkey + 12345678000190)::varchar || '"' end,
+    case when o_orderkey % 13 <> 0 then '"itens":' || case when o_orderkey % 17 = 0 then 'null' else '[' || rtrim(repeat('{"descricao":"produto","quantidade":' || case when o_orderkey % 2 = 0 then quantity::varchar else '"' || quantity::varchar || ' UN"' end || '},', n::int), ',') || ']' end end,
+    '"valor_total":' || floor(o_totalprice)::bigint::varchar || '.5',
+    '"troco":' || case when o_orderkey % 19 = 0 then '[]' when o_orderkey % 3 = 0 then 'false' else 'null' end,
+    case when o_orderkey % 5 <> 0 then '"impostos":' || case when o_orderkey % 7 = 0 then '3' else '{"icms":7}' end end) || case when o_orderkey % 11 = 0 then ', }' else '}' end end as json
+  from orders join counted using (o_orderkey)),
+read as materialized (select o_orderkey, case when json_valid(regexp_replace(json, ',\\s*([}\\]])', '\\1', 'g')) then regexp_replace(json, ',\\s*([}\\]])', '\\1', 'g')::json end as j from invoices)"""

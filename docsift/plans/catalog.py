@@ -3,11 +3,11 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.functions import arrays, metrics, openjson, receipts, text
+from docsift.functions import arrays, invoices, metrics, openjson, receipts, text
 from docsift.operators import experiments, labelling, layout, quality, registry
 from docsift.operators.images import DEGRADATION_TABLE
 from docsift.plans import trials
-from docsift.plans.adapters import BOXES_SQL, GATED_SQL, OPEN_SQL, PAIRS_SQL, RECEIPTS_SQL, gated, noised, noised_sql, open_receipts, pairs, table, word_boxes
+from docsift.plans.adapters import BOXES_SQL, GATED_SQL, INVOICES_SQL, OPEN_SQL, PAIRS_SQL, RECEIPTS_SQL, gated, noised, noised_sql, open_invoices, open_receipts, pairs, table, word_boxes
 from docsift.plans.adapters import receipts as receipt_texts
 from docsift.session import kept
 
@@ -585,15 +585,33 @@ SCALAR = lambda j, p: f"case json_type({j}, '{p}') when 'BOOLEAN' then case {j}-
 wrong as (
   select o_orderkey, 0 as a, i as b, 'menu[' || i || ']: object expected' as error from entries where json_type(x) is distinct from 'OBJECT'
   union all select o_orderkey, 0, i, 'menu[' || i || '].unitprice: text expected' from entries where json_type(x, '$.unitprice') in ('ARRAY', 'OBJECT')
+  union all select o_orderkey, 0, 0, 'menu: null' from valid where json_type(j, '$.menu') = 'NULL'
   union all select o_orderkey, 1, 0, 'sub_total: object expected' from valid where json_type(j, '$.sub_total') not in ('OBJECT', 'NULL')
   union all select o_orderkey, 2, 0, 'total: missing' from valid where j is not null and coalesce(json_type(j, '$.total'), 'NULL') = 'NULL'
   union all select o_orderkey, 3, 0, 'answer: JSON expected' from valid where j is null),
 listed as (select o_orderkey, string_agg(error, '; ' order by a, b) as errors from wrong group by 1),
 prices as (select o_orderkey, string_agg({SCALAR("x", "$.price")}, ' ' order by i) filter (json_type(x) = 'OBJECT') as prices from entries group by 1)
-select o_orderkey, coalesce(errors, '') as errors, case when json_type(j, '$.menu') in ('ARRAY', 'OBJECT') then coalesce(prices, '') end as prices, {SCALAR("j", "$.sub_total.subtotal_price")} as subtotal_price, {SCALAR("j", "$.sub_total.tax_price")} as tax_price, {SCALAR("j", "$.total.total_price")} as total_price, {SCALAR("j", "$.total.changeprice")} as changeprice
+select o_orderkey, coalesce(errors, '') as errors, case when j is not null and coalesce(json_type(j, '$.menu'), 'ARRAY') in ('ARRAY', 'OBJECT') then coalesce(prices, '') end as prices, {SCALAR("j", "$.sub_total.subtotal_price")} as subtotal_price, {SCALAR("j", "$.sub_total.tax_price")} as tax_price, {SCALAR("j", "$.total.total_price")} as total_price, {SCALAR("j", "$.total.changeprice")} as changeprice
 from valid left join listed using (o_orderkey) left join prices using (o_orderkey)""")
 def q60_validated_answers(spark, sf_dir):
     """Answers as receipts whose values are all text, with an error for each path that doesn't fit."""
     v = open_receipts(spark, sf_dir).select("o_orderkey", openjson.validated(F.col("json")).alias("v"))
     r = F.col("v.value")
     return v.select("o_orderkey", F.array_join("v.errors", "; ").alias("errors"), F.array_join(r["menu"]["price"], " ").alias("prices"), r["sub_total"]["subtotal_price"].alias("subtotal_price"), r["sub_total"]["tax_price"].alias("tax_price"), r["total"]["total_price"].alias("total_price"), r["total"]["changeprice"].alias("changeprice"))
+
+
+@query(f"""with {INVOICES_SQL},
+wrong as (
+  select o_orderkey, 0 as a, 'itens: null' as error from read where json_type(j, '$.itens') = 'NULL'
+  union all select o_orderkey, 1, 'troco: text expected' from read where json_type(j, '$.troco') in ('ARRAY', 'OBJECT')
+  union all select o_orderkey, 2, 'impostos: object expected' from read where json_type(j, '$.impostos') not in ('OBJECT', 'NULL')
+  union all select o_orderkey, 3, 'answer: JSON expected' from read where j is null),
+listed as (select o_orderkey, string_agg(error, '; ' order by a) as errors from wrong group by 1)
+select o_orderkey, coalesce(errors, '') as errors, {SCALAR("j", "$.cnpj")} as cnpj, {SCALAR("j", "$.valor_total")} as valor_total, {SCALAR("j", "$.troco")} as troco, {SCALAR("j", "$.impostos.icms")} as icms,
+  case when j is not null and json_type(j, '$.itens') is distinct from 'NULL' then coalesce(json_array_length(j, '$.itens'), 0) else -1 end::int as n_items, {SCALAR("j", "$.itens[0].quantidade")} as quantidade
+from read left join listed using (o_orderkey)""")
+def q61_invoices(spark, sf_dir):
+    """Answers as Brazilian invoices: numbers and booleans as texts, an error for each path that doesn't fit."""
+    v = open_invoices(spark, sf_dir).select("o_orderkey", invoices.parse_invoice(F.col("json")).alias("v"))
+    r = F.col("v.value")
+    return v.select("o_orderkey", F.array_join("v.errors", "; ").alias("errors"), r["cnpj"].alias("cnpj"), r["valor_total"].alias("valor_total"), r["troco"].alias("troco"), r["impostos"]["icms"].alias("icms"), F.coalesce(F.size(r["itens"]), F.lit(-1)).alias("n_items"), F.get(r["itens"], F.lit(0))["quantidade"].alias("quantidade"))
