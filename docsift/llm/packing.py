@@ -3,7 +3,7 @@
 Documents become token pieces of at most the capacity. How many pieces have each length is all that the plan needs: at
 most as many numbers as the capacity, whatever the input. Lengths are grouped; patterns are the ways in which up to four
 groups fill a sequence; a non-negative least-squares fit of the patterns' repeat counts to the histogram, rounded down,
-is packed first. What is left, and the room left in the patterns, is filled best fit first, longest pieces first, again
+is packed first, as far as that pays. What is left, and the room left in the patterns, is filled best fit first, longest pieces first, again
 by counts. Pieces find their places by their rank among those of their length.
 
 Nulls: a null text is empty and has the end token alone. A null id is kept. Empty table: no rows. Repeated rows are
@@ -26,6 +26,8 @@ from docsift.llm.common import slices, tidied, written
 CAPACITY, END_ID = 4096, 1
 GROUPS, MOST_IN_PATTERN = 64, 4
 MOST_WORDS = 120_000
+#: Into so many parts the fit's repeat counts are divided to see how much of them pays.
+SHARES = 16
 
 
 # --- tokens ---------------------------------------------------------------------------------------------------------
@@ -282,12 +284,20 @@ def filled(histogram: dict[int, int], capacity: int, groups: int, ways: list[tup
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, most: int = MOST_IN_PATTERN) -> list[tuple[list[tuple[int, int]], int]]:
     """Patterns ([(length, how many)], repeats) that hold each length as often as the histogram says.
 
-    Of the fit's repeat counts as they are, the half of them, and none of them (best fit alone), what gives the fewest sequences.
+    The fit's repeat counts are rounded to lengths, so not all of them pay: of SHARES shares of them, the largest that gives the fewest sequences is packed first, and the
+    rest best fit. The last share is none of them, so that the result is never worse than best fit alone.
     """
     groups = min(groups, capacity)
     ways = fitted(histogram, capacity, groups, most) if any(histogram.values()) else []
-    shares = [[(w, t) for w, t in ways], [(w, t // 2) for w, t in ways], []]
-    return min((filled(histogram, capacity, groups, own) for own in shares), key=lambda found: sum(times for _, times in found))
+    least, best = -(-sum(n * c for n, c in histogram.items()) // capacity), None
+    for share in range(SHARES, -1, -1):
+        found = filled(histogram, capacity, groups, [(w, t * share // SHARES) for w, t in ways])
+        size = sum(times for _, times in found)
+        if best is None or size < best[0]:
+            best = size, found
+        if size == least:
+            break
+    return best[1]
 
 
 def places(patterns: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:

@@ -1,16 +1,20 @@
 """URL filtering by rules and by path-template trees, in DataFrame operations.
 
 A rule is a host and the start of a path; it fits that host and its subdomains, and the longest that fits decides. URLs
-that a rule decides are the labelled examples of the method: for each host a tree of path templates is grown level by
-level, as deep as paths of one template still differ. Segments with digits are variable. Of the others, a branch stays by itself if it holds enough of its parent's URLs,
-and is merged into the wildcard branch if it is rare, or if its share of blocked URLs is labelled and doesn't differ from that of
-its labelled siblings by more than chance would; branches are compared by labels only, as merging those without any changes no verdict.
-A template is rejected if its smoothed share of blocked URLs reaches the threshold.
+that a rule decides are the labelled examples of the method: for each host a tree of path templates is grown from their shapes. Segments with digits
+are variable, a wildcard. A round extends each template by all segments that its paths share, so that levels without branches cost nothing, and then
+branches it. A branch is compared with all its siblings together: by the shares of its URLs that are blocked, allowed and unlabelled, and of those that end there, go on
+with a variable segment, or with another. If no share differs by more than chance would, the branch is merged into the wildcard.
 
-Counts are taken per host and shape before anything else, so a frequent host is a few rows. They and each level are written to the shared folder.
+A template is rejected if its purity, the share of blocked URLs among its labelled ones, reaches the threshold. It is smoothed towards the share of
+blocked URLs among all of its parent's, that one towards the grandparent's, up to the host and the prior: so a template without labels is
+rejected where most of what stands beside it is blocked, and a host with one bad branch keeps the others.
 
-A null URL, or one without ://, has an empty host and path, no rule and the verdict of an unlabelled template: allow.
-Repeated rows are kept as they are. Empty table: no rows.
+Counts are taken per host and shape before anything else, so a frequent host is a few rows. They and each round are written to the shared folder. There are as many
+rounds as a path has branchings.
+
+A null URL, or one without ://, has an empty host and path, no rule, and is judged as the template of the empty host.
+Repeated rows are kept as they are. Very long paths are compared whole. Empty table: no rows. Extra columns are left out, whatever their names.
 """
 
 from functools import reduce
@@ -39,14 +43,11 @@ def fitting_rule(host, path, rules):
     return F.coalesce(*fits, F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
-def judge_urls(
-    pages: DataFrame, rules=RULES, threshold: float = 0.5, prior: float = 0.1, weight: float = 4.0, rare: float = 0.02, least: int = 5, compared: int = 9, id_col: str = "page_id", url_col: str = "url"
-) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, prior: float = 0.1, weight: float = 4.0, errors: float = 2.0, least: int = 5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row.
 
-    prior, weight: the share of blocked URLs that smoothing assumes and what it weighs. rare, least: a branch that holds less
-    than this share of its parent's URLs, and fewer URLs than least, is merged. compared: from so many labelled siblings on, branches are merged
-    that are alike in their share of blocked URLs.
+    prior, weight: the share of blocked URLs that smoothing assumes of a host, and what a prior weighs in URLs. errors: by how many standard errors a branch's share may differ from
+    all its siblings' when it is merged. least: a template of fewer URLs isn't branched further.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
@@ -55,37 +56,50 @@ def judge_urls(
     rows = rows.withColumn("shape", F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s)))
     blocked, labelled = F.sum((F.col("fit.verdict") == "block").cast("long")), F.count("fit")
     shapes = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.coalesce(blocked, F.lit(0)).alias("blocked"), labelled.alias("labelled"))
-    grown = written(shapes.withColumn("template", F.array().cast("array<string>")), "shapes")
-    level, closed = 0, []
+    grown = written(shapes.select("*", F.array().cast("array<string>").alias("template"), F.lit(prior).alias("prior")), "shapes")
+    closed = []
     while True:
-        # a template whose paths are all of one shape, or all at their end, has no further branches
-        groups = grown.groupBy("host", "template").agg((F.count("*") > 1).alias("several"), (F.max(F.size("shape")) > level).alias("deeper"))
-        split = groups.where("several and deeper").select("host", "template")
+        groups = grown.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_blocked"), F.min(rest()).alias("low"), F.max(rest()).alias("high"))
+        # in their order, the least and the greatest share what all share
+        same = F.zip_with(F.slice("low", 1, F.least(F.size("low"), F.size("high"))), F.slice("high", 1, F.least(F.size("low"), F.size("high"))), lambda a, b: a == b)
+        groups = groups.withColumn("shared", F.coalesce(F.array_position(same, False) - 1, F.lit(-1))).withColumn("shared", F.when(F.col("shared") < 0, F.size(same)).otherwise(F.col("shared")).cast("int"))
+        split = groups.where((F.col("low") != F.col("high")) & (F.col("all_n") >= least)).select("host", "template", "shared", "all_n", "all_blocked")
+        split = written(split, "split")
         closed.append(grown.join(split, ["host", "template"], "left_anti"))
-        grown = grown.join(split, ["host", "template"], "left_semi")
-        if grown.isEmpty():
+        if split.isEmpty():
             break
-        grown = written(branched(grown, level, rare, least, compared), "level")
-        level += 1
+        grown = written(branched(grown.join(split, ["host", "template"]), weight, errors), "round")
     grown = written(reduce(DataFrame.unionByName, closed), "templates")
-    purity = grown.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).select("host", "template", (F.col("l") > 0).alias("known"), ((F.col("b") + prior * weight) / (F.col("l") + weight)).alias("purity"))
-    decided = grown.join(purity, ["host", "template"]).select("host", "shape", (F.col("known") & (F.col("purity") >= threshold)).alias("reject"))
-    decided = written(decided.where("reject"), "rejected")
+    purity = grown.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"), F.max("prior").alias("prior"))
+    rejected = purity.where((F.col("b") + F.col("prior") * weight) / (F.col("l") + weight) >= threshold).select("host", "template")
+    decided = written(grown.join(rejected, ["host", "template"]).select("host", "shape", F.lit(True).alias("reject")), "rejected")
     # only what no rule decides asks for its template
     open_ = rows.where("fit is null").join(decided, ["host", "shape"], "left").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("reject"), "block").otherwise("allow").alias("verdict"))
     return rows.where("fit is not null").select("page_id", "host", "path", "fit.rule", "fit.verdict").unionByName(open_)
 
 
-def branched(grown: DataFrame, level: int, rare: float, least: int, compared: int) -> DataFrame:
-    """grown (host, shape, template and counts) with each template longer by its branch at a level of the path."""
-    grown = grown.withColumn("segment", F.coalesce(F.get("shape", F.lit(level)), F.lit("")))
-    children = grown.groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "blocked", "labelled")))
-    parents = children.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "blocked", "labelled")), F.count_if(F.col("labelled") > 0).alias("siblings"))
-    judged = children.join(parents, ["host", "template"])
-    pooled = F.col("all_blocked") / F.greatest(F.col("all_labelled"), F.lit(1))
-    own = F.col("blocked") / F.greatest(F.col("labelled"), F.lit(1))
-    error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.01)) / F.greatest(F.col("labelled"), F.lit(1)))
-    alike = (F.col("labelled") > 0) & (F.col("siblings") >= compared) & (F.abs(own - pooled) <= 2 * error)
-    few = (F.col("n") < least) & (F.col("n") < rare * F.col("all_n"))
-    kept = judged.select("host", "template", "segment", F.when((F.col("segment") != "") & (few | alike), F.lit("*")).otherwise(F.col("segment")).alias("branch"))
-    return grown.join(kept, ["host", "template", "segment"]).withColumn("template", F.concat("template", F.array("branch"))).drop("segment", "branch")
+def rest():
+    """What of a shape comes after its template."""
+    return F.slice("shape", F.size("template") + 1, F.greatest(F.size("shape") - F.size("template"), F.lit(0)))
+
+
+def branched(grown: DataFrame, weight: float, errors: float) -> DataFrame:
+    """grown (host, shape, template, prior, counts, and of its template: shared, all_n, all_blocked) with each template longer by what it shares and by its branch, or by
+    an empty segment where a path ends, and with the template's own smoothed share as the branch's prior."""
+    at = F.size("template") + F.col("shared")
+    grown = grown.select("*", F.coalesce(F.get("shape", at), F.lit("")).alias("segment"), F.get("shape", at + 1).alias("next"))
+    n, unlabelled = F.col("n"), F.col("n") - F.col("labelled")
+    counts = {"n": n, "blocked": F.col("blocked"), "allowed": F.col("labelled") - F.col("blocked"), "unlabelled": unlabelled, "end": F.when(F.col("next").isNull(), n).otherwise(0), "variable": F.when(F.col("next") == "*", n).otherwise(0)}
+    children = grown.groupBy("host", "template", "segment").agg(*(F.sum(c).alias(k) for k, c in counts.items()))
+    siblings = children.where("segment <> ''").groupBy("host", "template").agg(*(F.sum(k).alias(f"pool_{k}") for k in counts))
+    judged = children.join(siblings, ["host", "template"], "left")
+
+    def alike(k: str):
+        pooled = F.col(f"pool_{k}") / F.col("pool_n")
+        return F.abs(F.col(k) / F.col("n") - pooled) <= errors * F.sqrt(pooled * (1 - pooled) / F.col("n")) + 1e-9
+
+    merged = (F.col("segment") != "") & reduce(lambda a, b: a & b, [alike(k) for k in counts if k != "n"])
+    branch = judged.select("host", "template", "segment", F.when(merged, F.lit("*")).otherwise(F.col("segment")).alias("branch"))
+    longer = F.concat("template", F.slice("shape", F.size("template") + 1, F.col("shared")), F.array("branch"))
+    prior = (F.col("all_blocked") + weight * F.col("prior")) / (F.col("all_n") + weight)
+    return grown.join(branch, ["host", "template", "segment"]).select("host", "shape", "n", "blocked", "labelled", longer.alias("template"), prior.alias("prior"))
