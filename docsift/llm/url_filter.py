@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from docsift.llm.common import written
 
 #: Fixed values: (verdict, host, start of the path).
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
 def host_and_path(url):
