@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsift.functions.arrays import let
+from docsift.functions.distance import text_rates
 from docsift.functions.text import strip, tokens
 
 ANLS_THRESHOLD = 0.5
@@ -131,8 +132,7 @@ def field_text(fields: Column) -> Column:
 def receipt_report(pred: Column, gt: Column, total: str = "total.total_price") -> Column:
     """struct(cer, wer, total_exact_match, n_pred, n_gt): error rates of all values as one text, and whether the totals are the same."""
     of = lambda m: F.coalesce(F.try_element_at(m, F.lit(total)), F.lit(""))
-    both = F.struct(field_text(pred).alias("p"), field_text(gt).alias("g"))
-    rates = let(both, lambda t: F.struct(cer(t["p"], t["g"]).alias("cer"), wer(t["p"], t["g"]).alias("wer")))
+    rates = text_rates(field_text(pred), field_text(gt))
     return F.struct(rates["cer"].alias("cer"), rates["wer"].alias("wer"), exact_match(of(pred), of(gt)).alias("total_exact_match"), F.size(pred).alias("n_pred"), F.size(gt).alias("n_gt"))
 
 

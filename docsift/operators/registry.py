@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from docsift.functions import metrics
+from docsift.functions.distance import text_rates
 from docsift.operators.experiments import ordered_scores, summarise
 from docsift.session import kept
 
@@ -137,7 +138,8 @@ def scored(value: Column, is_fields: bool, read: Column, node: str, total: str =
         zero = lambda c: F.when(value.isNull(), 0.0).otherwise(c)
         each = {"cer": none, "wer": none, "f1": zero(metrics.field_f1(value, F.col("gt_fields"))["f1"]), "anls": zero(metrics.mean_anls(value, F.col("gt_fields"))), "total_em": zero(em)}
     else:
-        each = {"cer": metrics.cer(value, F.col("gt")), "wer": metrics.wer(value, F.col("gt")), "f1": none, "anls": none, "total_em": none}
+        rates = text_rates(value, F.col("gt"))
+        each = {"cer": rates["cer"], "wer": rates["wer"], "f1": none, "anls": none, "total_em": none}
     there = read.isNotNull()
     parts = {"node": F.lit(node), "skipped": ~there} | {k: F.when(there, v) for k, v in each.items()} | {"failed": there & value.isNull()}
     return F.struct(*(v.alias(k) for k, v in parts.items())).cast(SCORE)
@@ -170,7 +172,7 @@ def scores(samples: DataFrame, steps: dict[str, Step | Table], experiments: dict
                 if is_fields[n.path] and before in is_fields and name(before) not in each:
                     each[name(before)] = scored(text, False, text, name(before))
         if each:
-            found = rows.select("sample", "p", "rejects", F.explode(F.array(*each.values())).alias("s")).select("sample", "p", "rejects", "s.*")
+            found = rows.select("sample", "p", "rejects", F.array(*each.values()).alias("all")).select("sample", "p", "rejects", F.explode("all").alias("s")).select("sample", "p", "rejects", "s.*")
             out = found if out is None else out.unionByName(found)
         for n in waiting:
             value = F.col(f"`{name(n.path[:-1])}`")
