@@ -3,9 +3,10 @@
 Telling strings are the strings of SIZES characters, word ends included, that toxic documents have far more often than
 ordinary ones. A window is the words in order around a word that holds one, NEAR to either side. It is compressed with the ordinary dictionary
 and with the toxic one, which is made of toxic windows before the same ordinary text, so that lengths differ only by what
-toxic text adds. A window's distance is its length with the ordinary dictionary less that with the toxic one. A document's score is a
+toxic text adds. A window's distance is its length with the ordinary dictionary less that with the toxic one. Besides, the whole text is cut into runs of RUN
+words, and every run is compressed in the same way, so that text without a telling string counts, too. A document's score is a
 logistic function, fitted to labelled rows, of its largest distances, of how many distinct windows reach each of several
-thresholds, and of its length. Windows without a telling string aren't compressed: they say nothing of toxicity.
+thresholds, of its length, and of its runs' largest and mean distance and of how many of them reach each of RUN_THRESHOLDS.
 
 Learning is bounded, by documented parameters: SAMPLE labelled rows of each class, those of smallest hash; of each of them at most
 WINDOWS windows, evenly spread, train a dictionary. Two thirds of the rows give telling strings and dictionaries; how common and how
@@ -32,6 +33,7 @@ SIZES, NEAR = (5, 6, 8), 1
 CHOICES = ((0.1, 1.5), (0.05, 1.5), (0.03, 2.0), (0.015, 2.5))
 LEAST_ROWS = 3
 TOP, THRESHOLDS = 5, (1, 2, 3, 4, 6)
+RUN, RUN_THRESHOLDS = 24, (2, 4)
 TOXIC_BYTES, ORDINARY_BYTES = 2048, 16_384
 KEPT = 50_000
 HELD_OUT = 2
@@ -75,6 +77,12 @@ def telling_windows(texts: list[bytes | None], telling: list[str]) -> list[list[
     return out
 
 
+def runs(text: bytes | None) -> list[bytes]:
+    """All words of a text in order, RUN of them at a time."""
+    words = (text or b"").translate(TO_WORDS).split()
+    return [b" %b " % b" ".join(words[i : i + RUN]) for i in range(0, len(words), RUN)]
+
+
 def spread(items: list, most: int = WINDOWS) -> list:
     return [items[i * len(items) // most] for i in range(most)] if len(items) > most else items
 
@@ -84,7 +92,7 @@ class Model:
 
     def __init__(self, telling: list[str], toxic: bytes, ordinary: bytes):
         self.content = telling, toxic, ordinary
-        self.weights = np.zeros(TOP + len(THRESHOLDS) + 2)
+        self.weights = np.zeros(TOP + len(THRESHOLDS) + 2 + 2 + len(RUN_THRESHOLDS))
         self.ready = False
 
     def __getstate__(self):
@@ -122,7 +130,16 @@ class Model:
             at = sorted(map(self.distance, set(found)), reverse=True)
             top = [min(max(d, 0), 10) for d in at[:TOP]]
             out.append([*top, *(0,) * (TOP - len(top)), *(np.log1p(sum(d >= t for d in at)) for t in THRESHOLDS), np.log1p(len(text or b"")) / 10, 1.0])
-        return np.array(out, float).reshape(-1, len(self.weights))
+        return np.array(out, float).reshape(-1, TOP + len(THRESHOLDS) + 2)
+
+    def whole(self, texts: list[bytes | None]) -> np.ndarray:
+        """A row for each text: of all its runs the largest distance, from 0 to 10, the mean one, and the log of how many reach each threshold; then its features, whose last is 1."""
+        of_windows = self.features(texts)
+        out = []
+        for text in texts:
+            at = [self.distance(r) for r in runs(text)] or [0]
+            out.append([min(max(*at, 0), 10), sum(at) / len(at), *(np.log1p(sum(d >= t for d in at)) for t in RUN_THRESHOLDS)])
+        return np.concatenate([np.array(out, float).reshape(-1, 2 + len(RUN_THRESHOLDS)), of_windows], 1)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights, -40, 40)))
@@ -207,7 +224,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_co
     def measure(batches):
         for batch in batches:
             for part in slices(batch, 2, 4 << 20):
-                x = np.concatenate([m.features(as_bytes(part.column(2))) for m in shared.value], 1)
+                x = np.concatenate([m.whole(as_bytes(part.column(2))) for m in shared.value], 1)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 1, 3)), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "toxic", "learn", "x"])
 
     measured = sorted(rows.mapInArrow(measure, "doc_id long, toxic int, learn boolean, x array<double>").collect())
@@ -264,7 +281,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
         for batch in batches:
             for part in slices(batch, 2, 4 << 20):
                 texts = as_bytes(part.column(2))
-                scores = m.score(m.features(texts)) if m else np.zeros(len(texts))
+                scores = m.score(m.whole(texts)) if m else np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32)), *(part.columns[2:] if carry else [])], ["doc_id", "held_out", "score", "predicted", *(part.schema.names[2:] if carry else [])])
 
     return source.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + more)

@@ -146,3 +146,17 @@ def test_run_packs_what_all_stages_keep(spark, tables):
     clean = {i for i, t in labelled()[0] if not re.search("blargwit|zonkhead|mupplesnot", t)}
     left = {r["doc_id"] for r in got}
     assert len(clean & left) >= 0.97 * len(clean)
+
+
+def test_toxicity_looks_at_every_word_of_a_text():
+    """Text far from any telling string is compressed, too: its distance is that of its run, whole."""
+    from docsift.llm.toxicity import RUN, Model, runs
+
+    text = f"{prose(500)} zonkhead zonkhead blargwit, {prose(501)}".encode()
+    assert b" ".join(b" ".join(r.split()) for r in runs(text)) == b" ".join(re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()))
+    assert all(len(r.split()) == RUN for r in runs(text)[:-1]) and runs(None) == runs(b" ,") == []
+    plain, toxic = Model(["nowhere"], b" you zonkhead zonkhead blargwit go " * 3, b""), Model(["nowhere"], b"", b"")
+    got, other = plain.whole([text, None, b""]), toxic.whole([text, None, b""])
+    assert got[0][0] == max(map(plain.distance, runs(text))) > 0 == other[0][0]
+    assert got[0][1] == sum(map(plain.distance, runs(text))) / len(runs(text))
+    assert got[1].tolist() == got[2].tolist() and not got[1][:4].any()
