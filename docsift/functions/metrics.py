@@ -58,7 +58,7 @@ def anls(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     most = F.floor(longest * F.lit(1 - threshold) + 1e-9).cast("int")
     distance = F.when(F.abs(F.length(a) - F.length(b)) <= most, F.call_function("levenshtein", a, b, most)).otherwise(F.lit(-1))
-    near = F.when(longest == 0, F.lit(1.0)).when(a == b, F.lit(1.0)).otherwise(let(distance, lambda d: F.when(d >= 0, 1 - d / longest).otherwise(F.lit(0.0))))
+    near = F.when(a == b, F.lit(1.0)).otherwise(let(distance, lambda d: F.when(d >= 0, 1 - d / longest).otherwise(F.lit(0.0))))
     return let(near, lambda s: at_least(s, threshold))
 
 
@@ -79,33 +79,73 @@ def set_f1(pred: Column, gt: Column) -> Column:
     """struct(precision, recall, f1) of two arrays as sets, without empty values. Both empty: 1, 1, 1; only gt: 0, 1, 0; only pred: 1, 0, 0."""
     clean = lambda x: F.array_distinct(F.filter(x, lambda v: v.isNotNull() & (v != "")))
     p, g = clean(pred), clean(gt)
-    both, np_, ng = F.size(F.array_intersect(p, g)), F.size(p), F.size(g)
-    precision = F.when(ng == 0, F.when(np_ == 0, 1.0).otherwise(0.0)).when(np_ == 0, 1.0).otherwise(ratio(both, np_))
-    recall = F.when(ng == 0, 1.0).when(np_ == 0, 0.0).otherwise(ratio(both, ng))
-    return F.struct(precision.alias("precision"), recall.alias("recall"), F.when((np_ == 0) & (ng == 0), 1.0).otherwise(f1_of(precision, recall)).alias("f1"))
+    sizes = lambda s: F.struct(F.size(F.array_intersect(s["p"], s["g"])).alias("both"), F.size(s["p"]).alias("p"), F.size(s["g"]).alias("g"))
 
+    def scores(n: Column) -> Column:
+        precision = F.when(n["g"] == 0, F.when(n["p"] == 0, 1.0).otherwise(0.0)).when(n["p"] == 0, 1.0).otherwise(ratio(n["both"], n["p"]))
+        recall = F.when(n["g"] == 0, 1.0).when(n["p"] == 0, 0.0).otherwise(ratio(n["both"], n["g"]))
+        return F.struct(precision.alias("precision"), recall.alias("recall"), F.when((n["p"] == 0) & (n["g"] == 0), 1.0).otherwise(f1_of(precision, recall)).alias("f1"))
 
-def field_counts(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
-    """struct(tp, fp, fn) over the fields of two maps. A field that both have but that doesn't match is an fp and an fn."""
-    value = lambda m, k: strip(F.coalesce(F.try_element_at(m, k), F.lit("")))
-    code = lambda v: F.when((v["p"] == "") & (v["g"] == ""), 0).when(v["g"] == "", 2).when(v["p"] == "", 3).when(v["p"] == v["g"], 1).when(anls(v["p"], v["g"], threshold) > 0, 1).otherwise(4)
-    both = F.transform(F.array_union(F.map_keys(pred), F.map_keys(gt)), lambda k: F.struct(value(pred, k).alias("p"), value(gt, k).alias("g")))
+    return let(let(F.struct(p.alias("p"), g.alias("g")), sizes), scores)
+
+
+def field_scores(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
+    """An array of (field, pred, gt, score, given, plain) over the fields of two maps: both values without white space around them and their similarity; whether gt has the field, and the similarity of the values as they are.
+
+    Each pair of values is compared once, and again as it is only if white space was around one.
+    """
+    entry = lambda k, p, g: F.struct(k.alias("field"), _text(p).alias("p"), _text(g).alias("g"), (g.isNotNull() | F.map_contains_key(gt, k)).alias("given"))
+    bare = lambda v: F.struct(v.alias("v"), strip(v["p"]).alias("p"), strip(v["g"]).alias("g"))
+
+    def compared(x: Column) -> Column:
+        return F.struct(x.alias("x"), anls(x["p"], x["g"], threshold).alias("score"))
+
+    def plain(y: Column) -> Column:
+        x, v = y["x"], y["x"]["v"]
+        same = (v["p"] == x["p"]) & (v["g"] == x["g"])
+        return F.struct(
+            v["field"].alias("field"), x["p"].alias("pred"), x["g"].alias("gt"), y["score"].alias("score"), v["given"].alias("given"),
+            F.when(~v["given"], 0.0).when(same, y["score"]).otherwise(anls(v["p"], v["g"], threshold)).alias("plain"),
+        )
+
+    return F.transform(F.map_values(F.map_zip_with(pred, gt, entry)), lambda v: let(let(bare(v), compared), plain))
+
+
+def _counts(scores: Column) -> Column:
+    code = lambda v: F.when((v["pred"] == "") & (v["gt"] == ""), 0).when(v["gt"] == "", 2).when(v["pred"] == "", 3).when((v["pred"] == v["gt"]) | (v["score"] > 0), 1).otherwise(4)
 
     def counts(codes: Column) -> Column:
         n = lambda *of: F.size(F.filter(codes, lambda x: x.isin(*of)))
         return F.struct(n(1).alias("tp"), n(2, 4).alias("fp"), n(3, 4).alias("fn"))
 
-    return let(F.transform(both, code), counts)
+    return let(F.transform(scores, code), counts)
+
+
+def _f1(scores: Column) -> Column:
+    def figures(c: Column) -> Column:
+        precision, recall = ratio(c["tp"], c["tp"] + c["fp"]), ratio(c["tp"], c["tp"] + c["fn"])
+        return F.struct(c["tp"].alias("tp"), c["fp"].alias("fp"), c["fn"].alias("fn"), precision.alias("precision"), recall.alias("recall"), f1_of(precision, recall).alias("f1"))
+
+    return let(_counts(scores), figures)
+
+
+def _mean(scores: Column, gt: Column) -> Column:
+    return ratio(F.aggregate(scores["plain"], F.lit(0.0), lambda a, x: a + x), F.size(gt))
+
+
+def field_counts(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
+    """struct(tp, fp, fn) over the fields of two maps. A field that both have but that doesn't match is an fp and an fn."""
+    return let(field_scores(pred, gt, threshold), _counts)
 
 
 def field_f1(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
     """struct(tp, fp, fn, precision, recall, f1)."""
+    return let(field_scores(pred, gt, threshold), _f1)
 
-    def scores(c: Column) -> Column:
-        precision, recall = ratio(c["tp"], c["tp"] + c["fp"]), ratio(c["tp"], c["tp"] + c["fn"])
-        return F.struct(c["tp"].alias("tp"), c["fp"].alias("fp"), c["fn"].alias("fn"), precision.alias("precision"), recall.alias("recall"), f1_of(precision, recall).alias("f1"))
 
-    return let(field_counts(pred, gt, threshold), scores)
+def evaluated(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
+    """struct(f, anls): field_f1 and mean_anls, from one comparison of the fields."""
+    return let(field_scores(pred, gt, threshold), lambda s: F.struct(_f1(s).alias("f"), _mean(s, gt).alias("anls")))
 
 
 def joined_field_counts(pred: DataFrame, gt: DataFrame, key: str, threshold: float = ANLS_THRESHOLD) -> DataFrame:
@@ -120,8 +160,8 @@ def joined_field_counts(pred: DataFrame, gt: DataFrame, key: str, threshold: flo
 
 def mean_anls(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
     """Over the fields of gt; a field that pred lacks counts as empty. 0 without fields."""
-    scores = F.transform(F.map_entries(gt), lambda e: anls(F.coalesce(F.try_element_at(pred, e["key"]), F.lit("")), e["value"], threshold))
-    return let(scores, lambda s: ratio(F.aggregate(s, F.lit(0.0), lambda a, x: a + x), F.size(s)))
+    pred = F.coalesce(pred, F.create_map().cast("map<string,string>"))
+    return let(field_scores(pred, gt, threshold), lambda s: _mean(s, gt))
 
 
 def field_text(fields: Column) -> Column:
@@ -138,8 +178,5 @@ def receipt_report(pred: Column, gt: Column, total: str = "total.total_price") -
 
 def per_field(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
     """An array of (field, pred, gt, score, matched) over the fields that either map has a value for."""
-    value = lambda m, k: strip(F.coalesce(F.try_element_at(m, k), F.lit("")))
-    each = F.transform(F.array_union(F.map_keys(pred), F.map_keys(gt)), lambda k: F.struct(k.alias("field"), value(pred, k).alias("pred"), value(gt, k).alias("gt")))
-    there = F.filter(each, lambda f: (f["pred"] != "") | (f["gt"] != ""))
-    scored = F.transform(there, lambda f: F.struct(f["field"].alias("field"), f["pred"].alias("pred"), f["gt"].alias("gt"), anls(f["pred"], f["gt"], threshold).alias("score")))
-    return F.transform(scored, lambda f: F.struct(*(f[k].alias(k) for k in ("field", "pred", "gt", "score")), ((f["pred"] != "") & (f["gt"] != "") & (f["score"] > 0)).alias("matched")))
+    there = F.filter(field_scores(pred, gt, threshold), lambda f: (f["pred"] != "") | (f["gt"] != ""))
+    return F.transform(there, lambda f: F.struct(*(f[k].alias(k) for k in ("field", "pred", "gt", "score")), ((f["pred"] != "") & (f["gt"] != "") & (f["score"] > 0)).alias("matched")))

@@ -1,10 +1,14 @@
-"""Rule-based receipt parsing: one Column expression from text to a nested receipt, no shuffle and no Python worker."""
+"""Rule-based receipt parsing: one Column from text to a nested receipt, without a shuffle. The lines of a batch of texts are matched together, by Arrow's regular expressions, whose cost doesn't grow with the number of keywords."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from docsift.functions.arrays import let
-from docsift.functions.text import strip
+from docsift.functions.text import BLANKS, strip
 
 # Keywords and patterns of the receipt grammar.
 SKIP = [
@@ -24,7 +28,6 @@ KEYWORDS = {
 }
 ITEM = r"^(.+?)\s+(?:(\d+)\s*x\s+)?(?:@?\s*[\d.,]+\s+)?([\d.,]+)\s*$"
 PRICE = r"\d+[.,\d]*\d+"
-
 SUB_TOTAL = ("subtotal_price", "tax_price", "service_price", "discount_price")
 TOTAL = ("total_price", "cashprice", "changeprice")
 
@@ -41,53 +44,89 @@ INVOICE_DDL = (
 )
 
 
-def receipt_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+def wide(pattern: str) -> str:
+    """A pattern of Java under (?Ud), for Arrow: digits and white space are those of Unicode."""
+    return pattern.replace(r"[\d.,\s]", rf"[\p{{Nd}}.,{BLANKS}]").replace(r"\d", r"\p{Nd}").replace(r"\s", f"[{BLANKS}]")
 
 
-def _has_any(line: Column, words: list[str]) -> Column:
-    """Whether the lower-cased line holds any of the words, anywhere."""
-    return F.lower(line).rlike("|".join(words))
+ITEM_PARTS = wide(ITEM).replace("x", "[xX]").replace("(.+?)", "(?P<nm>.+?)").replace(r"(\p{Nd}+)", r"(?P<n>\p{Nd}+)").replace(r"([\p{Nd}.,]+)", r"(?P<price>[\p{Nd}.,]+)")
+NO_NAME = wide(r"^[\d.,\s]+$")
+#: The last match of PRICE in a line: from the first to the last digit of a run of digits, dots and commas.
+LAST_PRICE = wide(r"^(?:.*[^\d.,])?[.,]*(?P<price>\d[\d.,]*\d)")
 
 
-def menu_items(lines: Column) -> Column:
-    """The lines that read as items, in order, as structs with nm, cnt ("2 x") and price."""
-    pattern = f"(?iUd){ITEM}"
-    part = lambda line, k: F.regexp_extract(line, pattern, k)
-    null = F.lit(None).cast("string")
+def _has_any(lines: pa.Array, words: list[str]) -> pa.Array:
+    """Whether lower-cased lines hold any of the words, anywhere."""
+    return pc.match_substring_regex(lines, "|".join(words))
 
-    def item(line: Column) -> Column:
-        n = part(line, 2)
-        return F.struct(
-            strip(part(line, 1)).alias("nm"), F.when(n != "", F.concat(n, F.lit(" x"))).alias("cnt"), null.alias("unitprice"), part(line, 3).alias("price"),
-            null.alias("sub"), null.alias("num"), null.alias("discountprice"),
-        )
 
-    named = F.filter(lines, lambda x: ~_has_any(x, SKIP) & x.rlike(pattern))
-    return F.filter(F.transform(named, item), lambda i: (F.length(i["nm"]) >= 2) & ~i["nm"].rlike(r"(?U)^[\d.,\s]+$"))
+def _first(values: pa.Array, of: np.ndarray, n: int) -> pa.Array:
+    """The first value of each of n texts; of: each value's text, ascending."""
+    at = np.full(n, -1)
+    own, place = np.unique(of, return_index=True)
+    at[own] = place
+    return values.take(pa.array(at, mask=at < 0))
 
 
-def keyword_price(lines: Column, words: list[str]) -> Column:
-    """The last price of the first line that holds a keyword and a price; null if none does."""
-    line = F.get(F.filter(lines, lambda x: _has_any(x, words) & x.rlike(f"(?U){PRICE}")), F.lit(0))
-    return F.try_element_at(F.regexp_extract_all(line, F.lit(f"(?U){PRICE}"), F.lit(0)), F.lit(-1))
+def keyword_prices(lows: pa.Array, of: np.ndarray, n: int) -> dict[str, pa.Array]:
+    """For each kind of price the last price of the first line that holds a keyword and a price; null if none does."""
+    some = _has_any(lows, [w for ws in KEYWORDS.values() for w in ws])
+    lows, of = lows.filter(some), of[some.to_numpy(zero_copy_only=False)]
+    price = pc.struct_field(pc.extract_regex(lows, LAST_PRICE), "price")
+    there = price.is_valid()
+    lows, price, of = lows.filter(there), price.filter(there), of[there.to_numpy(zero_copy_only=False)]
+    out = {}
+    for kind, words in KEYWORDS.items():
+        own = _has_any(lows, words)
+        out[kind] = _first(price.filter(own), of[own.to_numpy(zero_copy_only=False)], n)
+    return out
 
 
-def parse_receipt(text: Column) -> Column:
-    """struct(menu, sub_total, total); sub_total is null if it has no value, total never is."""
-    null = F.lit(None).cast("string")
+def menu_items(lines: pa.Array, lows: pa.Array, of: np.ndarray, n: int) -> pa.Array:
+    """For each text the lines that read as items, in order, as structs with nm, cnt ("2 x") and price."""
+    open_ = pc.invert(_has_any(lows, SKIP))
+    parts = pc.extract_regex(pc.utf8_trim(lines.filter(open_), characters=BLANKS), ITEM_PARTS)
+    nm = pc.struct_field(parts, "nm")
+    named = pc.fill_null(pc.and_(pc.greater_equal(pc.utf8_length(nm), 2), pc.invert(pc.match_substring_regex(nm, NO_NAME))), False)
+    of = of[open_.to_numpy(zero_copy_only=False)][named.to_numpy(zero_copy_only=False)]
+    nm, count, price = (pc.struct_field(parts, k).filter(named) for k in ("nm", "n", "price"))
+    cnt = pc.if_else(pc.fill_null(pc.not_equal(count, ""), False), pc.binary_join_element_wise(count, "x", " "), None)
+    null = pa.nulls(len(nm), pa.string())
+    kinds = {"nm": nm, "cnt": cnt, "unitprice": null, "price": price, "sub": null, "num": null, "discountprice": null}
+    items = pa.StructArray.from_arrays([v.cast(pa.string()) for v in kinds.values()], list(kinds))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), items)
 
-    def built(lines: Column) -> Column:
-        prices = F.struct(*(keyword_price(lines, w).alias(k) for k, w in KEYWORDS.items()))
 
-        def receipt(p: Column) -> Column:
-            sub = F.struct(*(p[k].alias(k) for k in SUB_TOTAL), null.alias("etc"))
-            total = F.struct(*(p[k].alias(k) for k in TOTAL), *(null.alias(k) for k in ("creditcardprice", "menutype_cnt", "menuqty_cnt", "total_etc")))
-            return F.struct(menu_items(lines).alias("menu"), F.when(F.coalesce(*(p[k] for k in SUB_TOTAL)).isNotNull(), sub).alias("sub_total"), total.alias("total"))
+def _texts(*names: str) -> StructType:
+    return StructType([StructField(n, StringType()) for n in names])
 
-        return let(prices, receipt)
 
-    return let(receipt_lines(F.coalesce(text, F.lit(""))), built)
+REST = ("creditcardprice", "menutype_cnt", "menuqty_cnt", "total_etc")
+#: As RECEIPT_DDL has it, without a session.
+RECEIPT = StructType([
+    StructField("menu", ArrayType(_texts("nm", "cnt", "unitprice", "price", "sub", "num", "discountprice"))),
+    StructField("sub_total", _texts(*SUB_TOTAL, "etc")), StructField("total", _texts(*TOTAL, *REST)),
+])
+
+
+@F.arrow_udf(RECEIPT)
+def parsed(text: pa.Array, low: pa.Array) -> pa.Array:
+    n, null = len(text), pa.nulls(len(text), pa.string())
+    lists = pc.split_pattern(text, "\n")
+    of = pc.list_parent_indices(lists).to_numpy()
+    lines, lows = pc.list_flatten(lists), pc.list_flatten(pc.split_pattern(low, "\n"))
+    prices = {k: v.cast(pa.string()) for k, v in keyword_prices(lows, of, n).items()}
+    sub = [prices[k] for k in SUB_TOTAL]
+    none = np.logical_and.reduce([v.is_null().to_numpy(zero_copy_only=False) for v in sub])
+    sub_total = pa.StructArray.from_arrays([*sub, null], [*SUB_TOTAL, "etc"], mask=pa.array(none))
+    total = pa.StructArray.from_arrays([*(prices[k] for k in TOTAL), *(null for _ in REST)], [*TOTAL, *REST])
+    return pa.StructArray.from_arrays([menu_items(lines, lows, of, n), sub_total, total], ["menu", "sub_total", "total"])
+
+
+def parse_receipt(text: Column) -> Column:
+    """struct(menu, sub_total, total); sub_total is null if it has no value, total never is."""
+    whole = F.coalesce(text, F.lit(""))
+    return parsed(whole, F.lower(whole))
 
 
 def field_entries(receipt: Column) -> Column:
@@ -126,12 +165,15 @@ def is_object(text: Column) -> Column:
 def from_model_json(text: Column, ddl: str = RECEIPT_DDL, menu: str | None = "menu") -> Column:
     """A model's answer as a struct: trailing commas are repaired, a single item is a list of one, and a missing total is an empty one."""
     text = repaired(text)
-    many = F.from_json(text, ddl)
     if menu is None:
-        return many
-    single = F.from_json(text, f"{menu} {LINE_ITEM_DDL}")[menu]
-    items = F.coalesce(many[menu], F.when(single.isNotNull(), F.array(single)))
-    return many.withField(menu, items).withField("total", F.coalesce(many["total"], F.from_json(F.lit("{}"), RECEIPT_DDL.split(", total ")[1][len("struct<") : -1].replace(":", " "))))
+        return F.from_json(text, ddl)
+    none = F.from_json(F.lit("{}"), RECEIPT_DDL.split(", total ")[1][len("struct<") : -1].replace(":", " "))
+
+    def whole(r: Column) -> Column:
+        single = let(F.from_json(text, f"{menu} {LINE_ITEM_DDL}")[menu], lambda x: F.when(x.isNotNull(), F.array(x)))
+        return r.withField(menu, F.coalesce(r[menu], single)).withField("total", F.coalesce(r["total"], none))
+
+    return let(F.from_json(text, ddl), whole)
 
 
 def prompt(text: Column, few_shot: tuple[str, str] | None = None, instruction: str = "Return the receipt below as JSON with menu, sub_total and total. Keep prices as they are printed.") -> Column:

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 LOOKALIKES, DIGITS = "OolISBZ", "0011582"
 LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]"
 
+#: White space as (?U)\s has it.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def tokens(c: Column) -> Column:

@@ -112,19 +112,20 @@ def compare_parsers(rows: DataFrame, parsers: dict[str, str]) -> DataFrame:
 
     rows: text, gt (the true receipt), and a receipt for each parser, null where it failed. Blank texts are left out, but count as files. Totals match if they are
     the same without separators; two missing ones match, too. A failure is no match and an f1 of 0. The rates differ in what they divide by: all files,
-    those with text, those with a true total. One pass, with a row for each parser and text.
+    those with text, those with a true total. One pass over the rows, with a row for each parser and file; what is true of a file is worked out once for all parsers.
     """
-    texts = rows.where("text is not null and trim(text) <> ''")
     total = lambda r: price_key(F.coalesce(F.when(r.isNotNull(), r["total"]["total_price"]), F.lit("")))
     prices = lambda r: F.coalesce(F.transform(r["menu"], lambda m: strip(F.coalesce(m["price"], F.lit("")))), F.array().cast("array<string>"))
-    f1 = lambda r: F.when(r.isNull(), 0.0).otherwise(set_f1(prices(r), prices(F.col("gt")))["f1"])
-    one = lambda name, c: F.struct(F.lit(name).alias("parser"), F.col(c).isNotNull().alias("answered"), (F.col(c).isNotNull() & (total(F.col(c)) == total(F.col("gt")))).alias("match"), f1(F.col(c)).alias("f1"))
-    each = texts.select((total(F.col("gt")) != "").alias("has_total"), F.explode(F.array(*(one(n, c) for n, c in parsers.items()))).alias("p")).select("has_total", "p.*")
-    sums = each.groupBy("parser").agg(F.count("*").alias("texts"), F.count_if("answered").alias("answered"), F.count_if("has_total").alias("totals"), F.count_if("match").alias("total_matches"), F.count_if(F.col("match") & F.col("has_total")).alias("m"), F.avg("f1").alias("menu_f1"))
-    every = rows.agg(F.count("*").alias("files"))
+    own = lambda c: F.struct(total(F.col(c)).alias("total"), prices(F.col(c)).alias("prices"))
+    there = F.coalesce(F.trim("text") != "", F.lit(False))
+    known = rows.select(there.alias("there"), own("gt").alias("gt"), *(F.when(F.col(c).isNotNull(), own(c)).alias(f"of_{i}") for i, c in enumerate(parsers.values())))
+    f1 = lambda r: F.when(r.isNull(), 0.0).otherwise(set_f1(r["prices"], F.col("gt.prices"))["f1"])
+    one = lambda name, r: F.struct(F.lit(name).alias("parser"), r.isNotNull().alias("answered"), (r.isNotNull() & (r["total"] == F.col("gt.total"))).alias("match"), F.when(F.col("there"), f1(r)).alias("f1"))
+    each = known.select("there", (F.col("gt.total") != "").alias("has_total"), F.explode(F.array(*(one(n, F.col(f"of_{i}")) for i, n in enumerate(parsers)))).alias("p")).select("there", "has_total", "p.*")
+    n = lambda name, *of: F.count_if(reduce(Column.__and__, map(F.col, ("there", *of)))).alias(name)
+    sums = each.groupBy("parser").agg(F.count("*").alias("files"), n("texts"), n("answered", "answered"), n("totals", "has_total"), n("total_matches", "match"), n("m", "match", "has_total"), F.avg("f1").alias("menu_f1"))
     rate = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
-    out = sums.join(F.broadcast(every))  # one row
-    return out.select("parser", "files", "texts", "answered", "totals", "total_matches", rate("total_matches", "files").alias("by_files"), rate("total_matches", "texts").alias("by_texts"), rate("m", "totals").alias("by_totals"), "menu_f1")
+    return sums.where("texts > 0").select("parser", "files", "texts", "answered", "totals", "total_matches", rate("total_matches", "files").alias("by_files"), rate("total_matches", "texts").alias("by_texts"), rate("m", "totals").alias("by_totals"), "menu_f1")
 
 
 def sample_variants(images: DataFrame, variants: list[str], k: int, key: str, order: list[Column] | None = None, seed: int = 42) -> DataFrame:

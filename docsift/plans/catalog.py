@@ -71,8 +71,9 @@ def q02_menu_items(spark, sf_dir):
 
 @query(f"with {PRICES_SQL} select * from prices")
 def q03_keyword_price(spark, sf_dir):
-    prices = arrays.let(receipts.receipt_lines(F.col("text")), lambda lines: F.struct(*(receipts.keyword_price(lines, k).alias(n) for n, k in receipts.KEYWORDS.items())))
-    return receipt_texts(spark, sf_dir).select("o_orderkey", prices.alias("p")).select("o_orderkey", "p.*")
+    r = F.col("receipt")
+    found = [r["total" if k in receipts.TOTAL else "sub_total"][k].alias(k) for k in receipts.KEYWORDS]
+    return parsed(spark, sf_dir).select("o_orderkey", *found)
 
 
 FIX = lambda c: f"""array_to_string(list_transform(list_filter(regexp_split_to_array({c}, '[ \\n]+'), lambda t: t <> ''),
@@ -198,9 +199,8 @@ select o_orderkey, tp::int as tp, fp::int as fp, fn::int as fn, round(p, 6) as p
 from rates join a using (o_orderkey)""")
 def q15_receipt_eval(spark, sf_dir):
     p = shifted(spark, sf_dir)
-    f = metrics.field_f1(F.col("pred"), F.col("gt"))
-    out = p.select("o_orderkey", f.alias("f"), metrics.mean_anls(F.col("pred"), F.col("gt")).alias("anls"), F.size("gt").alias("n_gt"))
-    return out.select("o_orderkey", "f.tp", "f.fp", "f.fn", *(r6(F.col(f"f.{k}")).alias(k) for k in ("precision", "recall", "f1")), r6(F.col("anls")).alias("anls"), "n_gt")
+    out = p.select("o_orderkey", metrics.evaluated(F.col("pred"), F.col("gt")).alias("e"), F.size("gt").alias("n_gt"))
+    return out.select("o_orderkey", "e.f.tp", "e.f.fp", "e.f.fn", *(r6(F.col(f"e.f.{k}")).alias(k) for k in ("precision", "recall", "f1")), r6(F.col("e.anls")).alias("anls"), "n_gt")
 
 
 @query("""with s as (select l_orderkey, list(distinct l_partkey % 7) filter (l_quantity < 40) as p, list(distinct l_partkey % 7) filter (l_quantity > 10) as g from lineitem group by 1),

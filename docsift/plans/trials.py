@@ -135,11 +135,12 @@ from named left join by_text using (exp, config) left join by_fields using (fiel
 
 def answered_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, text, gt, rules, model): recognised texts, the true receipt, and what the rules and a model make of it. A model's failure is null."""
-    r = samples(spark, sf_dir)
+    true = receipts.parse_receipt(F.col("text"))
+    r = receipt_texts(spark, sf_dir).select("o_orderkey", hard_to_read(F.col("text")).alias("value"), true.alias("gt"))
     text = F.col("value")
     for step in registry.FULL + registry.READ:
         text = STEPS[step](text)
-    rows = r.select(F.col("sample").alias("o_orderkey"), text.alias("text"), receipts.parse_receipt(F.col("gt")).alias("gt"), "llm")
+    rows = r.select("o_orderkey", text.alias("text"), "gt", answer(F.col("gt"), ANSWERED["llm"]).alias("llm"))
     return rows.select("o_orderkey", "text", "gt", receipts.parse_receipt(F.col("text")).alias("rules"), F.when(receipts.is_object(F.col("llm")), receipts.from_model_json(F.col("llm"))).alias("model"))
 
 
