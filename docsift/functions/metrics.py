@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsift.functions import fields
 from docsift.functions.arrays import let
 from docsift.functions.distance import text_rates
 from docsift.functions.text import strip, tokens
@@ -89,63 +90,17 @@ def set_f1(pred: Column, gt: Column) -> Column:
     return let(let(F.struct(p.alias("p"), g.alias("g")), sizes), scores)
 
 
-def field_scores(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
-    """An array of (field, pred, gt, score, given, plain) over the fields of two maps: both values without white space around them and their similarity; whether gt has the field, and the similarity of the values as they are.
-
-    Each pair of values is compared once, and again as it is only if white space was around one.
-    """
-    entry = lambda k, p, g: F.struct(k.alias("field"), _text(p).alias("p"), _text(g).alias("g"), (g.isNotNull() | F.map_contains_key(gt, k)).alias("given"))
-    bare = lambda v: F.struct(v.alias("v"), strip(v["p"]).alias("p"), strip(v["g"]).alias("g"))
-
-    def compared(x: Column) -> Column:
-        return F.struct(x.alias("x"), anls(x["p"], x["g"], threshold).alias("score"))
-
-    def plain(y: Column) -> Column:
-        x, v = y["x"], y["x"]["v"]
-        same = (v["p"] == x["p"]) & (v["g"] == x["g"])
-        return F.struct(
-            v["field"].alias("field"), x["p"].alias("pred"), x["g"].alias("gt"), y["score"].alias("score"), v["given"].alias("given"),
-            F.when(~v["given"], 0.0).when(same, y["score"]).otherwise(anls(v["p"], v["g"], threshold)).alias("plain"),
-        )
-
-    return F.transform(F.map_values(F.map_zip_with(pred, gt, entry)), lambda v: let(let(bare(v), compared), plain))
-
-
-def _counts(scores: Column) -> Column:
-    code = lambda v: F.when((v["pred"] == "") & (v["gt"] == ""), 0).when(v["gt"] == "", 2).when(v["pred"] == "", 3).when((v["pred"] == v["gt"]) | (v["score"] > 0), 1).otherwise(4)
-
-    def counts(codes: Column) -> Column:
-        n = lambda *of: F.size(F.filter(codes, lambda x: x.isin(*of)))
-        return F.struct(n(1).alias("tp"), n(2, 4).alias("fp"), n(3, 4).alias("fn"))
-
-    return let(F.transform(scores, code), counts)
-
-
-def _f1(scores: Column) -> Column:
-    def figures(c: Column) -> Column:
-        precision, recall = ratio(c["tp"], c["tp"] + c["fp"]), ratio(c["tp"], c["tp"] + c["fn"])
-        return F.struct(c["tp"].alias("tp"), c["fp"].alias("fp"), c["fn"].alias("fn"), precision.alias("precision"), recall.alias("recall"), f1_of(precision, recall).alias("f1"))
-
-    return let(_counts(scores), figures)
-
-
-def _mean(scores: Column, gt: Column) -> Column:
-    return ratio(F.aggregate(scores["plain"], F.lit(0.0), lambda a, x: a + x), F.size(gt))
-
-
 def field_counts(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
     """struct(tp, fp, fn) over the fields of two maps. A field that both have but that doesn't match is an fp and an fn."""
-    return let(field_scores(pred, gt, threshold), _counts)
+    c = fields.counted(threshold)(pred, gt)
+    return F.struct(*(c[k].alias(k) for k in ("tp", "fp", "fn")))
 
 
 def field_f1(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
     """struct(tp, fp, fn, precision, recall, f1)."""
-    return let(field_scores(pred, gt, threshold), _f1)
-
-
-def evaluated(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
-    """struct(f, anls): field_f1 and mean_anls, from one comparison of the fields."""
-    return let(field_scores(pred, gt, threshold), lambda s: F.struct(_f1(s).alias("f"), _mean(s, gt).alias("anls")))
+    c = field_counts(pred, gt, threshold)
+    precision, recall = ratio(c["tp"], c["tp"] + c["fp"]), ratio(c["tp"], c["tp"] + c["fn"])
+    return F.struct(c["tp"].alias("tp"), c["fp"].alias("fp"), c["fn"].alias("fn"), precision.alias("precision"), recall.alias("recall"), f1_of(precision, recall).alias("f1"))
 
 
 def joined_field_counts(pred: DataFrame, gt: DataFrame, key: str, threshold: float = ANLS_THRESHOLD) -> DataFrame:
@@ -160,13 +115,12 @@ def joined_field_counts(pred: DataFrame, gt: DataFrame, key: str, threshold: flo
 
 def mean_anls(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
     """Over the fields of gt; a field that pred lacks counts as empty. 0 without fields."""
-    pred = F.coalesce(pred, F.create_map().cast("map<string,string>"))
-    return let(field_scores(pred, gt, threshold), lambda s: _mean(s, gt))
+    return fields.counted(threshold)(pred, gt)["anls"]
 
 
-def field_text(fields: Column) -> Column:
+def field_text(values: Column) -> Column:
     """The values of a map of fields, joined by blanks, in the map's order."""
-    return F.array_join(F.map_values(fields), " ")
+    return F.array_join(F.map_values(values), " ")
 
 
 def receipt_report(pred: Column, gt: Column, total: str = "total.total_price") -> Column:
@@ -178,5 +132,4 @@ def receipt_report(pred: Column, gt: Column, total: str = "total.total_price") -
 
 def per_field(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
     """An array of (field, pred, gt, score, matched) over the fields that either map has a value for."""
-    there = F.filter(field_scores(pred, gt, threshold), lambda f: (f["pred"] != "") | (f["gt"] != ""))
-    return F.transform(there, lambda f: F.struct(*(f[k].alias(k) for k in ("field", "pred", "gt", "score")), ((f["pred"] != "") & (f["gt"] != "") & (f["score"] > 0)).alias("matched")))
+    return fields.listed(threshold)(pred, gt)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docsift.functions import receipts
+from docsift.functions import metrics, receipts
 from docsift.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +25,19 @@ def test_odd_lines(spark):
     assert got[0] == ([("Tea", "2 x", "3,00")], ("1.50", "٣٤"), "1.50", None)
     assert got[1] == got[2] == ([], None, None, None)
     assert got[3] == ([("Café", None, "1")], None, None, "\U0001d7cf\U0001d7d0\U0001d7d1")
+
+
+def test_fields_are_compared_once(spark):
+    p = plan(catalog.q15_receipt_eval(spark, SF))
+    assert p.count("batch(") == 1 and "levenshtein" not in p
+
+
+def test_maps_in_batches(spark):
+    rows = [({"a": " x ", "b": "abcd", "only": "1"}, {"b": "abcf", "a": "x", "gone": "2", "none": None}), ({}, {}), (None, {"a": "1"}), ({"a": "1"}, None), ({"a": ""}, {"a": ""})]
+    df = spark.createDataFrame(rows, "p map<string,string>, g map<string,string>").coalesce(1)
+    p, g = F.col("p"), F.col("g")
+    got = df.select(metrics.field_counts(p, g).alias("c"), metrics.mean_anls(p, g).alias("a"), metrics.per_field(p, g).alias("each")).collect()
+    assert [tuple(r["c"]) for r in got] == [(2, 1, 1), (0, 0, 0), (None,) * 3, (None,) * 3, (0, 0, 0)]
+    assert [round(r["a"], 6) for r in got] == [round((0.75 + 0 + 1 + 0) / 4, 6), 0, 0, 0, 1]
+    assert sorted(tuple(f) for f in got[0]["each"]) == [("a", "x", "x", 1.0, True), ("b", "abcd", "abcf", 0.75, True), ("gone", "", "2", 0.0, False), ("only", "1", "", 0.0, False)]
+    assert [r["each"] for r in got[1:]] == [[], None, None, []]
