@@ -75,12 +75,32 @@ pairs as (
   select item_id, translate(array_to_string([words[i] for i in range(1, len(words) + 1) if (i - 1) % 7 <> 6], ' '), 'os', '05') as pred, array_to_string(words, ' ') as gt from split)"""
 
 
+def turn_id():
+    return (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id")
+
+
+def words_of(c):
+    return F.filter(F.split(c, "[ \n]+"), lambda w: w != "")
+
+
+def placed(seq) -> list:
+    """confidence and bbox of a turn's word."""
+    x1, y1 = (seq % 10) * 40, (seq / 10).cast("int") * 20 + (seq * 7) % 15
+    box = F.struct(x1.cast("int").alias("x1"), y1.cast("int").alias("y1"), (x1 + 30).cast("int").alias("x2"), (y1 + 12).cast("int").alias("y2"))
+    return [((seq % 10 + 1) / 10.0).alias("confidence"), box.alias("bbox")]
+
+
 def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of the words of conversation turns: ten words a line, lines 20 pixels apart, words up to 14 pixels off their line."""
-    words = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.posexplode(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("seq", "text"))
-    x1, y1 = (F.col("seq") % 10) * 40, (F.col("seq") / 10).cast("int") * 20 + (F.col("seq") * 7) % 15
-    box = F.struct(x1.cast("int").alias("x1"), y1.cast("int").alias("y1"), (x1 + 30).cast("int").alias("x2"), (y1 + 12).cast("int").alias("y2"))
-    return words.select("doc_id", "seq", "text", ((F.col("seq") % 10 + 1) / 10.0).alias("confidence"), box.alias("bbox"))
+    words = table(spark, sf_dir, "conversations").select(turn_id(), F.posexplode(words_of("text")).alias("seq", "text"))
+    return words.select("doc_id", "seq", "text", *placed(F.col("seq")))
+
+
+def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, boxes): the same boxes, in an array for each document. Turns meet as texts, before they are boxes."""
+    pages = table(spark, sf_dir, "conversations").select(turn_id(), "text").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    boxes = F.transform("texts", lambda t: F.transform(words_of(t), lambda w, i: F.struct(i.alias("seq"), w.alias("text"), *placed(i))))
+    return pages.select("doc_id", F.flatten(boxes).alias("boxes"))
 
 
 BOXES_SQL = """

@@ -7,7 +7,7 @@ from docsift.functions import arrays, invoices, metrics, openjson, receipts, tex
 from docsift.operators import experiments, labelling, layout, quality, registry
 from docsift.operators.images import DEGRADATION_TABLE
 from docsift.plans import trials
-from docsift.plans.adapters import BOXES_SQL, GATED_SQL, INVOICES_SQL, OPEN_SQL, PAIRS_SQL, RECEIPTS_SQL, gated, noised, noised_sql, open_invoices, open_receipts, pairs, table, word_boxes
+from docsift.plans.adapters import BOXES_SQL, GATED_SQL, INVOICES_SQL, OPEN_SQL, PAIRS_SQL, RECEIPTS_SQL, gated, noised, noised_sql, open_invoices, open_receipts, page_boxes, pairs, table, word_boxes
 from docsift.plans.adapters import receipts as receipt_texts
 from docsift.session import kept
 
@@ -103,12 +103,12 @@ merged as (
 
 @query(f"with {MERGED_SQL} select * from merged")
 def q06_line_merge(spark, sf_dir):
-    return layout.merge_lines(word_boxes(spark, sf_dir)).select("doc_id", "line_no", "text", r6(F.col("confidence")).alias("confidence"), "bbox.*")
+    return layout.page_lines(page_boxes(spark, sf_dir)).select("doc_id", "line_no", "text", r6(F.col("confidence")).alias("confidence"), "bbox.*")
 
 
 @query(f"with {BOXES_SQL} select doc_id, string_agg(text, chr(10) order by y1, seq) as text from boxes group by 1")
 def q07_reading_order(spark, sf_dir):
-    return layout.reading_order(word_boxes(spark, sf_dir))
+    return layout.page_order(page_boxes(spark, sf_dir))
 
 
 @query(f"with {BOXES_SQL} select doc_id, seq::int as seq, x2 - x1 as width, y2 - y1 as height, (x2 - x1) * (y2 - y1) as area, (confidence * 100)::int / 100.0::double as conf from boxes")
@@ -436,7 +436,7 @@ CLEAN_SQL = f"""cleaned as (select doc_id, line_no, {FIX('text')} as text from m
 @query(f"with {MERGED_SQL}, {CLEAN_SQL} select doc_id, string_agg(text, chr(10) order by line_no) as text from cleaned where text <> '' group by 1")
 def q42_recognised_text(spark, sf_dir):
     """Boxes of words, merged into lines, cleaned and joined."""
-    return layout.document_text(word_boxes(spark, sf_dir))
+    return layout.page_text(page_boxes(spark, sf_dir))
 
 
 # --- the whole evaluation of a receipt, and what has no query above ------------------------------------------------
