@@ -97,8 +97,10 @@ def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, boxes): the same boxes, in an array for each document. Turns meet as texts, before they are boxes."""
-    pages = table(spark, sf_dir, "conversations").select(turn_id(), "text").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    """(doc_id, boxes): the same boxes, in an array for each document. Turns meet as texts, before they are boxes; they are dealt to all
+    shuffle partitions, since Spark would join these by the texts' size, while the work goes by the boxes'."""
+    turns = table(spark, sf_dir, "conversations").select(turn_id(), "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    pages = turns.groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
     boxes = F.transform("texts", lambda t: F.transform(words_of(t), lambda w, i: F.struct(i.alias("seq"), w.alias("text"), *placed(i))))
     return pages.select("doc_id", F.flatten(boxes).alias("boxes"))
 
