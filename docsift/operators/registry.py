@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from docsift.functions import metrics
-from docsift.functions.distance import text_rates
+from docsift.functions.distance import text_rates_of
 from docsift.operators.experiments import ordered_scores, summarise
 from docsift.session import kept
 
@@ -129,16 +129,15 @@ TEXT_SCORES, FIELD_SCORES = ("cer", "wer"), ("f1", "anls", "total_em")
 SCORE = "struct<node:string,skipped:boolean,cer:double,wer:double,f1:double,anls:double,total_em:double,failed:boolean>"
 
 
-def scored(value: Column, is_fields: bool, read: Column, node: str, total: str = "total.total_price") -> Column:
-    """A node's scores. Fields that couldn't be had (null) count 0 each; a sample without a text at all (read) is left out."""
+def scored(value: Column, rates: Column | None, read: Column, node: str, total: str = "total.total_price") -> Column:
+    """A node's scores: of fields, or by the rates of a text. Fields that couldn't be had (null) count 0 each; a sample without a text at all (read) is left out."""
     none = F.lit(None).cast("double")
-    if is_fields:
+    if rates is None:
         of = lambda m: F.coalesce(F.try_element_at(m, F.lit(total)), F.lit(""))
         em = F.when(metrics.exact_match(of(value), of(F.col("gt_fields"))), 1.0).otherwise(0.0)
         zero = lambda c: F.when(value.isNull(), 0.0).otherwise(c)
         each = {"cer": none, "wer": none, "f1": zero(metrics.field_f1(value, F.col("gt_fields"))["f1"]), "anls": zero(metrics.mean_anls(value, F.col("gt_fields"))), "total_em": zero(em)}
     else:
-        rates = text_rates(value, F.col("gt"))
         each = {"cer": rates["cer"], "wer": rates["wer"], "f1": none, "anls": none, "total_em": none}
     there = read.isNotNull()
     parts = {"node": F.lit(node), "skipped": ~there} | {k: F.when(there, v) for k, v in each.items()} | {"failed": there & value.isNull()}
@@ -162,17 +161,21 @@ def scores(samples: DataFrame, steps: dict[str, Step | Table], experiments: dict
         rows, reached, waiting = projected(rows, at, steps)
         kinds = rows.schema
         is_fields = {n.path: isinstance(kinds[name(n.path)].dataType, MapType) for n in reached}
-        each = {}
+        texts, fields = {}, {}
         for n in reached:
             # fields stand on the last text of their path
             before = n.path[:-1] if is_fields[n.path] else n.path
             text = F.col(f"`{name(before)}`") if before in is_fields else F.col(text_of)
             if n.ends:
-                each[name(n.path)] = scored(F.col(f"`{name(n.path)}`"), is_fields[n.path], text, name(n.path))
-                if is_fields[n.path] and before in is_fields and name(before) not in each:
-                    each[name(before)] = scored(text, False, text, name(before))
-        if each:
-            found = rows.select("sample", "p", "rejects", F.array(*each.values()).alias("all")).select("sample", "p", "rejects", F.explode("all").alias("s")).select("sample", "p", "rejects", "s.*")
+                if is_fields[n.path]:
+                    fields[name(n.path)] = text
+                if before in is_fields:
+                    texts[name(before)] = text
+        if texts or fields:
+            rates = text_rates_of([*texts.values()], F.col("gt")) if texts else []
+            each = [scored(t, r, t, k) for (k, t), r in zip(texts.items(), rates, strict=True)] + [scored(F.col(f"`{k}`"), None, t, k) for k, t in fields.items()]
+            # the outer form, as explode would have Spark work out the whole array once more, only to see that it isn't empty
+            found = rows.select("sample", "p", "rejects", F.array(*each).alias("all")).select("sample", "p", "rejects", F.explode_outer("all").alias("s")).select("sample", "p", "rejects", "s.*")
             out = found if out is None else out.unionByName(found)
         for n in waiting:
             value = F.col(f"`{name(n.path[:-1])}`")
