@@ -12,6 +12,7 @@ from docsift.functions.distance import by_characters
 from docsift.functions.text import BLANKS
 
 COUNTS = StructType([StructField("tp", IntegerType()), StructField("fp", IntegerType()), StructField("fn", IntegerType()), StructField("anls", DoubleType())])
+SCORED = StructType([*COUNTS.fields, StructField("failed", BooleanType()), StructField("pred_total", StringType()), StructField("gt_total", StringType())])
 PER_FIELD = ArrayType(StructType([StructField("field", StringType()), StructField("pred", StringType()), StructField("gt", StringType()), StructField("score", DoubleType()), StructField("matched", BooleanType())]))
 
 
@@ -79,22 +80,47 @@ class Pairs:
         self.same = self.has_pred & self.has_gt & (plain(pc.equal(self.pred, self.gt)) | (self.score > 0))
 
 
+def counts(pred: pa.MapArray, gt: pa.MapArray, threshold: float) -> list[pa.Array]:
+    """tp, fp, fn and anls of each row, as counted has them."""
+    x, n = Pairs(pred, gt, threshold), len(pred)
+    none = missing(pred, gt)
+    count = lambda mask: pa.array(np.bincount(x.row[mask], minlength=n).astype(np.int32), mask=none)
+    sizes = np.diff(plain(gt.offsets))
+    mean = np.bincount(x.row, weights=x.whole, minlength=n) / np.maximum(sizes, 1)
+    return [count(x.same), count(x.has_pred & ~x.same), count(x.has_gt & ~x.same), pa.array(mean)]
+
+
+def chosen(m: pa.MapArray, key: str) -> pa.Array:
+    """The value of a key in each map; null if it has none."""
+    rows, keys, values = entries(m)
+    own = np.flatnonzero(plain(pc.equal(keys, key)))
+    at = np.full(len(m), -1)
+    at[rows[own]] = own
+    return values.take(pa.array(at, mask=at < 0))
+
+
 @cache
 def counted(threshold: float):
     """struct(tp, fp, fn, anls): how many fields match, are wrong or too many, are wrong or missing; and the mean similarity over the fields of gt, 0 without any. Null maps have no counts."""
 
     def batch(pred: pa.Array, gt: pa.Array) -> pa.Array:
-        x, n = Pairs(pred, gt, threshold), len(pred)
-        none = missing(pred, gt)
-        count = lambda mask: pa.array(np.bincount(x.row[mask], minlength=n).astype(np.int32), mask=none)
-        sizes = np.diff(plain(gt.offsets))
-        mean = np.bincount(x.row, weights=x.whole, minlength=n) / np.maximum(sizes, 1)
-        return pa.StructArray.from_arrays([count(x.same), count(x.has_pred & ~x.same), count(x.has_gt & ~x.same), pa.array(mean)], ["tp", "fp", "fn", "anls"])
+        return pa.StructArray.from_arrays(counts(pred, gt, threshold), COUNTS.fieldNames())
 
     batch.__annotations__ = {"pred": pa.Array, "gt": pa.Array, "return": pa.Array}
     return F.arrow_udf(batch, COUNTS)
 
 
+@cache
+def scored(threshold: float, total: str):
+    """As counted, with all else that is asked of the maps, so that they are worked out for this alone: whether pred is null (failed), and the field total in both."""
+
+    def batch(pred: pa.Array, gt: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([*counts(pred, gt, threshold), pred.is_null(), chosen(pred, total), chosen(gt, total)], SCORED.fieldNames())
+
+    batch.__annotations__ = {"pred": pa.Array, "gt": pa.Array, "return": pa.Array}
+    return F.arrow_udf(batch, SCORED)
+
+
 @cache
 def listed(threshold: float):
     """An array of (field, pred, gt, score, matched) over the fields that either map has a value for; null if a map is null."""

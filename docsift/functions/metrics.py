@@ -98,7 +98,10 @@ def field_counts(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) ->
 
 def field_f1(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Column:
     """struct(tp, fp, fn, precision, recall, f1)."""
-    c = field_counts(pred, gt, threshold)
+    return _field_f1(field_counts(pred, gt, threshold))
+
+
+def _field_f1(c: Column) -> Column:
     precision, recall = ratio(c["tp"], c["tp"] + c["fp"]), ratio(c["tp"], c["tp"] + c["fn"])
     return F.struct(c["tp"].alias("tp"), c["fp"].alias("fp"), c["fn"].alias("fn"), precision.alias("precision"), recall.alias("recall"), f1_of(precision, recall).alias("f1"))
 
@@ -118,6 +121,14 @@ def mean_anls(pred: Column, gt: Column, threshold: float = ANLS_THRESHOLD) -> Co
     return fields.counted(threshold)(pred, gt)["anls"]
 
 
+def field_scores(pred: Column, gt: Column, total: str = "total.total_price", threshold: float = ANLS_THRESHOLD) -> Column:
+    """struct(failed, f1, anls, total_em) of two maps; fields that couldn't be had (null: failed) score 0. The maps are read in one place only: what makes them is worked out once."""
+    c = fields.scored(threshold, total)(pred, gt)
+    zero = lambda s: F.when(c["failed"], F.lit(0.0)).otherwise(s)
+    em = F.when(exact_match(c["pred_total"], c["gt_total"]), 1.0).otherwise(0.0)
+    return F.struct(c["failed"].alias("failed"), zero(_field_f1(c)["f1"]).alias("f1"), zero(c["anls"]).alias("anls"), zero(em).alias("total_em"))
+
+
 def field_text(values: Column) -> Column:
     """The values of a map of fields, joined by blanks, in the map's order."""
     return F.array_join(F.map_values(values), " ")

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from docsift.functions.arrays import let
 from docsift.functions.text import BLANKS, strip
@@ -109,18 +109,42 @@ RECEIPT = StructType([
 ])
 
 
-@F.arrow_udf(RECEIPT)
-def parsed(text: pa.Array, low: pa.Array) -> pa.Array:
-    n, null = len(text), pa.nulls(len(text), pa.string())
+def found(text: pa.Array, low: pa.Array) -> tuple[dict[str, pa.Array], pa.Array]:
+    """The prices and the menus of texts."""
     lists = pc.split_pattern(text, "\n")
     of = pc.list_parent_indices(lists).to_numpy()
     lines, lows = pc.list_flatten(lists), pc.list_flatten(pc.split_pattern(low, "\n"))
-    prices = {k: v.cast(pa.string()) for k, v in keyword_prices(lows, of, n).items()}
+    return {k: v.cast(pa.string()) for k, v in keyword_prices(lows, of, len(text)).items()}, menu_items(lines, lows, of, len(text))
+
+
+@F.arrow_udf(RECEIPT)
+def parsed(text: pa.Array, low: pa.Array) -> pa.Array:
+    null = pa.nulls(len(text), pa.string())
+    prices, menu = found(text, low)
     sub = [prices[k] for k in SUB_TOTAL]
     none = np.logical_and.reduce([v.is_null().to_numpy(zero_copy_only=False) for v in sub])
     sub_total = pa.StructArray.from_arrays([*sub, null], [*SUB_TOTAL, "etc"], mask=pa.array(none))
     total = pa.StructArray.from_arrays([*(prices[k] for k in TOTAL), *(null for _ in REST)], [*TOTAL, *REST])
-    return pa.StructArray.from_arrays([menu_items(lines, lows, of, n), sub_total, total], ["menu", "sub_total", "total"])
+    return pa.StructArray.from_arrays([menu, sub_total, total], ["menu", "sub_total", "total"])
+
+
+@F.arrow_udf(MapType(StringType(), StringType()))
+def parsed_fields(text: pa.Array, low: pa.Array) -> pa.Array:
+    """fields(parse_receipt(text)) without the receipt between; null for null."""
+    n, parts = len(text), ("nm", "cnt", "price")
+    prices, menu = found(pc.fill_null(text, ""), pc.fill_null(low, ""))
+    fixed = [(f"{a}.{k}", prices[k]) for a, ks in (("total", TOTAL), ("sub_total", SUB_TOTAL)) for k in ks]
+    items, sizes = menu.flatten(), np.diff(menu.offsets.to_numpy())
+    t = len(items)
+    place = np.arange(t) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    names = pa.array([k for k, _ in fixed] + [f"menu.{i}.{k}" for i in range(int(sizes.max(initial=0))) for k in parts], pa.string())
+    values = pa.concat_arrays([v for _, v in fixed] + [pc.struct_field(items, k) for k in parts])
+    key = np.concatenate([np.repeat(np.arange(len(fixed)), n), *(len(fixed) + len(parts) * place + i for i in range(len(parts)))])
+    row = np.concatenate([np.tile(np.arange(n), len(fixed)), np.tile(np.repeat(np.arange(n), sizes), len(parts))])
+    there = np.flatnonzero(pc.not_equal(pc.fill_null(values, ""), "").to_numpy(zero_copy_only=False) & text.is_valid().to_numpy(zero_copy_only=False)[row])
+    there = there[np.lexsort((key[there], row[there]))]
+    offsets = np.searchsorted(row[there], np.arange(n + 1)).astype(np.int32)
+    return pa.MapArray.from_arrays(pa.array(offsets, mask=np.append(text.is_null().to_numpy(zero_copy_only=False), False)), names.take(pa.array(key[there])), values.take(pa.array(there)))
 
 
 def parse_receipt(text: Column) -> Column:
@@ -152,6 +176,11 @@ def fields(receipt: Column) -> Column:
     return F.map_from_entries(field_entries(receipt))
 
 
+def text_fields(text: Column) -> Column:
+    """fields(parse_receipt(text)) of a text that isn't null, else null."""
+    return parsed_fields(text, F.lower(text))
+
+
 def repaired(text: Column) -> Column:
     """JSON without trailing commas."""
     return F.regexp_replace(text, r",(\s*[}\]])", "$1")

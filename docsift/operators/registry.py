@@ -132,15 +132,10 @@ SCORE = "struct<node:string,skipped:boolean,cer:double,wer:double,f1:double,anls
 def scored(value: Column, rates: Column | None, read: Column, node: str, total: str = "total.total_price") -> Column:
     """A node's scores: of fields, or by the rates of a text. Fields that couldn't be had (null) count 0 each; a sample without a text at all (read) is left out."""
     none = F.lit(None).cast("double")
-    if rates is None:
-        of = lambda m: F.coalesce(F.try_element_at(m, F.lit(total)), F.lit(""))
-        em = F.when(metrics.exact_match(of(value), of(F.col("gt_fields"))), 1.0).otherwise(0.0)
-        zero = lambda c: F.when(value.isNull(), 0.0).otherwise(c)
-        each = {"cer": none, "wer": none, "f1": zero(metrics.field_f1(value, F.col("gt_fields"))["f1"]), "anls": zero(metrics.mean_anls(value, F.col("gt_fields"))), "total_em": zero(em)}
-    else:
-        each = {"cer": rates["cer"], "wer": rates["wer"], "f1": none, "anls": none, "total_em": none}
+    found = metrics.field_scores(value, F.col("gt_fields"), total) if rates is None else None
+    each = {k: rates[k] if rates is not None else none for k in TEXT_SCORES} | {k: found[k] if found is not None else none for k in FIELD_SCORES}
     there = read.isNotNull()
-    parts = {"node": F.lit(node), "skipped": ~there} | {k: F.when(there, v) for k, v in each.items()} | {"failed": there & value.isNull()}
+    parts = {"node": F.lit(node), "skipped": ~there} | {k: F.when(there, v) for k, v in each.items()} | {"failed": (there & found["failed"]) if found is not None else F.lit(False)}
     return F.struct(*(v.alias(k) for k, v in parts.items())).cast(SCORE)
 
 

@@ -57,7 +57,7 @@ def asked(n: str):
     return lambda _: F.when(receipts.is_object(F.col(n)), receipts.fields(receipts.from_model_json(F.col(n))))
 
 
-STEPS: dict[str, registry.Step] = {n: f for n, (f, _) in PLAIN.items()} | {"regex": lambda v: F.when(v.isNotNull(), receipts.fields(receipts.parse_receipt(v)))} | {n: asked(n) for n in ANSWERED}
+STEPS: dict[str, registry.Step] = {n: f for n, (f, _) in PLAIN.items()} | {"regex": receipts.text_fields} | {n: asked(n) for n in ANSWERED}
 
 
 # --- the same in SQL ------------------------------------------------------------------------------------------------

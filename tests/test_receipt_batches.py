@@ -41,3 +41,33 @@ def test_maps_in_batches(spark):
     assert [round(r["a"], 6) for r in got] == [round((0.75 + 0 + 1 + 0) / 4, 6), 0, 0, 0, 1]
     assert sorted(tuple(f) for f in got[0]["each"]) == [("a", "x", "x", 1.0, True), ("b", "abcd", "abcf", 0.75, True), ("gone", "", "2", 0.0, False), ("only", "1", "", 0.0, False)]
     assert [r["each"] for r in got[1:]] == [[], None, None, []]
+
+
+def test_fields_of_texts_and_of_parsed_receipts_are_the_same(spark):
+    texts = ["Sub Total 5 1.50\n Tea  2 X 3,00 　\nCafé 4\nTAX 7\nTax ٣٤ x1.\nCASH .5,\nTotal 1..2.,9", "", None, "red bolt  3 x  10.00\n\nnew ring  12 x  7.50\nTOTAL  17.50", "Change 1.00\nDISC 20 30"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    for r in rows.select("t", receipts.text_fields(F.col("t")).alias("own"), receipts.fields(receipts.parse_receipt(F.col("t"))).alias("want")).collect():
+        assert (r["own"] is None) if r["t"] is None else (list(r["own"].items()) == list(r["want"].items()))
+    assert rows.where("t is null").select(receipts.text_fields(F.col("t"))).first()[0] is None
+    assert rows.where("i > 100").select(receipts.text_fields(F.col("t"))).count() == 0
+
+
+def test_field_scores_are_those_of_the_columns(spark):
+    total = "total.total_price"
+    rows = [({total: " 1.0A", "a": "x"}, {total: "1.0a ", "b": None}), ({}, {}), (None, {total: "1"}), ({total: "1"}, None), (None, None), ({"a": "abcd"}, {"a": "abce", total: ""}), ({total: None}, {"c": "q"})]
+    df = spark.createDataFrame(rows, "p map<string,string>, g map<string,string>").coalesce(1)
+    p, g = F.col("p"), F.col("g")
+    of = lambda m: F.coalesce(F.try_element_at(m, F.lit(total)), F.lit(""))
+    zero = lambda c: F.when(p.isNull(), 0.0).otherwise(c)
+    want = [p.isNull(), zero(metrics.field_f1(p, g)["f1"]), zero(metrics.mean_anls(p, g)), zero(F.when(metrics.exact_match(of(p), of(g)), 1.0).otherwise(0.0))]
+    for r in df.select(metrics.field_scores(p, g).alias("own"), F.struct(*want).alias("want")).collect():
+        assert tuple(r["own"]) == tuple(r["want"])
+
+
+def test_fields_of_experiments_are_worked_out_once(spark):
+    from docsift.operators import registry
+    from docsift.plans import trials
+
+    p = plan(registry.scores(trials.samples(spark, SF), trials.STEPS, registry.catalogue()))
+    assert p.count("batch(") == 5 and p.count("parsed(") == 1 and p.count("parsed_fields(") == 3
+    assert p.count("from_json(") == 6  # three for each of two answers
